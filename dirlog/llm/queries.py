@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlog.llm import audio, chat, mixing, simhash, tokencount
+from dirlog.llm import audio, chat, mixing, packing, quality, simhash, tokencount
 from dirlog.llm.base import table
 
 
@@ -15,6 +15,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=0)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -31,12 +35,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.audio_features(audio.as_media(table(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op6_chat_format, op7_simhash, op8_mixing, op10_audio)}
+    return {f.__name__: f for f in (op3_token_counts, op4_quality, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
