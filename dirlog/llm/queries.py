@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlog.llm import audio, chat, mixing, packing, quality, simhash, tokencount
+from dirlog.llm import audio, chat, embeddings, mixing, packing, quality, secretscan, simhash, tokencount
 from dirlog.llm.base import table
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9, seed=0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), limit=4096)
 
@@ -19,6 +23,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), seed=0)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.summary(secretscan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -44,7 +52,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op4_quality, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio)}
+    return {f.__name__: f for f in (op2_embedding_dedup, op3_token_counts, op4_quality, op5_secrets, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio)}
 
 
 def oracle_sql() -> dict[str, str]:
