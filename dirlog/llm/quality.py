@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from dirlog.llm.base import sized, stored
 
@@ -88,7 +89,7 @@ def fit(docs: DataFrame, known: dict[int, tuple[int, bool]], id: str, text: str)
                     counts[1] += np.bincount(np.concatenate(chosen), minlength=BUCKETS)
         yield pa.RecordBatch.from_arrays([pa.array(counts.tolist(), pa.list_(pa.int64())), pa.array([0, 1], pa.int32())], ["counts", "target"])
 
-    parts = docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(count, "counts array<long>, target int")
+    parts = docs.select(id, text).mapInArrow(count, "counts array<long>, target int")
     sums = parts.select("target", F.posexplode("counts").alias("bucket", "n")).groupBy("bucket", "target").agg(F.sum("n").alias("n"))
     counts = np.zeros((2, BUCKETS))
     for r in sums.where("n > 0").collect():
@@ -97,18 +98,18 @@ def fit(docs: DataFrame, known: dict[int, tuple[int, bool]], id: str, text: str)
     return np.log(share[1] / share[0])
 
 
-def scored(docs: DataFrame, ratio: np.ndarray, id: str, text: str) -> DataFrame:
-    """(id, log_weight): sum of the log ratios of a text's n-grams; 0 for a text without words."""
+def scored(docs: DataFrame, ratio: np.ndarray, text: str, name: str) -> DataFrame:
+    """Adds the log weight: sum of the log ratios of a text's n-grams; 0 for a text without words."""
     held = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches):
         words = Words()
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(text).to_pylist()]
             out = [float(held.value[g].sum()) for block in sized(texts) for g in words.grams(texts[block])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["id", "log_weight"])
+            yield batch.append_column(name, pa.array(out, pa.float64()))
 
-    return docs.select(F.col(id).cast("long"), F.col(text).cast("string")).mapInArrow(score, "id long, log_weight double")
+    return docs.mapInArrow(score, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def threshold(scores: np.ndarray, quality: np.ndarray) -> float:
@@ -145,23 +146,48 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
     return float(lo)
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, limit: int = LABELLED, id: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
-    """(id, log_weight, gumbel_key, kept) of every row: the k rows with the largest log weight plus Gumbel noise are kept.
+def gumbel_key(id: str, weight: str, seed: int) -> Column:
+    """The weight plus Gumbel noise that depends on seed, id and weight only."""
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id).cast("long"), weight), 11) + 0.5) / float(1 << 53)
+    return F.col(weight) - F.log(-F.log(u))
 
-    Learned from at most ``limit`` labelled rows (quality 1: target); the raw model counts all documents.
-    Without ``k`` it is the number of rows whose log weight reaches the threshold that best parts the held-out
-    labels, so what is rejected is the share that the labels call bad. Without labels of both kinds all rows are kept.
-    Null texts have weight 0. Rows that tie at the k-th key are all kept; noise depends on seed, id and weight only.
-    """
+
+def learn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, limit: int, id: str, text: str, quality: str) -> tuple[np.ndarray, float, DataFrame]:
+    """(log ratios of the buckets, the k-th largest key, (id, log_weight) of every row)."""
     known = labelled(labels, id, quality, limit)
-    scores = stored(scored(docs, fit(docs, known, id, text), id, text))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "id", "log_weight"), 11) + 0.5) / float(1 << 53)
-    keyed = scores.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u)))
+    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    ratio = fit(rows, known, "id", "text")
+    scores = stored(scored(rows, ratio, "text", "log_weight").drop("text"))
     if k is None:
         held = [i for i, (_, h) in known.items() if h]
         ids = docs.sparkSession.createDataFrame(list(zip(held)), "id long")
         found = scores.join(F.broadcast(ids), "id").groupBy("id").agg(F.first("log_weight").alias("s")).collect() if held else []
         cut = threshold(np.array([r.s for r in found]), np.array([known[r.id][0] for r in found]))
         k = scores.where(F.col("log_weight") >= cut).count()
-    edge = kth_largest(keyed, "gumbel_key", k) if k else np.inf
+    edge = kth_largest(scores.select(gumbel_key("id", "log_weight", seed).alias("key")), "key", k) if k else np.inf
+    return ratio, edge, scores
+
+
+def importance_resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, limit: int = LABELLED, id: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
+    """(id, log_weight, gumbel_key, kept) of every row: the k rows with the largest log weight plus Gumbel noise are kept.
+
+    Learned from at most ``limit`` labelled rows (quality 1: target); the raw model counts all documents.
+    Without ``k`` it is the number of rows whose log weight reaches the threshold that best parts the held-out
+    labels, so what is rejected is the share that the labels call bad. Without labels of both kinds all rows are kept.
+    Null texts have weight 0. Rows that tie at the k-th key are all kept; noise depends on seed, id and weight only.
+    """
+    _, edge, scores = learn(docs, labels, k, seed, limit, id, text, quality)
+    keyed = scores.withColumn("gumbel_key", gumbel_key("id", "log_weight", seed))
     return keyed.select(F.col("id").alias(id), "log_weight", "gumbel_key", (F.col("gumbel_key") >= edge).alias("kept"))
+
+
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 0, limit: int = LABELLED, id: str = "doc_id", text: str = "text", quality: str = "quality") -> DataFrame:
+    """The rows of ``docs`` that ``importance_resample`` keeps, all columns as they are.
+
+    Scores are worked out again where the rows lie, so no text is shuffled.
+    """
+    ratio, edge, _ = learn(docs, labels, k, seed, limit, id, text, quality)
+    name = "log_weight"
+    while name in docs.columns:
+        name = f"_{name}"
+    return scored(docs, ratio, text, name).where(gumbel_key(id, name, seed) >= edge).drop(name)

@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dirlog.llm import audio, chat, embeddings, mixing, packing, quality, secretscan, simhash, tokencount
+import corpus_pipeline
+from dirlog.llm import audio, chat, embeddings, licences, mixing, packing, quality, secretscan, simhash, tokencount
 from dirlog.llm.base import table
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(licences.shelved(table(spark, sf_dir, "documents")))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9, seed=0)
 
@@ -52,8 +57,10 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_embedding_dedup, op3_token_counts, op4_quality, op5_secrets, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio)}
+    operators = (op1_licences, op2_embedding_dedup, op3_token_counts, op4_quality, op5_secrets, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio)
+    return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return {"op1_licences": licences.sql()} | pipeline

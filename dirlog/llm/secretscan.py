@@ -18,8 +18,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlog.llm.base import sized
-
 # Fixed values of the contract: kinds in order, patterns, and least lengths of what the last group matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -260,25 +258,57 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", sample
     there; spans of the field that touch none of them are added as kind crf. Null texts have no secrets.
     ``sample`` bounds the documents that the field is trained on; without secrets among them nothing is added.
     """
+    scan = scanner(docs, id, text, sample)
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])
+
+    def find(batches):
+        for ids, texts, spans in scan(batches, 1):
+            found = [[{"start": s, "end": e, "kind": KINDS[k], "value": at} for s, e, k, at in row] for row in spans]
+            yield pa.RecordBatch.from_arrays([ids.column(0), pa.array(found, pa.list_(span))], ["id", "secrets"])
+
+    kind = docs.select(id).schema[0].dataType.simpleString()
+    return docs.select(F.col(id), F.col(text).cast("string")).mapInArrow(find, f"id {kind}, secrets array<struct<start:long,end:long,kind:string,value:long>>").withColumnRenamed("id", id)
+
+
+def scanner(docs: DataFrame, id: str, text: str, sample: int):
+    """A function for tasks: (batches, place of the text) to (batch, texts, spans of each)."""
     field = train(training_texts(docs, id, text, sample))
     held = docs.sparkSession.sparkContext.broadcast((field.words, field.weights) if field else None)
-    kind_type = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("value", pa.int64())])
 
-    def scan(batches):
+    def scan(batches, place: int):
         model = Field(*held.value) if held.value else None
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            look = pc.match_substring_regex(pa.array(texts, pa.string()), LOOK).to_pylist()
-            out = []
-            for block in sized(texts):
-                for t, first in zip(texts[block], look[block]):
-                    base = fixed(t) if first else []
-                    more = [(a, b, 3, a) for a, b in model.spans(t) if not any(a < e and s < b for s, e, _, _ in base)] if model else []
-                    out.append([{"start": s, "end": e, "kind": KINDS[k], "value": at} for s, e, k, at in sorted(base + more, key=lambda x: (x[0], x[2]))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(kind_type))], ["id", "secrets"])
+            texts = batch.column(place).to_pylist()
+            look = pc.match_substring_regex(batch.column(place), LOOK).to_pylist()
+            yield batch, texts, [spans_of(t or "", bool(first), model) for t, first in zip(texts, look)]
 
-    kind = docs.select(id).schema[0].dataType.simpleString()
-    return docs.select(F.col(id), F.col(text).cast("string")).mapInArrow(scan, f"id {kind}, secrets array<struct<start:long,end:long,kind:string,value:long>>").withColumnRenamed("id", id)
+    return scan
+
+
+def spans_of(text: str, first: bool, model: Field | None) -> list[Span]:
+    """Fixed spans (none without the first look's match) and those of the field that touch none of them, in order."""
+    base = fixed(text) if first else []
+    more = [(a, b, 3, a) for a, b in model.spans(text) if not any(a < e and s < b for s, e, _, _ in base)] if model else []
+    return sorted(base + more, key=lambda x: (x[0], x[2]))
+
+
+def redact(docs: DataFrame, id: str = "doc_id", text: str = "text", mark: str = "[SECRET]", sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` with every secret value in the text replaced by ``mark``; other columns stay, null texts too."""
+    scan, place = scanner(docs, id, text, sample), docs.columns.index(text)
+
+    def clean(batches):
+        for batch, texts, spans in scan(batches, place):
+            out = []
+            for t, found in zip(texts, spans):
+                at, kept = 0, []
+                for start, end in sorted((value, end) for _, end, _, value in found):
+                    if end > at:
+                        kept += [t[at : max(at, start)], mark if start >= at else ""]
+                        at = end
+                out.append("".join([*kept, t[at:]]) if found else t)
+            yield batch.set_column(place, batch.schema.field(place), pa.array(out, pa.string()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def summary(found: DataFrame) -> DataFrame:
