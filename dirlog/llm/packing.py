@@ -16,56 +16,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dirlog.llm.base import sized, stored
+from dirlog.llm.base import stored
 
 #: Tokens of a sequence, the id that ends a document, rows of a shard of the index, and BM25's constants.
-LENGTH, END_ID, SHARD_ROWS, K1, B = 2048, 1, 1500, 1.2, 0.75
-#: Ids are below this; texts are cut before white space into pre-token runs, of which a worker keeps so many.
-IDS, CACHE = 50_258, 500_000
-RUN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-#: White space that may join the runs on both of its sides, and what the tokenizer reads as a special token.
-ODD = re.compile(r"[^\S \n]|<\|endoftext\|>")
-PLAIN = re.compile(r"[\x00-ɏ]*")
+LENGTH, END_ID, SHARD_ROWS, K1, B = 2048, 1, 1000, 1.2, 0.75
+#: Ids are below this.
+IDS = 50_258
+#: What two libraries might read differently: the special token's string, white space but blanks and line feeds, newer letters.
+SPECIAL = "<|endoftext|>"
+WHITE = [c for c in map(chr, range(0x250)) if c.isspace() and c not in " \n"]
+PLAIN = re.compile(r"[\x00-\u024f]*")
 
 
 @lru_cache(1)
 def tokenizers() -> tuple[Tokenizer, tiktoken.Encoding]:
-    """The tokenizer, and its merges in a library that is quicker on single words."""
+    """The tokenizer, and a library that is quicker at the same merges."""
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tiktoken.Encoding("runs", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-class Encoder:
-    """Ids of whole texts, as bytes of 16-bit numbers, from a bounded cache of pre-token runs.
-
-    The pattern that splits texts never joins a character that is no white space with white space after it,
-    so a text's ids are those of its runs one after another. Texts with other white space than blanks and
-    line feeds go to the tokenizer whole.
-    """
-
-    def __init__(self):
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole, fast = tokenizers()
-        odd = {t for t in texts if ODD.search(t)}
-        runs = [RUN.findall(t) if t not in odd else () for t in texts]
-        seen = {r for row in runs for r in row}
-        new = seen.difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = seen
-        plain = [r for r in new if PLAIN.fullmatch(r)]
-        other = list(new.difference(plain)) if len(plain) < len(new) else []
-        self.known.update((r, np.array(fast.encode_ordinary(r), np.uint16).tobytes()) for r in plain)
-        if other:
-            self.known.update((r, np.array(e.ids, np.uint16).tobytes()) for r, e in zip(other, whole.encode_batch(other, add_special_tokens=False)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, row)) if t not in odd else np.array(whole.encode(t, add_special_tokens=False).ids, np.uint16).tobytes() for t, row in zip(texts, runs)]
-
-
-ENCODER = Encoder()
+def encode(text: str) -> np.ndarray:
+    """The tokenizer's ids of the whole text, without special tokens added; what may differ goes to the tokenizer itself."""
+    whole, fast = tokenizers()
+    same = SPECIAL not in text and PLAIN.fullmatch(text) and not any(c in text for c in WHITE)
+    return np.array(fast.encode_ordinary(text) if same else whole.encode(text, add_special_tokens=False).ids, np.uint16)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -81,15 +56,16 @@ def tokenise(batches):
     """Windows and rests of documents, and at the end the task's document frequencies of ids."""
     df = np.zeros(IDS, np.int32)
     for batch in batches:
-        doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
-        for block in sized(texts):
-            rows = []
-            for doc_id, data in zip(doc_ids.slice(block.start, block.stop - block.start).to_pylist(), ENCODER.encode(texts[block])):
-                ids = np.append(np.frombuffer(data, np.uint16), np.uint16(END_ID))
-                df[np.unique(ids)] += 1
-                for at in range(0, len(ids), LENGTH):
-                    part = ids[at : at + LENGTH]
-                    rows.append((doc_id, at, len(part), len(ids), crc(part), None if len(part) == LENGTH else part.tobytes(), None))
+        rows = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids = np.append(encode(text or ""), np.uint16(END_ID))
+            held = np.zeros(IDS, bool)
+            held[ids] = True
+            df += held
+            for at in range(0, len(ids), LENGTH):
+                part = ids[at : at + LENGTH]
+                rows.append((doc_id, at, len(part), len(ids), crc(part), None if len(part) == LENGTH else part.tobytes(), None))
+        if rows:
             yield as_batch(rows)
     yield as_batch([(None, None, None, None, None, None, df)])
 
@@ -183,7 +159,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     shards = max(1, -(-stats.n // SHARD_ROWS))
     held = rows.sparkSession.sparkContext.broadcast((idf, stats.mean or 1.0))
 
-    def pack_shard(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row", ignore_index=True)
         ids = [np.frombuffer(x, np.uint16) for x in pdf["ids"]]
         found = fill(ids, *held.value)
