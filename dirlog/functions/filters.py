@@ -8,6 +8,7 @@ from itertools import groupby
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def dequote(c: Column) -> Column:
@@ -60,7 +61,7 @@ def generalize(text: str) -> str:
     return folded(masked(text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def generalize_filter(filters: pd.Series) -> pd.Series:
     """Template of each normalised filter."""
     return filters.map(generalize, na_action="ignore")

@@ -38,6 +38,16 @@ def as_events(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return df.select(*out)
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with these columns worked out here, once a row.
+
+    A filter on a column that is made of long expressions would otherwise be pushed down with all of them
+    written out, again at every use; rows that a generator returns are a border that it cannot pass.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.explode(F.array(F.struct(*columns))).alias("_s")).select(*others, "_s.*")
+
+
 # ----- OpenLDAP -----
 
 #: Every header in one pattern: bracketed time (1), hexadecimal time (2) or plain time (3) with host (4) and process (5), then the payload (6).
@@ -68,7 +78,7 @@ def parse_header(lines: DataFrame, fmt: str = "auto", year: int | None = None, t
     if fmt != "auto" and fmt not in FORMATS:
         raise ValueError(f"unknown header format {fmt!r}")
     year = year if year is not None else lines.sparkSession.sql("SELECT year(current_date())").first()[0]
-    df = lines.withColumn("head", groups(F.col("raw"), HEADER, 6))
+    df = settled(lines.withColumn("head", groups(F.col("raw"), HEADER, 6)), "head")
     plain = group("head", 3)
     found = F.when(group("head", 1).isNotNull(), "ol26").when(group("head", 2).isNotNull(), "debug")
     found = found.when(plain.rlike(r"^\d.*\.\d+Z$"), "rfc3339-utc").when(plain.rlike(r"^\d"), "rfc3339").when(plain.isNotNull(), "syslog")
@@ -126,6 +136,7 @@ def parse_openldap(lines: DataFrame, fmt: str = "auto", year: int | None = None,
     df = df.withColumn("block", F.when(has, groups(F.col("rest"), r"^\[IP=(\S+)\s+NAME=(.*?)(?:\s+USERNAME=([^\]]*))?\]\s+(.*)$", 4)))
     df = df.withColumn("rest", F.coalesce(group("block", 4), F.col("rest")))
     df = df.withColumn("kind", F.when(p.isNull(), "UNKNOWN_LINE").otherwise(openldap_kind(p, F.col("rest"))))
+    df = settled(df, "format", "ts_text", "ts_ns", "server", "proc", "payload", "conn", "op", "block", "rest", "kind")
     k, r = F.col("kind"), F.col("rest")
     only = lambda kinds, c: F.when(k.isin(*kinds), c)
     results, binds = ("RESULT", "SEARCH_RESULT"), ("BIND", "BIND_DN_INFO")
@@ -189,7 +200,7 @@ def parse_ds389_text(lines: DataFrame) -> DataFrame:
     for name, k in DS389_VERBS.items():
         kind = kind.when(verb == name, k)
     kind = F.when((raw == "") | raw.startswith("\t"), "TITLE").when(r.isNull(), "UNKNOWN_LINE").otherwise(kind.otherwise("UNKNOWN_OP"))
-    df = df.withColumn("kind", kind).withColumn("ts_ns", T.from_bracketed(F.col("ts_text")))
+    df = settled(df.withColumn("kind", kind).withColumn("ts_ns", T.from_bracketed(F.col("ts_text"))), "ts_text", "ts_ns", "conn", "op", "rest", "kind")
     k = F.col("kind")
     tokens = F.when(k.isin("RESULT", "SEARCH_RESULT"), F.regexp_replace(r, r"\s- .*$", ""))
     method = grab(r, r"method=(\w+)")
@@ -221,6 +232,7 @@ def parse_ds389_json(records: DataFrame) -> DataFrame:
     for name in ("BIND", "UNBIND", "ADD", "MOD", "MODRDN", "DEL", "EXT", "ABANDON", "CMP", "SRCH", "ENTRY", "REFERRAL", "STAT", "VLV", "SORT"):
         kind = kind.when(op == name, name)
     df = records.withColumns({"format": F.lit("389ds-json"), "kind": kind.otherwise("UNKNOWN_OP"), "ts_text": r["local_time"], "ts_ns": T.from_rfc3339(r["local_time"])})
+    df = settled(df, "rec", "kind", "ts_ns")
     k = F.col("kind")
     attrs = F.when(k == "SRCH", F.coalesce(F.nullif(F.array_join(r["attrs"], ","), F.lit("")), F.lit("ALL"))).when(k == "CMP", r["cmp_attr"]).when(k == "SERVER_LOG", r["subsystem"])
     empty = lambda c: F.nullif(c, F.lit(""))
@@ -259,6 +271,8 @@ def parse_opendj(lines: DataFrame) -> DataFrame:
     for name, k in DJ_REQUESTS.items():
         kind = kind.when((phase == "REQ") & (verb == name), k)
     df = df.withColumns({"kind": F.when(F.col("p").isNull(), "UNKNOWN_LINE").otherwise(kind.otherwise("UNKNOWN_OP")), "ts_ns": T.from_bracketed(F.col("ts_text"))})
+    df = settled(df, "ts_text", "ts_ns", "p", "kind")
+    p = F.regexp_replace(F.col("p"), r"\smsg=.*$", "")
     k = F.col("kind")
     ended = k.isin("RESULT", "SEARCH_RESULT")
     scope = F.nullif(F.array_position(F.array(*map(F.lit, DJ_SCOPES)), quoted(p, "scope")), F.lit(0)) - 1

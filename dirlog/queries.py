@@ -143,8 +143,8 @@ REGISTERED: list[tuple[str, Query, str | None]] = [
     ("resource_hogs", on_operations(lambda o: P.resource_hogs(P.filter_families(o), o, 0.3)), f"{BASE} SELECT account, template, count(*) AS n, {TIME} AS etime_total, round({TIME} / (SELECT {TIME} FROM ops), 6) AS share FROM ops WHERE template IN ('(cn=*$#*)', '(employeenumber=#*)') GROUP BY account, template HAVING {TIME} * 100 >= (SELECT {TIME} FROM ops) * 0.3"),
     ("resource_consumers", on_operations(S.resource_consumers), f"{BASE} SELECT account, 'etime' AS metric, round({TIME} / (SELECT {TIME} FROM ops), 6) AS share FROM ops GROUP BY account"),
     ("latency_histogram", on_operations(S.latency_histogram), f"""{BASE}, b(bucket, label, hi) AS (VALUES (0, '0', 0), (1, '0-1', 1), (2, '1-5', 5), (3, '5-10', 10), (4, '10-50', 50), (5, '50-100', 100), (6, '100-500', 500), (7, '500-1000', 1000), (8, '1000-2000', 2000), (9, '2000-5000', 5000), (10, '>5000', 1e18))
-        SELECT bucket, label, count(v) AS n FROM b LEFT JOIN (SELECT v, (SELECT min(bucket) FROM b WHERE v <= hi) AS at FROM ops) ON at = bucket GROUP BY bucket, label"""),
-    ("latency_density", on_operations(lambda o: S.latency_density(o).drop("label")), f"{BASE}, b AS (SELECT CAST(range AS INTEGER) AS bin FROM range(35)), o AS (SELECT v, CASE WHEN v <= 0.001 THEN 0 ELSE greatest(0, least(34, CAST(trunc((log10(CAST(v AS DOUBLE)) + 3) * 5) AS INTEGER))) END AS at FROM ops) SELECT bin, count(v) AS n FROM b LEFT JOIN o ON at = bin GROUP BY bin"),
+        SELECT bucket, label, count(v) AS n FROM b LEFT JOIN (SELECT v, (SELECT min(bucket) FROM b WHERE v <= hi) AS slot FROM ops) ON slot = bucket GROUP BY bucket, label"""),
+    ("latency_density", on_operations(lambda o: S.latency_density(o).drop("label")), f"{BASE}, b AS (SELECT CAST(range AS INTEGER) AS bin FROM range(35)), o AS (SELECT v, CASE WHEN v <= 0.001 THEN 0 ELSE greatest(0, least(34, CAST(trunc((log10(CAST(v AS DOUBLE)) + 3) * 5) AS INTEGER))) END AS slot FROM ops) SELECT bin, count(v) AS n FROM b LEFT JOIN o ON slot = bin GROUP BY bin"),
     ("operation_sequences", on_operations(P.operation_sequences), f"""{BASE}, s AS (SELECT conn, account, op, {SYMBOL} AS s FROM ops),
         l AS (SELECT account, s, lag(s, 1) OVER w AS a, lag(s, 2) OVER w AS b, lag(s, 3) OVER w AS c FROM s WINDOW w AS (PARTITION BY conn ORDER BY op)),
         g AS (SELECT account, 2 AS length, a || ' > ' || s AS sequence FROM l WHERE a IS NOT NULL UNION ALL SELECT account, 3, b || ' > ' || a || ' > ' || s FROM l WHERE b IS NOT NULL
