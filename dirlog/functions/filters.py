@@ -61,12 +61,15 @@ def generalize(text: str) -> str:
     return folded(masked(text))
 
 
-@F.pandas_udf(StringType())
-def generalize_filter(filters: pd.Series) -> pd.Series:
-    """Template of each normalised filter."""
+def generalize_series(filters: pd.Series) -> pd.Series:
     return filters.map(generalize, na_action="ignore")
 
 
+def generalize_filter(c: Column | str) -> Column:
+    """Template of each normalised filter."""
+    return F.pandas_udf(generalize_series, StringType())(c)
+
+
 def with_template(df: DataFrame, column: str = "filter") -> DataFrame:
     """Adds template: worked out once for each distinct filter, then joined back."""
     known = df.where(F.col(column).isNotNull()).select(column).distinct().withColumn("template", generalize_filter(column))

@@ -6,18 +6,22 @@ within it and the grouping by life all use one exchange by that key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dirlog.schema import CONN, ENDS, REQUEST_LABELS, STARTS
 
-BEFORE = Window.partitionBy(*CONN).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-BY_OP = Window.partitionBy(*CONN, "op").orderBy("ord")
 PAGED_RESULTS = "1.2.840.113556.1.4.319"
 
 
-def latest(c: Column, window=BEFORE) -> Column:
-    return F.last(c, ignorenulls=True).over(window)
+def before() -> WindowSpec:
+    """All lines of the connection before this one."""
+    return Window.partitionBy(*CONN).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def latest(c: Column) -> Column:
+    """The last value before this line that is not null."""
+    return F.last(c, ignorenulls=True).over(before())
 
 
 def filled(c: str | Column) -> Column:
@@ -38,7 +42,7 @@ def with_identity(events: DataFrame) -> DataFrame:
 
 def with_life(lines: DataFrame) -> DataFrame:
     """Adds life: how many times the operation's number was used up on this connection before the line."""
-    return lines.withColumn("life", F.coalesce(F.sum(F.col("kind").isin(*ENDS).cast("int")).over(BY_OP.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return lines.withColumn("life", F.coalesce(F.sum(F.col("kind").isin(*ENDS).cast("int")).over(Window.partitionBy(*CONN, "op").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
 def build_operations(events: DataFrame) -> DataFrame:
@@ -92,7 +96,7 @@ def build_connections(events: DataFrame) -> DataFrame:
     took = F.when(F.col("kind").isin("RESULT", "SEARCH_RESULT"), F.col("etime"))
     lines = lines.withColumn("asked", asked.cast("int"))
     opened = F.when(F.col("kind") == "ACCEPT", F.struct("src", "ts_ns"))
-    lines = lines.withColumns({"total_etime": F.coalesce(F.sum(took).over(BEFORE), F.lit(0.0)), "ops_count": F.coalesce(F.sum("asked").over(BEFORE), F.lit(0)), "opened": latest(opened)})
+    lines = lines.withColumns({"total_etime": F.coalesce(F.sum(took).over(before()), F.lit(0.0)), "ops_count": F.coalesce(F.sum("asked").over(before()), F.lit(0)), "opened": latest(opened)})
     closed = lines.where("kind = 'CLOSED'")
     return closed.select(*CONN, F.col("opened.src").alias("src"), "who", F.col("bound").alias("binddn"), F.round("total_etime", 9).alias("total_etime"), "ops_count", F.col("opened.ts_ns").alias("opened_ts_ns"), F.col("ts_ns").alias("closed_ts_ns"), "reason", "ord")
 
@@ -100,8 +104,8 @@ def build_connections(events: DataFrame) -> DataFrame:
 def bind_usage_rows(events: DataFrame) -> DataFrame:
     """One row for each bind: method, transport as of that line, whether its session is tracked."""
     lines = with_identity(events)
-    tls = F.coalesce(F.max((F.col("kind") == "TLS") | F.coalesce("tls_started", F.lit(False)) | ((F.col("kind") == "ACCEPT") & (F.col("text") == "LDAPS"))).over(BEFORE), F.lit(False))
-    start = F.coalesce(F.max((F.col("kind") == "STARTTLS") | F.coalesce("tls_started", F.lit(False)) | ((F.col("kind") == "EXT") & (F.col("oid") == "1.3.6.1.4.1.1466.20037"))).over(BEFORE), F.lit(False))
+    tls = F.coalesce(F.max((F.col("kind") == "TLS") | F.coalesce("tls_started", F.lit(False)) | ((F.col("kind") == "ACCEPT") & (F.col("text") == "LDAPS"))).over(before()), F.lit(False))
+    start = F.coalesce(F.max((F.col("kind") == "STARTTLS") | F.coalesce("tls_started", F.lit(False)) | ((F.col("kind") == "EXT") & (F.col("oid") == "1.3.6.1.4.1.1466.20037"))).over(before()), F.lit(False))
     rows = lines.withColumns({"tls": tls, "start_tls": start}).where("kind in ('BIND', 'BIND_ANON')")
     empty = F.coalesce(filled("binddn"), filled("dn")).isNull()
     method = F.when((F.col("kind") == "BIND_ANON") | (F.col("method") == 0) | ((F.col("method") == 128) & empty), "ANONYMOUS").when(F.col("method") == 128, "SIMPLE").when(F.col("method") == 163, "SASL").otherwise("OTHER")
@@ -116,8 +120,8 @@ def restart_epoch(events: DataFrame) -> DataFrame:
     The rare start lines of a file become one array, joined by file: no window over a whole file.
     """
     starts = events.where("kind = 'SLAPD_STARTING'").groupBy("file").agg(F.array_sort(F.collect_list("ord")).alias("starts"))
-    before = F.size(F.filter("starts", lambda s: s < F.col("ord")))
-    return events.join(starts, "file", "left").withColumn("restart", F.when(F.col("starts").isNull(), 0).otherwise(before)).drop("starts")
+    earlier = F.size(F.filter("starts", lambda s: s < F.col("ord")))
+    return events.join(starts, "file", "left").withColumn("restart", F.when(F.col("starts").isNull(), 0).otherwise(earlier)).drop("starts")
 
 
 def session_correlations(events: DataFrame) -> DataFrame:
