@@ -245,10 +245,17 @@ def likely(text: Column) -> Column:
 
 
 def training_texts(docs: DataFrame, id: str, text: str, sample: int) -> list[str]:
-    """Up to ``sample`` texts by a hash of the id, half of them likely to hold fixed secrets, of 200,000 characters at most."""
+    """Up to ``sample`` texts by a hash of the id, half of them likely to hold fixed secrets, of 200,000 characters at most.
+
+    The hashes are chosen first and the texts read afterwards, so the driver gets no more than the sample.
+    """
     rows = docs.select(F.xxhash64(F.lit(3), id).alias("h"), F.col(text).cast("string").alias("t")).where("t is not null and length(t) between 1 and 200000")
-    pick = lambda df, n: [r.t for r in df.orderBy("h", "t").limit(n).collect()]
-    return pick(rows.where(likely(F.col("t"))), sample // 2) + pick(rows.where(F.pmod("h", F.lit(2)) == 0), sample // 2)
+    out = []
+    for half in (rows.where(likely(F.col("t"))), rows.where(F.pmod("h", F.lit(2)) == 0)):
+        chosen = half.select("h").distinct().orderBy("h").limit(max(1, sample // 2)).agg(F.max("h")).first()[0]
+        if chosen is not None:
+            out += [r.t for r in half.where(F.col("h") <= chosen).orderBy("h", "t").limit(sample // 2).collect()]
+    return out
 
 
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
