@@ -226,7 +226,8 @@ def parse_ds389_json(records: DataFrame) -> DataFrame:
     """389-ds JSON records (rec) of access and errors logs; a header is a title, what is no object is unknown."""
     r = F.col("rec")
     op = r["operation"]
-    kind = F.when(r.isNull(), "UNKNOWN_LINE").when(r["header"].isNotNull(), "TITLE").when(r["severity"].isNotNull(), "SERVER_LOG").when(op == "RESULT", F.when(r["tag"] == 101, "SEARCH_RESULT").otherwise("RESULT"))
+    nothing = F.coalesce(r["local_time"], r["operation"], r["severity"], r["header"]["version"]).isNull()
+    kind = F.when(nothing, "UNKNOWN_LINE").when(r["header"].isNotNull(), "TITLE").when(r["severity"].isNotNull(), "SERVER_LOG").when(op == "RESULT", F.when(r["tag"] == 101, "SEARCH_RESULT").otherwise("RESULT"))
     for name, k in JSON_KINDS.items():
         kind = kind.when(op == name, k)
     for name in ("BIND", "UNBIND", "ADD", "MOD", "MODRDN", "DEL", "EXT", "ABANDON", "CMP", "SRCH", "ENTRY", "REFERRAL", "STAT", "VLV", "SORT"):

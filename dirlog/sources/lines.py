@@ -132,7 +132,7 @@ def select_run_kind(files: DataFrame, single_kind: bool = False) -> DataFrame:
 def read_json_pretty(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, ord, raw): one whole JSON object of many lines a row; a record ends at a closing brace at a line's start."""
     df = read_lines(spark, paths, separator="\n}")
-    return df.select("file", "ord", F.concat(F.trim("raw"), F.lit("\n}")).alias("raw")).where(F.col("raw").rlike(r"^\{"))
+    return df.select("file", "ord", F.concat(F.regexp_replace("raw", r"^\s+", ""), F.lit("\n}")).alias("raw")).where(F.col("raw").rlike(r"^\{"))
 
 
 def read_ds389_json(lines: DataFrame) -> DataFrame:
