@@ -25,7 +25,10 @@ def fraction(c: Column) -> Column:
 def from_rfc3339(c: Column) -> Column:
     """With T or a blank between day and time, any fraction, and Z, +hh:mm, +hhmm or (as Z) no zone, a blank before it or not."""
     plain = F.regexp_replace(F.regexp_replace(c, r"\.\d+| (?=[+-])|(?<=[+-]\d{2}):(?=\d{2}$)", ""), " ", "T")
-    return seconds(F.when(plain.rlike(ZONE), plain).otherwise(F.concat(plain, F.lit("Z"))), "yyyy-MM-dd'T'HH:mm:ss") * NS + fraction(c)
+    any_zone = seconds(F.when(plain.rlike(ZONE), plain).otherwise(F.concat(plain, F.lit("Z"))), "yyyy-MM-dd'T'HH:mm:ss") * NS + fraction(c)
+    # The usual case, UTC, needs no pattern; a cast keeps six digits of the fraction.
+    utc = F.unix_micros(c.try_cast("timestamp")) * 1000 + F.when(F.length(c) > 27, F.pmod(fraction(c), F.lit(1000))).otherwise(0)
+    return F.when(F.endswith(c, F.lit("Z")), utc).otherwise(any_zone)
 
 
 def from_bracketed(c: Column) -> Column:
