@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dirlog.llm.base import bounded
+
 #: Samples a second as stored and as analysed (ratio UP / DOWN), samples of a window, of its transform and between windows.
 RATE, UP, DOWN, WINDOW, FFT, HOP = 8000, 3, 4, 150, 256, 60
 #: Mel bands, frames of a tensor, dB above and below the median energy at which a segment opens and closes.
@@ -143,7 +145,7 @@ def as_media(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(part)), pa.array([n for n, _ in part], pa.int64()), pa.array([to_wav(p) for _, p in part], pa.binary())], ["id", "n_bytes", "media"])
 
     kind = docs.select(id).schema[0].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(make, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id)
+    return bounded(docs).select(id, text).mapInArrow(make, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id)
 
 
 SCHEMA = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, n_segments long, active_frames long, n_tensors long, tensors binary"

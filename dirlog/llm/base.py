@@ -37,6 +37,17 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that Spark hands to Python at most, unless a single row is longer.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, of whose rows Python workers get a few MB at once, however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

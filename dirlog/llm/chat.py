@@ -15,6 +15,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dirlog.llm.base import bounded
+
 #: Control strings of the template and the reserved ids that stand for them, after the vocabulary's own.
 START, END = "<|im_start|>", "<|im_end|>"
 START_ID, END_ID = 50_257, 50_258
@@ -116,7 +118,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     where the rows lie; a conversation is then read in order, one turn at a time, and written in parts of
     about PART tokens, so no task holds a whole long one.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = bounded(turns).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     coded = rows.mapInArrow(encode_turns, "conv_id long, turn long, learned boolean, role_ids array<int>, text_ids array<int>")
     sorted_rows = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role_ids", "text_ids")
     return sorted_rows.select("conv_id", "learned", "role_ids", "text_ids").mapInArrow(assemble, "conv_id long, part int, first_token long, n_turns int, ids array<int>, loss_starts array<int>, loss_ends array<int>, is_last boolean")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dirlog.llm.base import components, stored
+from dirlog.llm.base import bounded, components, stored
 
 #: Rows of a block at least and at most, blocks aimed at between, cells of an estimate matrix, and standard errors of slack.
 LEAST_ROWS, MOST_ROWS, BLOCKS, CELLS, ERRORS = 1024, 32_768, 8, 1 << 22, 6.0
@@ -171,7 +171,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, seed: int = 0, id: str
     non-finite numbers link with nothing, and vectors of different lengths never link. n_links counts rows;
     component_id is the smallest id reachable; rows with a null id count as links but have no component.
     """
-    rows = stored(unit_vectors(vectors, id, vector))
+    rows = stored(unit_vectors(bounded(vectors), id, vector))
     classes = stored(rows.where("unit is not null and id is not null").groupBy("unit", "dim").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
     found = stored(links(classes, least, seed))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from dirlog.llm.base import stored
+from dirlog.llm.base import bounded, stored
 
 #: Tokens of a sequence, the id that ends a document, rows of a shard of the index, and BM25's constants.
 LENGTH, END_ID, SHARD_ROWS, K1, B = 2048, 1, 1000, 1.2, 0.75
@@ -29,18 +29,22 @@ PLAIN = re.compile(r"[\x00-\u024f]*")
 
 
 @lru_cache(1)
-def tokenizers() -> tuple[Tokenizer, tiktoken.Encoding]:
-    """The tokenizer, and a library that is quicker at the same merges."""
+def tokenizer() -> Tokenizer:
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@lru_cache(1)
+def merges() -> tiktoken.Encoding:
+    """The tokenizer's merges in a library that is quicker at them."""
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def encode(text: str) -> np.ndarray:
     """The tokenizer's ids of the whole text, without special tokens added; what may differ goes to the tokenizer itself."""
-    whole, fast = tokenizers()
     same = SPECIAL not in text and PLAIN.fullmatch(text) and not any(c in text for c in WHITE)
-    return np.array(fast.encode_ordinary(text) if same else whole.encode(text, add_special_tokens=False).ids, np.uint16)
+    return np.array(merges().encode_ordinary(text) if same else tokenizer().encode(text, add_special_tokens=False).ids, np.uint16)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -147,7 +151,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     own; what is left of documents is dealt at random to shards of about SHARD_ROWS rows, each with its own
     index under the document frequencies of all documents. Ids are integers; repeated rows are packed each.
     """
-    rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tokens = stored(rows.mapInArrow(tokenise, TOKENS).withColumn("row", F.monotonically_increasing_id()))
     pieces, rests = tokens.where("length is not null and ids is null"), tokens.where("ids is not null")
     stats = rests.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()

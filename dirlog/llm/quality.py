@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from dirlog.llm.base import sized, stored
+from dirlog.llm.base import bounded, sized, stored
 
 #: Buckets of the hashed n-grams, labelled rows learned from at most, words whose codes a worker keeps.
-BUCKETS, LABELLED, CACHE = 1 << 15, 20_000, 400_000
+BUCKETS, LABELLED, CACHE = 1 << 15, 20_000, 200_000
 #: Of ten labelled rows so many set the threshold and take no part in the target model.
 HELD_OUT = 2
 
@@ -155,7 +155,7 @@ def gumbel_key(id: str, weight: str, seed: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, k: int | None, seed: int, limit: int, id: str, text: str, quality: str) -> tuple[np.ndarray, float, DataFrame]:
     """(log ratios of the buckets, the k-th largest key, (id, log_weight) of every row)."""
     known = labelled(labels, id, quality, limit)
-    rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = bounded(docs).select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     ratio = fit(rows, known, "id", "text")
     scores = stored(scored(rows, ratio, "text", "log_weight").drop("text"))
     if k is None:

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dirlog.llm.base import bounded
+
 # Fixed values of the contract: kinds in order, patterns, and least lengths of what the last group matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -28,7 +30,7 @@ LOOK = r"[0-9a-f]{32}|AKIA[A-Z0-9]{12}|(?i:passw|secret|token|api_?key)"
 
 #: Documents trained on, half of them with fixed secrets; tokens kept on each side; words known; steps; penalty.
 SAMPLE, AROUND, WORDS, STEPS, PENALTY = 2000, 8, 256, 120, 0.02
-CACHE = 400_000
+CACHE = 200_000
 TOKEN = re.compile(r"\n|[\w+/.\-]+|[^\w\s+/.\-]")
 
 Span = tuple[int, int, int, int]  # start, end, index of the kind, start of the secret value
@@ -279,7 +281,7 @@ def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", sample
 
 def scanner(docs: DataFrame, id: str, text: str, sample: int):
     """A function for tasks: (batches, place of the text) to (batch, texts, spans of each)."""
-    field = train(training_texts(docs, id, text, sample))
+    field = train(training_texts(bounded(docs), id, text, sample))
     held = docs.sparkSession.sparkContext.broadcast((field.words, field.weights) if field else None)
 
     def scan(batches, place: int):

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlog.llm.base import Forest, components, spanning, stored
+from dirlog.llm.base import Forest, bounded, components, spanning, stored
 
 #: A-Z to a-z and every white-space byte to a space; bytes of longer UTF-8 characters stay.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")
@@ -46,7 +46,7 @@ def with_fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     kind = docs.select(id).schema[0].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(make, f"id {kind}, fp long")
+    return bounded(docs).select(id, text).mapInArrow(make, f"id {kind}, fp long")
 
 
 def masks(n: int, bits: int) -> list[int]:

@@ -19,12 +19,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dirlog.llm.base import sized
+from dirlog.llm.base import bounded, sized
 
 MARK = "▁"
 PRE_TOKEN = re.compile(f"{MARK}+[^{MARK}\n]*|\n+[^{MARK}\n]*|[^{MARK}\n]+")
 #: Entries of the broadcast table, of each task's summary, of a worker's cache, characters cut at once.
-FREQUENT, SUMMARY, CACHE, CHUNK = 65_536, 8_192, 400_000, 1_000_000
+FREQUENT, SUMMARY, CACHE, CHUNK = 65_536, 8_192, 200_000, 1_000_000
 
 
 def model_path() -> str:
@@ -83,7 +83,7 @@ def count_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", limit:
     Rows are not grouped: repeated rows come back repeated, a null id stays null, other columns are
     ignored. Counts equal the library's on the whole text, without begin or end tokens.
     """
-    path = path or model_path()
+    path, docs = path or model_path(), bounded(docs)
     pre = [p for p in frequent(docs, text, FREQUENT) if "\0" not in p]
     lens = lengths(checked(path), pre) if pre else []
     known = docs.sparkSession.sparkContext.broadcast(("\0".join(pre), np.array(lens, np.uint32)))
