@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dirlog.functions import codes
@@ -12,6 +12,8 @@ from dirlog.schema import READS, REQUEST_LABELS, UNKNOWN, WRITES
 
 #: Times are added as decimals, so that a sum does not depend on the order of its parts.
 MONEY = "decimal(28,9)"
+#: Texts that a row of a report lists at most.
+TEXTS = 100
 
 
 def time_sum(c: Column | str) -> Column:
@@ -55,20 +57,36 @@ def summary_stats(events: DataFrame, operations: DataFrame) -> DataFrame:
     return e.join(o)
 
 
-def result_codes(operations: DataFrame) -> DataFrame:
-    """Per code: name, class, count, and its texts with counts."""
-    texts = completed(operations).where("err is not null").groupBy("err", "text").agg(F.count("*").alias("n"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("m"), "text"))))
-    out = texts.groupBy("err").agg(F.sum("n").alias("n"), F.transform(listed, lambda s: F.struct(s["text"].alias("text"), (-s["m"]).alias("n"))).alias("texts"))
+def texts_by_code(operations: DataFrame, failing: bool = False) -> DataFrame:
+    """(who, err, text, n): every text of every code, whole and flat; of failing codes only if asked."""
+    rows = completed(operations).where(codes.is_error(F.col("err")) if failing else F.col("err").isNotNull())
+    return rows.groupBy("who", "err", "text").agg(F.count("*").alias("n"))
+
+
+def with_texts(counts: DataFrame, keys: list[str], keep: int) -> DataFrame:
+    """(keys, n, texts): sums over the texts, and the ``keep`` most frequent texts, ties by text, in order.
+
+    Spark cuts each task's rows to the first ``keep`` of a key before it shuffles them.
+    """
+    w = Window.partitionBy(*keys).orderBy(F.desc("n"), "text")
+    best = counts.where("text is not null").withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "text", "n"))), lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
+    texts = best.groupBy(*keys).agg(listed.alias("texts"))
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n")).join(texts, keys, "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<struct<text:string,n:bigint>>")))
+
+
+def result_codes(operations: DataFrame, keep: int = TEXTS) -> DataFrame:
+    """Per code: name, class, count, and its most frequent texts with counts (``texts_by_code`` has all)."""
+    counts = texts_by_code(operations).groupBy("err", "text").agg(F.sum("n").alias("n"))
+    out = with_texts(counts, ["err"], keep)
     return out.select("err", codes.result_code_name(F.col("err")).alias("name"), codes.result_code_class(F.col("err")).alias("class"), "n", "texts")
 
 
-def errors_per_account(operations: DataFrame) -> DataFrame:
-    """Failing codes per account with that account's own texts, most frequent first."""
-    bad = completed(operations).where(codes.is_error(F.col("err"))).groupBy("who", "err", "text").agg(F.count("*").alias("n"))
-    listed = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("m"), "text"))))
-    out = bad.groupBy("who", "err").agg(F.sum("n").alias("n"), F.transform(listed, lambda s: F.concat(s["text"], F.lit(" x"), (-s["m"]).cast("string"))).alias("texts"))
-    return out.select(F.col("who").alias("account"), F.col("err").alias("code"), codes.result_code_name(F.col("err")).alias("name"), "n", F.array_join("texts", "; ").alias("texts"))
+def errors_per_account(operations: DataFrame, keep: int = TEXTS) -> DataFrame:
+    """Failing codes per account with that account's own most frequent texts."""
+    out = with_texts(texts_by_code(operations, failing=True), ["who", "err"], keep)
+    texts = F.array_join(F.transform("texts", lambda s: F.concat(s["text"], F.lit(" x"), s["n"].cast("string"))), "; ")
+    return out.select(F.col("who").alias("account"), F.col("err").alias("code"), codes.result_code_name(F.col("err")).alias("name"), "n", texts.alias("texts"))
 
 
 def codes_by_class(operations: DataFrame) -> DataFrame:
@@ -105,11 +123,10 @@ def wildcard_filters(events: DataFrame) -> DataFrame:
 
 
 def filters_per_account(operations: DataFrame, n: int = 5) -> DataFrame:
-    """The n most frequent filters of each account, ties by filter; the counts are small before they are ranked."""
+    """The n most frequent filters of each account, ties by filter; tasks keep n of an account before they shuffle."""
     counts = with_filter_key(completed(operations)).groupBy("who", "filter").agg(F.count("*").alias("n"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "filter"))), 1, n)
-    rows = counts.groupBy("who").agg(best.alias("best"))
-    return rows.select(F.col("who").alias("account"), F.posexplode("best").alias("i", "b")).select("account", (F.col("i") + 1).alias("rank"), "b.filter", (-F.col("b.m")).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("who").orderBy(F.desc("n"), "filter"))
+    return counts.select(F.col("who").alias("account"), rank.alias("rank"), "filter", "n").where(F.col("rank") <= n)
 
 
 def attribute_counts(events: DataFrame) -> DataFrame:
