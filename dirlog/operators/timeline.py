@@ -33,21 +33,24 @@ def concurrency(deltas: DataFrame, by: tuple[str, ...] = (), order: tuple[str, .
 
 
 def concurrency_scan(deltas: DataFrame, partitions: int | None = None, order: tuple[str, ...] = ("t", "file", "ord")) -> DataFrame:
-    """The same over everything in two passes: no task sees more than its range of time.
+    """The same over everything in two passes: no task sees more than its ranges of time.
 
-    A range of events maps x open connections to max(x + a, b); those two numbers of each range come to the
-    driver (as many as there are partitions), and a second pass begins each range with what was open before.
+    The ranges are fixed by approximate quantiles first, so that both passes cut alike. A range of events maps x
+    open connections to max(x + a, b); those two numbers of each range come to the driver (as many as there are
+    ranges), and the second pass begins each range with what was open before.
     """
     n = partitions or max(1, int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    parts = deltas.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    cuts = sorted(set(deltas.approxQuantile(order[0], [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
+    parts = deltas.withColumn("_part", part.cast("int")).repartition(n, "_part").sortWithinPartitions("_part", *order)
 
     def fold(batches):
-        part, a, b = None, 0, 0
+        done: dict[int, list[int]] = {}
         for batch in batches:
             for p, d in zip(batch.column("_part").to_pylist(), batch.column("delta").to_pylist()):
-                part, a, b = p, a + d, max(b + d, 0)
-        if part is not None:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "a": pa.array([a], pa.int64()), "b": pa.array([b], pa.int64())})
+                x = done.setdefault(p, [0, 0])
+                x[0], x[1] = x[0] + d, max(x[1] + d, 0)
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(done), pa.int32()), "a": pa.array([x[0] for x in done.values()], pa.int64()), "b": pa.array([x[1] for x in done.values()], pa.int64())})
 
     start, open_now = {}, 0
     for r in sorted(parts.select("_part", "delta").mapInArrow(fold, "part int, a long, b long").collect(), key=lambda r: r.part):
@@ -57,11 +60,12 @@ def concurrency_scan(deltas: DataFrame, partitions: int | None = None, order: tu
     names = deltas.columns
 
     def walk(batches):
-        now = None
+        at, now = None, 0
         for batch in batches:
             out = []
             for p, d in zip(batch.column("_part").to_pylist(), batch.column("delta").to_pylist()):
-                now = max((held.value.get(p, 0) if now is None else now) + d, 0)
+                now = max((now if p == at else held.value[p]) + d, 0)
+                at = p
                 out.append(now)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int64())], [*names, "open"])
 
