@@ -79,7 +79,7 @@ def block_pairs(blocks: DataFrame, pivots: DataFrame, least: float) -> DataFrame
     a, b = (caps.select(F.col("block").alias(x), "dim", F.col("wide").alias(f"wide_{x}"), F.col("pivot").alias(f"pivot_{x}")) for x in "ab")
     dot = F.aggregate(F.zip_with("pivot_a", "pivot_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("wide_a") - F.col("wide_b")
-    return a.join(b, "dim").where(F.col("a") <= F.col("b")).where(F.coalesce(gap <= float(np.arccos(least)) + 1e-9, F.lit(True)) | (F.col("a") == F.col("b"))).select("a", "b")
+    return a.join(b, "dim").where(F.col("a") <= F.col("b")).where(F.coalesce(gap <= float(np.arccos(least)) + 1e-6, F.lit(True)) | (F.col("a") == F.col("b"))).select("a", "b")
 
 
 def compare(a: np.ndarray, b: np.ndarray, same: bool, least: float, seed: int):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -14,7 +12,7 @@ from dirlog.llm.base import stored
 #: Weights of the sources in code-point order, repeating; part of all sizes to share; most times a source may be taken.
 WEIGHTS, SHARE, CAP = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Words of a block at most, blocks in all at least, and blocks of an output shard.
-BLOCK_WORDS, LEAST_BLOCKS, SHARD_BLOCKS = 2_000_000, 4096, 256
+BLOCK_WORDS, LEAST_BLOCKS, SHARD_BLOCKS = 500_000, 4096, 64
 #: Rows of the table of dealt blocks up to which it is broadcast; beyond it is joined by shuffle.
 BROADCAST_ROWS = 20_000
 

@@ -7,7 +7,6 @@ sample of documents in which what the fixed patterns find is the truth.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
