@@ -1,0 +1,141 @@
+"""Near copies by exact Jaccard similarity of word shingles: prefix filtering, verification, components.
+
+Two sets whose Jaccard similarity is t or more share a shingle among the first n - ceil(t n) + 1 of each, in
+whatever order all sets are held. Those heads make the buckets; nothing else decides who is compared, so no
+pair is missed. Shingles that are frequent in a sample come last in the order, which only saves work.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dirlog.llm.base import bounded, components, stored
+from dirlog.llm.simhash import FOLD
+
+#: Texts of the sample, texts of it from which a shingle counts as frequent, rows of a bucket above which only
+#: pairs in different components are compared, and rows of a tile.
+SAMPLE, FREQUENT, LARGE, TILE = 5_000, 4, 32, 512
+
+
+def shingles(text: str, words: int = 5) -> np.ndarray:
+    """Distinct XXH64 (seed 42) of the word shingles, ascending; of all words where there are fewer; none without words."""
+    found = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(words, len(found))
+    n = len(found) - k + 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n))
+
+
+def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles ascending, texts of the sample that hold them). texts: (th, text)."""
+    step = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod(F.col("th"), F.lit(step)) == 0).dropDuplicates(["th"])
+
+    def make(batches):
+        for batch in batches:
+            for t in batch.column(1).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t or "", words).view(np.int64))], ["h"])
+
+    counts = sample.mapInArrow(make, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
+    h, n = np.asarray(counts.column("h")).view(np.uint64), np.asarray(counts.column("n"))
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def with_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
+    """(doc_id, th, whole, n, head, tail): hashes of the text and of its set, and the set, cut behind its head."""
+    texts = bounded(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    held = docs.sparkSession.sparkContext.broadcast(frequent(texts.select("th", "text"), words))
+
+    def make(batches):
+        known, counts = held.value
+        for batch in batches:
+            rows = []
+            for t in batch.column(2).to_pylist():
+                s = shingles(t or "", words)
+                whole = xxhash.xxh64_intdigest(s.tobytes(), 42)
+                if len(known) and len(s):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
+                cut = len(s) - math.ceil(least * len(s) - 1e-9) + 1 if len(s) else 0
+                rows.append((whole - (1 << 64) if whole >= 1 << 63 else whole, len(s), s[:cut].view(np.int64), s[cut:].tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "th", "whole", "n", "head", "tail"])
+
+    kind = docs.select("doc_id").schema[0].dataType.simpleString()
+    return texts.mapInArrow(make, f"doc_id {kind}, th long, whole long, n int, head array<long>, tail binary")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (u, v) of sets those whose Jaccard similarity is ``least`` or more. sets: (whole, head, tail)."""
+
+    def check(batches):
+        for batch in batches:
+            u, v, *parts = (c.to_pylist() for c in batch.columns)
+            keep = np.zeros(len(u), bool)
+            for i, (a, b, c, d) in enumerate(zip(*parts)):
+                x, y = (np.concatenate((np.array(h, np.int64), np.frombuffer(t, np.int64))) for h, t in ((a, b), (c, d)))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both + 1e-9 >= least * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
+
+    one = pairs.join(sets.select(F.col("whole").alias("u"), F.col("head").alias("uh"), F.col("tail").alias("ut")), "u")
+    two = one.join(sets.select(F.col("whole").alias("v"), F.col("head").alias("vh"), F.col("tail").alias("vt")), "v")
+    return two.select("u", "v", "uh", "ut", "vh", "vt").mapInArrow(check, "u long, v long")
+
+
+def links(sets: DataFrame, least: float) -> DataFrame:
+    """Links (u, v) that connect all sets whose Jaccard similarity is ``least`` or more. sets: (whole, n, head, tail), distinct.
+
+    In buckets of up to LARGE rows all pairs are compared, in larger ones first all with the smallest; then,
+    in larger ones, all pairs that these links leave in different components, dealt out in tiles.
+    """
+    keyed = sets.select("whole", "n", F.posexplode("head").alias("at", "key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("whole", "n", "at")).alias("first")).where("m > 1")
+    keyed = stored(keyed.join(counts, "key"))
+    rest = "least(an, bn) >= {0} * greatest(an, bn) - 1e-6 and least(aat, bat) + least(an - aat, bn - bat) >= (an + bn) * {0} / (1 + {0}) - 1e-6".format(least)
+
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select("key", *more, *(F.col(c).alias(name + c) for c in ("whole", "n", "at")))
+
+    small, large = keyed.where(f"m <= {LARGE}"), keyed.where(f"m > {LARGE}")
+    pairs = side(small, "a").join(side(small, "b"), "key").where(f"awhole < bwhole and {rest}").select(F.col("awhole").alias("u"), F.col("bwhole").alias("v"))
+    led = side(large, "b", "first").selectExpr("first.whole awhole", "first.n an", "first.at aat", "bwhole", "bn", "bat").where(f"awhole < bwhole and {rest}")
+    near = stored(verified(pairs.union(led.select("awhole", "bwhole")).distinct(), sets, least))
+    if large.isEmpty():
+        return near
+    label = components(near).withColumnRenamed("id", "whole")
+    large = large.join(label, "whole", "left").withColumn("c", F.coalesce("component_id", "whole"))
+    large = stored(large.withColumn("tiles", F.ceil(F.col("m") / TILE)).withColumn("own", F.pmod(F.xxhash64("whole"), F.col("tiles"))).select("key", "whole", "n", "at", "c", "tiles", "own"))
+    a = large.withColumn("tile", F.explode(F.sequence("own", F.col("tiles") - 1)))
+    b = large.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), "own")))
+    a = a.select("key", F.col("own").alias("x"), F.col("tile").alias("y"), F.col("whole").alias("awhole"), F.col("n").alias("an"), F.col("at").alias("aat"), F.col("c").alias("ac"))
+    b = b.select("key", F.col("from").alias("x"), F.col("own").alias("y"), F.col("whole").alias("bwhole"), F.col("n").alias("bn"), F.col("at").alias("bat"), F.col("c").alias("bc"))
+    apart = a.join(b, ["key", "x", "y"]).where(f"ac <> bc and (x < y or awhole < bwhole) and {rest}")
+    more = apart.select(F.least("awhole", "bwhole").alias("u"), F.greatest("awhole", "bwhole").alias("v")).distinct()
+    return near.union(verified(more, sets, least))
+
+
+def groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, th, component_id) of every row of docs (doc_id, text); th is the text's XXH64 of Spark.
+
+    Rows link where the Jaccard similarity of their sets of word shingles is ``least`` or more; equal sets
+    (exact copies, rows without words) are one class before any comparison.
+    """
+    rows = stored(with_sets(docs, words, least))
+    first = rows.groupBy("whole").agg(F.min(F.struct("th", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f"))
+    sets = rows.join(first, "whole").where("th = f.th and doc_id <=> f.doc_id").dropDuplicates(["whole"]).select("whole", "n", "head", "tail")
+    label = components(links(stored(sets), least))
+    return rows.select("doc_id", "th", "whole").join(label, F.col("whole") == F.col("id"), "left").select("doc_id", "th", F.coalesce("component_id", "whole").alias("component_id"))

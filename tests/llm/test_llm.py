@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dirlog.llm import audio, base, chat, embeddings, licences, mixing, packing, quality, secretscan, simhash, tokencount
+from dirlog.llm import audio, base, chat, embeddings, jaccard, licences, mixing, packing, quality, secretscan, simhash, tokencount
 
 SF = "/root/testdata/sf0.001"
 #: Null, empty and blank texts, odd white space, other scripts, repeats, a very long word and control strings.
@@ -374,3 +374,39 @@ def test_pipeline_on_repeated_and_empty_rows(spark, odd, empty):
     kept = corpus_pipeline.near_duplicate_stage(spark, odd, SF)
     assert kept.columns == odd.columns and kept.groupBy("doc_id").count().where("count > 1").count() == 0
     assert corpus_pipeline.near_duplicate_stage(spark, empty, SF).count() == 0 and corpus_pipeline.secret_stage(spark, empty, SF).count() == 0
+
+
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_copies_against_all_pairs(spark):
+    """The stage against Jaccard of all pairs, with buckets large enough to be led and dealt out in tiles."""
+    rng = random.Random(5)
+    texts = [None, "", "one two", "ONE  two"]
+    line = " ".join(f"common{i}" for i in range(12))
+    for size in (12, 60, 200):
+        for k in range(5):
+            origin = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+            for _ in range(7):
+                copy = list(origin)
+                for _ in range(rng.randrange(0, 2 + size // 30)):
+                    copy[rng.randrange(size)] = f"n{rng.randrange(10**6)}"
+                texts.append(" ".join(copy) + (" " + line if k == 0 else ""))
+    texts += [line + f" end{i}" for i in range(20)]
+    rng.shuffle(texts)
+    rows = [(None if i % 10 == 3 else i, t, "en", "s", None) for i, t in enumerate(texts)]
+    sets = [plain_shingles(t) for t in texts]
+    near = np.array([[(len(a & b) >= 0.8 * len(a | b)) for b in sets] for a in sets])
+    label = embeddings.merge_labels(np.arange(len(texts)), *np.nonzero(near))
+    want = {}
+    for (i, t, *_), c in zip(rows, label.tolist()):
+        want[c] = min(want.get(c, (True, 0)), (i is None, i or 0))
+    old = jaccard.LARGE, jaccard.TILE
+    for jaccard.LARGE, jaccard.TILE in (old, (3, 4)):
+        got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want.values())
+    jaccard.LARGE, jaccard.TILE = old
+    far = [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1))) if bin(plain_fingerprint(texts[i] or "") ^ plain_fingerprint(texts[j] or "")).count("1") > 4]
+    assert far, "pairs that the narrow fingerprints miss"
