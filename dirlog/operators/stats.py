@@ -12,8 +12,6 @@ from dirlog.schema import READS, REQUEST_LABELS, UNKNOWN, WRITES
 
 #: Times are added as decimals, so that a sum does not depend on the order of its parts.
 MONEY = "decimal(28,9)"
-#: Texts that a row of a report lists at most.
-TEXTS = 100
 
 
 def time_sum(c: Column | str) -> Column:
@@ -63,11 +61,16 @@ def texts_by_code(operations: DataFrame, failing: bool = False) -> DataFrame:
     return rows.groupBy("who", "err", "text").agg(F.count("*").alias("n"))
 
 
-def with_texts(counts: DataFrame, keys: list[str], keep: int) -> DataFrame:
-    """(keys, n, texts): sums over the texts, and the ``keep`` most frequent texts, ties by text, in order.
+def with_texts(counts: DataFrame, keys: list[str], keep: int | None) -> DataFrame:
+    """(keys, n, texts): sums over the texts, and all texts, or the ``keep`` most frequent; ties by text, in order.
 
-    Spark cuts each task's rows to the first ``keep`` of a key before it shuffles them.
+    With ``keep`` Spark cuts each task's rows to the first ``keep`` of a key before it shuffles them. Without,
+    a row holds each distinct text of its key once.
     """
+    if keep is None:
+        listed = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct((-F.col("n")).alias("k"), "text", "n"))))
+        out = counts.groupBy(*keys).agg(F.sum("n").alias("n"), listed.alias("texts"))
+        return out.withColumn("texts", F.transform("texts", lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n"))))
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "text")
     best = counts.where("text is not null").withColumn("k", F.row_number().over(w)).where(F.col("k") <= keep)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "text", "n"))), lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n")))
@@ -75,15 +78,15 @@ def with_texts(counts: DataFrame, keys: list[str], keep: int) -> DataFrame:
     return counts.groupBy(*keys).agg(F.sum("n").alias("n")).join(texts, keys, "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<struct<text:string,n:bigint>>")))
 
 
-def result_codes(operations: DataFrame, keep: int = TEXTS) -> DataFrame:
-    """Per code: name, class, count, and its most frequent texts with counts (``texts_by_code`` has all)."""
+def result_codes(operations: DataFrame, keep: int | None = None) -> DataFrame:
+    """Per code: name, class, count, and its texts with counts, the most frequent first; only ``keep`` if asked."""
     counts = texts_by_code(operations).groupBy("err", "text").agg(F.sum("n").alias("n"))
     out = with_texts(counts, ["err"], keep)
     return out.select("err", codes.result_code_name(F.col("err")).alias("name"), codes.result_code_class(F.col("err")).alias("class"), "n", "texts")
 
 
-def errors_per_account(operations: DataFrame, keep: int = TEXTS) -> DataFrame:
-    """Failing codes per account with that account's own most frequent texts."""
+def errors_per_account(operations: DataFrame, keep: int | None = None) -> DataFrame:
+    """Failing codes per account with that account's own texts, the most frequent first; only ``keep`` if asked."""
     out = with_texts(texts_by_code(operations, failing=True), ["who", "err"], keep)
     texts = F.array_join(F.transform("texts", lambda s: F.concat(s["text"], F.lit(" x"), s["n"].cast("string"))), "; ")
     return out.select(F.col("who").alias("account"), F.col("err").alias("code"), codes.result_code_name(F.col("err")).alias("name"), "n", texts.alias("texts"))

@@ -239,3 +239,17 @@ def test_oracle_pairs(spark):
         clean = lambda v: round(v, 6) if isinstance(v, float) else v
         want = sorted((tuple(clean(v) for _, v in sorted(zip(names, r))) for r in cur.fetchall()), key=str)
         assert sorted((tuple(clean(r[c]) for c in sorted(df.columns)) for r in df.collect()), key=str) == want
+
+
+def test_all_texts_of_a_code(spark):
+    rows = bind(1)
+    for i in range(150):
+        rows += search(1, i + 1, "(a=b)", 1, 0, 53)
+        rows[-1] += f"reason {i:03d}"
+    ops = O.build_operations(parse(spark, rows))
+    want = [f"reason {i:03d}" for i in range(150)]
+    code = next(r for r in S.result_codes(ops).collect() if r.err == 53)
+    assert code.n == 150 and [(t.text, t.n) for t in code.texts] == [(w, 1) for w in want]
+    account = S.errors_per_account(ops).first()
+    assert account.n == 150 and account.texts == "; ".join(f"{w} x1" for w in want)
+    assert [len(r.texts) for r in S.result_codes(ops, keep=3).where("err = 53").collect()] == [3]
