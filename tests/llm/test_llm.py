@@ -410,3 +410,16 @@ def test_near_copies_against_all_pairs(spark):
     jaccard.LARGE, jaccard.TILE = old
     far = [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1))) if bin(plain_fingerprint(texts[i] or "") ^ plain_fingerprint(texts[j] or "")).count("1") > 4]
     assert far, "pairs that the narrow fingerprints miss"
+
+
+def test_licences_as_wholes(spark):
+    """Headers, bodies and tags without a statement of the short list, with other text around them and other line breaks."""
+    code = "\n".join(f"int value{i} = compute{i}(argument{i});" for i in range(60))
+    wrap = lambda t: "\n".join("// " + " ".join(t.split()[i : i + 7]) for i in range(0, len(t.split()), 7))
+    bodies = [(n, t) for n, t in licences.SHORT if len(t) > 100]
+    texts = [(n, f"Copyright 2020 Somebody\n{wrap(t)}\n{code}") for n, t in bodies]
+    texts += [(n, (licences.Path(licences.__file__).with_name("licence_texts") / f"{n}.txt").read_text()) for n in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0")]
+    texts += [("Apache-2.0", "# SPDX-License-Identifier: Apache-2.0\n" + code), ("MIT OR Apache-2.0", "// SPDX-License-Identifier: MIT OR Apache-2.0\n"), ("BSD-3-Clause", "BSD 3-Clause License"), (None, code)]
+    df = spark.createDataFrame([(i, f"d{i}/x.c", t) for i, (_, t) in enumerate(texts)], "doc_id long, path string, text string")
+    got = {r.doc_id: r.declared for r in licences.scan_licences(df).collect()}
+    assert [(i, n, got[i]) for i, (n, _) in enumerate(texts) if got[i] != n] == []
