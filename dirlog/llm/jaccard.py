@@ -54,7 +54,7 @@ def frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
-    """(doc_id, th, whole, n, head, tail): hashes of the text and of its set, and the set, cut behind its head."""
+    """(doc_id, th, whole, n, head): hashes of the text and of its set, and the set's size and head."""
     texts = bounded(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
     held = docs.sparkSession.sparkContext.broadcast(frequent(texts.select("th", "text"), words))
 
@@ -69,41 +69,52 @@ def with_sets(docs: DataFrame, words: int, least: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
                 cut = len(s) - math.ceil(least * len(s) - 1e-9) + 1 if len(s) else 0
-                rows.append((whole - (1 << 64) if whole >= 1 << 63 else whole, len(s), s[:cut].view(np.int64), s[cut:].tobytes()))
+                rows.append((whole - (1 << 64) if whole >= 1 << 63 else whole, len(s), s[:cut].view(np.int64)))
             if rows:
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "th", "whole", "n", "head", "tail"])
+                kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "th", "whole", "n", "head"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return texts.mapInArrow(make, f"doc_id {kind}, th long, whole long, n int, head array<long>, tail binary")
+    return texts.mapInArrow(make, f"doc_id {kind}, th long, whole long, n int, head array<long>")
+
+
+def sets_of(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(whole, shingles binary), once for each of ``wanted`` (whole, th). texts: (th, text)."""
+
+    def make(batches):
+        for batch in batches:
+            out = [shingles(t or "", words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["whole", "shingles"])
+
+    found = bounded(texts).join(wanted, "th").select("whole", "text").mapInArrow(make, "whole long, shingles binary")
+    return stored(found.dropDuplicates(["whole"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (u, v) of sets those whose Jaccard similarity is ``least`` or more. sets: (whole, head, tail)."""
+    """Of the pairs (u, v) of sets those whose Jaccard similarity is ``least`` or more. sets: (whole, shingles)."""
 
     def check(batches):
         for batch in batches:
-            u, v, *parts = (c.to_pylist() for c in batch.columns)
-            keep = np.zeros(len(u), bool)
-            for i, (a, b, c, d) in enumerate(zip(*parts)):
-                x, y = (np.concatenate((np.array(h, np.int64), np.frombuffer(t, np.int64))) for h, t in ((a, b), (c, d)))
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep[i] = both + 1e-9 >= least * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
 
-    one = pairs.join(sets.select(F.col("whole").alias("u"), F.col("head").alias("uh"), F.col("tail").alias("ut")), "u")
-    two = one.join(sets.select(F.col("whole").alias("v"), F.col("head").alias("vh"), F.col("tail").alias("vt")), "v")
-    return two.select("u", "v", "uh", "ut", "vh", "vt").mapInArrow(check, "u long, v long")
+    one = pairs.join(sets.select(F.col("whole").alias("u"), F.col("shingles").alias("a")), "u")
+    two = one.join(sets.select(F.col("whole").alias("v"), F.col("shingles").alias("b")), "v")
+    return two.select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
 
 
-def links(sets: DataFrame, least: float) -> DataFrame:
-    """Links (u, v) that connect all sets whose Jaccard similarity is ``least`` or more. sets: (whole, n, head, tail), distinct.
+def links(heads: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Links (u, v) that connect all sets whose Jaccard similarity is ``least`` or more. heads: (whole, th, n, head), distinct; texts: (th, text).
 
     In buckets of up to LARGE rows all pairs are compared, in larger ones first all with the smallest; then,
     in larger ones, all pairs that these links leave in different components, dealt out in tiles.
     """
-    keyed = sets.select("whole", "n", F.posexplode("head").alias("at", "key"))
-    counts = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("whole", "n", "at")).alias("first")).where("m > 1")
+    keyed = heads.select("whole", "n", F.posexplode("head").alias("at", "key"))
+    counts = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     keyed = stored(keyed.join(counts, "key"))
     rest = "least(an, bn) >= {0} * greatest(an, bn) - 1e-6 and least(aat, bat) + least(an - aat, bn - bat) >= (an + bn) * {0} / (1 + {0}) - 1e-6".format(least)
 
@@ -112,8 +123,12 @@ def links(sets: DataFrame, least: float) -> DataFrame:
 
     small, large = keyed.where(f"m <= {LARGE}"), keyed.where(f"m > {LARGE}")
     pairs = side(small, "a").join(side(small, "b"), "key").where(f"awhole < bwhole and {rest}").select(F.col("awhole").alias("u"), F.col("bwhole").alias("v"))
-    led = side(large, "b", "first").selectExpr("first.whole awhole", "first.n an", "first.at aat", "bwhole", "bn", "bat").where(f"awhole < bwhole and {rest}")
-    near = stored(verified(pairs.union(led.select("awhole", "bwhole")).distinct(), sets, least))
+    first = large.groupBy("key").agg(F.min(F.struct("whole", "n", "at")).alias("first"))
+    led = side(large, "b").join(first, "key").selectExpr("first.whole awhole", "first.n an", "first.at aat", "bwhole", "bn", "bat").where(f"awhole < bwhole and {rest}")
+    pairs = stored(pairs.union(led.select("awhole", "bwhole")).distinct())
+    asked = pairs.select(F.col("u").alias("whole")).union(pairs.select("v")).union(large.select("whole")).distinct()
+    sets = sets_of(texts, heads.select("whole", "th").join(asked, "whole", "left_semi"), words)
+    near = stored(verified(pairs, sets, least))
     if large.isEmpty():
         return near
     label = components(near).withColumnRenamed("id", "whole")
@@ -135,7 +150,8 @@ def groups(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
     (exact copies, rows without words) are one class before any comparison.
     """
     rows = stored(with_sets(docs, words, least))
-    first = rows.groupBy("whole").agg(F.min(F.struct("th", F.col("doc_id").isNull().alias("none"), "doc_id")).alias("f"))
-    sets = rows.join(first, "whole").where("th = f.th and doc_id <=> f.doc_id").dropDuplicates(["whole"]).select("whole", "n", "head", "tail")
-    label = components(links(stored(sets), least))
+    first = rows.groupBy("whole").agg(F.min("th").alias("th"))
+    heads = rows.select("whole", "th", "n", "head").join(first, ["whole", "th"], "left_semi").dropDuplicates(["whole"])
+    texts = docs.select(F.xxhash64("text").alias("th"), "text")
+    label = components(links(stored(heads), texts, words, least))
     return rows.select("doc_id", "th", "whole").join(label, F.col("whole") == F.col("id"), "left").select("doc_id", "th", F.coalesce("component_id", "whole").alias("component_id"))
