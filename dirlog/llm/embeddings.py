@@ -1,8 +1,11 @@
 """Embedding near-duplicates: rotated binary codes estimate inner products, bounds decide what is recomputed.
 
-Vectors lie in blocks around pivots. A pair of blocks is compared where their caps (pivot and widest angle)
-leave room for a close pair, so every pair of vectors is either excluded by the triangle inequality of
-angles or estimated once: in clustered data few block pairs are left, in evenly spread data all of them.
+Each distinct vector is turned and coded once: its signs, the factor that corrects estimates made from them, and
+the turned vector in 8 bits, which the signs of others are held against. Only these are dealt to pairs of blocks.
+Vectors lie in blocks around pivots; a pair of blocks is compared where their caps (pivot and widest angle) leave
+room for a close pair, so every pair of vectors is either excluded by the triangle inequality of angles or estimated
+once: in clustered data few block pairs are left, in evenly spread data all of them. The vectors themselves follow
+only for rows of which some estimate is in doubt.
 """
 
 from __future__ import annotations
@@ -15,19 +18,45 @@ from pyspark.sql import functions as F
 
 from dirlog.llm.base import bounded, components, stored
 
-#: Rows of a block at least and at most, blocks aimed at between, cells of an estimate matrix, and standard errors of slack.
-LEAST_ROWS, MOST_ROWS, BLOCKS, CELLS, ERRORS = 1024, 32_768, 8, 1 << 22, 6.0
+#: Rows of a block at least, bytes of its vectors at most, blocks aimed at between, cells of an estimate matrix, and standard errors of slack.
+LEAST_ROWS, BLOCK_BYTES, BLOCKS, CELLS, ERRORS = 1024, 32 << 20, 8, 1 << 22, 6.0
+#: Blocks up to which their table is broadcast.
+BROADCAST_BLOCKS = 20_000
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
     return np.linalg.qr(np.random.default_rng((seed, dim)).normal(size=(dim, dim)))[0]
 
 
-def encoded(units: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(rotated vectors, signs as +-1 / sqrt(dim), correction factors: inner product of a vector and its code)."""
-    turned = (units @ rotation(units.shape[1], seed)).astype(np.float32)
-    codes = np.where(turned >= 0, 1, -1).astype(np.float32) / np.float32(np.sqrt(units.shape[1]))
-    return turned, codes, np.einsum("ij,ij->i", turned, codes)
+def encoded(units: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signs as packed bits, correction factors, turned vectors in 8 bits, their scales) of unit vectors.
+
+    The factor is the inner product of a turned vector and its code, the signs over sqrt(dim).
+    """
+    turned = units @ rotation(units.shape[1], seed)
+    factors = np.abs(turned).sum(axis=1) / np.sqrt(units.shape[1])
+    scales = np.abs(turned).max(axis=1) / 127
+    return np.packbits(turned >= 0, axis=1), factors, np.rint(turned / scales[:, None]).astype(np.int8), scales
+
+
+def estimates(signs: np.ndarray, factors: np.ndarray, levels: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """Estimated cosines of rows given by signs and factors with rows given by levels and scales.
+
+    Signs times levels add up to whole numbers that single precision holds exactly, so a pair's estimate is the same
+    in whatever block it is made.
+    """
+    dim = levels.shape[1]
+    ones = np.unpackbits(signs, axis=1, count=dim).astype(np.float32) * 2 - 1
+    return (ones @ levels.astype(np.float32).T).astype(np.float64) / (factors[:, None] * np.sqrt(dim)) * scales[None]
+
+
+def slack(factors: np.ndarray, scales: np.ndarray, dim: int, least: float) -> np.ndarray:
+    """How far an estimate may be off: ERRORS standard errors of the code, at cosine ``least``, and of the 8-bit levels.
+
+    The estimate of a cosine c is unbiased with a standard error of sqrt((1 - f^2) / f^2) sqrt((1 - c^2) / (dim - 1)).
+    """
+    code = np.sqrt(np.maximum(0, 1 - factors**2)) / factors * np.sqrt((1 - least**2) / max(1, dim - 1))
+    return ERRORS * np.hypot(code[:, None], scales[None] / (np.sqrt(12) * factors[:, None])) + 1e-5
 
 
 def unit_vectors(rows: DataFrame, id: str, vector: str) -> DataFrame:
@@ -48,10 +77,35 @@ def unit_vectors(rows: DataFrame, id: str, vector: str) -> DataFrame:
     return rows.select(F.col(id).cast("long"), F.col(vector)).mapInArrow(make, "id long, unit binary, dim int")
 
 
-def in_blocks(classes: DataFrame, n: int) -> DataFrame:
-    """Adds block and near (cosine to the block's pivot). The pivots are as many vectors, by hash, as blocks are aimed at."""
-    aim = int(np.clip(-(-n // BLOCKS), LEAST_ROWS, MOST_ROWS))
-    chosen = [(r.dim, np.frombuffer(r.unit)) for r in classes.orderBy(F.xxhash64("unit"), "first").limit(max(1, n // aim)).select("dim", "unit").collect()]
+def coded(classes: DataFrame, seed: int) -> DataFrame:
+    """Adds signs, factor, levels and scale to (key, first, copies, unit, dim, cell, near), worked out once."""
+    names = classes.columns
+
+    def make(batches):
+        for batch in batches:
+            units, dims = batch.column("unit").to_pylist(), np.asarray(batch.column("dim"))
+            out: list = [None] * batch.num_rows
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                x = np.frombuffer(b"".join(units[i] for i in at), np.float64).reshape(-1, d)
+                for i, s, f, v, c in zip(at.tolist(), *encoded(x, seed)):
+                    out[i] = (s.tobytes(), float(f), v.tobytes(), float(c))
+            if out:
+                made = [pa.array(c, k) for c, k in zip(zip(*out), (pa.binary(), pa.float64(), pa.binary(), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "signs", "factor", "levels", "scale"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
+    return classes.mapInArrow(make, f"{schema}, signs binary, factor double, levels binary, scale double")
+
+
+def in_blocks(classes: DataFrame, seed: int) -> DataFrame:
+    """Adds block, near (cosine to the block's pivot) and the codes. The pivots are as many vectors, by hash, as blocks are aimed at.
+
+    A pivot is collected for each block: n / (rows of a block) vectors, a few MB for a thousand million rows.
+    """
+    n, dim = classes.agg(F.count("*"), F.max("dim")).first()
+    aim = int(np.clip(-(-n // BLOCKS), LEAST_ROWS, max(LEAST_ROWS, BLOCK_BYTES // (8 * (dim or 1)))))
+    chosen = [(r.dim, np.frombuffer(r.unit)) for r in classes.orderBy(F.xxhash64("unit"), "key").limit(max(1, n // aim)).select("dim", "unit").collect()]
     dims = {d: [i for i, (e, _) in enumerate(chosen) if e == d] for d, _ in chosen}
     held = classes.sparkSession.sparkContext.broadcast({d: (np.array(at), np.stack([chosen[i][1] for i in at])) for d, at in dims.items()})
 
@@ -64,52 +118,49 @@ def in_blocks(classes: DataFrame, n: int) -> DataFrame:
                 k = int(c.argmax()) if c is not None else -1
                 cell.append(int(at[k]) if c is not None else -d)
                 near.append(float(c[k]) if c is not None else -1.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("first", "copies", "unit", "dim")), pa.array(cell, pa.int64()), pa.array(near, pa.float64())], ["first", "copies", "unit", "dim", "cell", "near"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int64()), pa.array(near, pa.float64())], [*batch.schema.names, "cell", "near"])
 
-    rows = stored(classes.mapInArrow(assign, "first long, copies long, unit binary, dim int, cell long, near double"))
+    rows = coded(classes.mapInArrow(assign, "key long, first long, copies long, unit binary, dim int, cell long, near double"), seed)
+    rows = stored(rows)
     tiles = rows.groupBy("cell").agg(F.ceil(F.count("*") / aim).alias("tiles"))
-    tile = F.pmod(F.xxhash64("first"), F.col("tiles"))
-    return rows.join(tiles, "cell").withColumn("block", F.struct("cell", tile.alias("tile"))).drop("tiles")
+    tile = F.pmod(F.xxhash64("key"), F.col("tiles"))
+    return rows.join(F.broadcast(tiles) if tiles.count() <= BROADCAST_BLOCKS else tiles, "cell").withColumn("block", F.col("cell") * (1 << 24) + tile).drop("tiles")
 
 
 def block_pairs(blocks: DataFrame, pivots: DataFrame, least: float) -> DataFrame:
-    """(a, b) of blocks, a not after b, of one dimension, whose caps may hold vectors with cosine of ``least``."""
-    caps = blocks.groupBy("block", "dim").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("near") - 1e-12))).alias("wide"))
-    caps = stored(caps.join(pivots, F.col("block.cell") == F.col("cell"), "left").select("block", "dim", "wide", "pivot"))
+    """(a, b) of blocks, a not after b, of one dimension, whose caps may hold vectors with cosine of ``least``.
+
+    One row a block: the table is small against the rows, and each task takes some of its rows against all of it.
+    """
+    caps = blocks.groupBy("block", "cell", "dim").agg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("near") - 1e-12))).alias("wide"))
+    caps = stored(caps.join(pivots, "cell", "left").select("block", "dim", "wide", "pivot"))
     a, b = (caps.select(F.col("block").alias(x), "dim", F.col("wide").alias(f"wide_{x}"), F.col("pivot").alias(f"pivot_{x}")) for x in "ab")
     dot = F.aggregate(F.zip_with("pivot_a", "pivot_b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("wide_a") - F.col("wide_b")
-    return a.join(b, "dim").where(F.col("a") <= F.col("b")).where(F.coalesce(gap <= float(np.arccos(least)) + 1e-6, F.lit(True)) | (F.col("a") == F.col("b"))).select("a", "b")
+    hint = F.broadcast if caps.count() <= BROADCAST_BLOCKS else (lambda x: x)
+    return a.repartition("a").join(hint(b), "dim").where(F.col("a") <= F.col("b")).where(F.coalesce(gap <= float(np.arccos(least)) + 1e-6, F.lit(True)) | (F.col("a") == F.col("b"))).select("a", "b")
 
 
-def compare(a: np.ndarray, b: np.ndarray, same: bool, least: float, seed: int):
-    """Links of two blocks of unit vectors, in tiles: yields (rows of a, rows of b) with cosine >= least.
+def compared(a: pd.DataFrame, b: pd.DataFrame, same: bool, least: float):
+    """Pairs of two blocks, in tiles: yields (rows of a, rows of b, whether the estimate leaves a doubt).
 
-    The estimate <code of x, y> / factor of x of a pair's cosine c is unbiased with a standard error of
-    sqrt((1 - f^2) / f^2) sqrt((1 - c^2) / (dim - 1)); pairs whose estimate lies ERRORS of them below the
-    least cosine are passed over, all others recomputed in doubles.
+    Pairs whose estimate lies ERRORS standard errors below ``least`` are passed over; as far above it they are links.
     """
-    dim = a.shape[1]
-    _, codes, factors = encoded(a, seed)
-    turned = encoded(b, seed)[0]
-    spread = np.sqrt(np.maximum(0, 1 - factors**2)) / factors * np.sqrt((1 - least**2) / max(1, dim - 1))
-    floor = ((least - ERRORS * spread - 1e-5) * factors).astype(np.float32)
+    signs, levels = (np.frombuffer(b"".join(x), t).reshape(len(x), -1) for x, t in ((a["signs"], np.uint8), (b["levels"], np.int8)))
+    factors, scales = a["factor"].to_numpy(), b["scale"].to_numpy()
     height = max(64, CELLS // max(1, len(b)))
     for top in range(0, len(a), height):
         part = slice(top, top + height)
         start = top if same else 0
-        maybe = codes[part] @ turned[start:].T >= floor[part, None]
-        count = int(maybe.sum())
-        if count > maybe.size // 20:
-            i, j = np.nonzero(a[part] @ b[start:].T >= least)
-        else:
-            i, j = np.nonzero(maybe)
-            keep = np.concatenate([np.einsum("ij,ij->i", a[top + i[k : k + 100_000]], b[start + j[k : k + 100_000]]) >= least for k in range(0, len(i), 100_000)] or [np.zeros(0, bool)])
-            i, j = i[keep], j[keep]
+        found = estimates(signs[part], factors[part], levels[start:], scales[start:]) - least
+        off = slack(factors[part], scales[start:], levels.shape[1], least)
+        i, j = np.nonzero(found >= -off)
+        doubt = found[i, j] <= off[i, j]
         i, j = i + top, j + start
         if same:
-            i, j = i[i < j], j[i < j]
-        yield i, j
+            keep = i < j
+            i, j, doubt = i[keep], j[keep], doubt[keep]
+        yield i, j, doubt
 
 
 def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -127,13 +178,55 @@ def merge_labels(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray
         labels = new[labels]
 
 
+def in_order(pdf: pd.DataFrame) -> tuple[pd.DataFrame, int, bool]:
+    """Rows of the first block, then of the second, each by key; where the second begins; whether both are one."""
+    pdf = pdf.sort_values(["second", "key"], ignore_index=True)
+    n = int((~pdf["second"]).sum())
+    return pdf, n, n == len(pdf)
+
+
+def sure(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Of two blocks' codes, one row for each vector that has a partner: links beyond doubt, and whether some are in doubt."""
+    pdf, n, same = in_order(pdf)
+    copies, labels = pdf["copies"].to_numpy(), np.arange(len(pdf))
+    found, doubtful = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
+    for i, j, doubt in compared(pdf[:n], pdf if same else pdf[n:], same, least):
+        j = j + (0 if same else n)
+        doubtful[i[doubt]] = doubtful[j[doubt]] = True
+        i, j = i[~doubt], j[~doubt]
+        np.add.at(found, i, copies[j])
+        np.add.at(found, j, copies[i])
+        labels = merge_labels(labels, i, j)
+    at = np.flatnonzero((found > 0) | doubtful)
+    own = pdf.iloc[at]
+    keys = pdf["key"].to_numpy()
+    return pd.DataFrame({"a": own["a"], "b": own["b"], "second": own["second"], "key": keys[at], "n": found[at], "root": keys[labels[at]], "doubt": doubtful[at]})
+
+
+def exact(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
+    """The links among the pairs in doubt, from the vectors in doubles: one row for each vector that has one."""
+    pdf, n, same = in_order(pdf)
+    units = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
+    copies, labels, found = pdf["copies"].to_numpy(), np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
+    for i, j, doubt in compared(pdf[:n], pdf if same else pdf[n:], same, least):
+        i, j = i[doubt], j[doubt] + (0 if same else n)
+        close = np.concatenate([np.einsum("ij,ij->i", units[i[k : k + 50_000]], units[j[k : k + 50_000]]) >= least for k in range(0, len(i), 50_000)] or [np.zeros(0, bool)])
+        i, j = i[close], j[close]
+        np.add.at(found, i, copies[j])
+        np.add.at(found, j, copies[i])
+        labels = merge_labels(labels, i, j)
+    at = np.flatnonzero(found)
+    keys = pdf["key"].to_numpy()
+    return pd.DataFrame({"key": keys[at], "n": found[at], "root": keys[labels[at]]})
+
+
 def links(classes: DataFrame, least: float, seed: int) -> DataFrame:
-    """(id, n, root): for each block pair and row with links in it, their number and a row they connect it with.
+    """(key, n, root): for each block pair and row with links in it, their number and a row they connect it with.
 
-    A task holds two blocks of at most about MOST_ROWS rows each, and returns one row for each of theirs.
+    A task holds the codes of two blocks, then the vectors of those of their rows that are in doubt, and returns one
+    row for each of theirs, never pairs.
     """
-    rows = in_blocks(classes, classes.count())
-    blocks = stored(rows)
+    blocks = stored(in_blocks(classes, seed))
     firsts = blocks.groupBy("cell").agg(F.max_by("unit", "near").alias("unit"))
 
     def unpack(batches):
@@ -144,24 +237,14 @@ def links(classes: DataFrame, least: float, seed: int) -> DataFrame:
     pivots = firsts.where("cell >= 0").mapInArrow(unpack, "cell long, pivot array<double>")
     pairs = stored(block_pairs(blocks, pivots, least))
     partners = pairs.select(F.col("a").alias("block"), "a", "b").union(pairs.where("a <> b").select(F.col("b").alias("block"), "a", "b"))
-    dealt = blocks.select("block", "first", "copies", "unit", "dim").join(partners, "block").withColumn("second", F.col("block") != F.col("a"))
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["second", "first"], ignore_index=True)
-        units = np.frombuffer(b"".join(pdf["unit"]), np.float64).reshape(len(pdf), -1)
-        n, copies = int((~pdf["second"]).sum()), pdf["copies"].to_numpy()
-        same = n == len(pdf)
-        labels, found = np.arange(len(pdf)), np.zeros(len(pdf), np.int64)
-        for i, j in compare(units[:n], units[0 if same else n :], same, least, seed):
-            j = j + (0 if same else n)
-            np.add.at(found, i, copies[j])
-            np.add.at(found, j, copies[i])
-            labels = merge_labels(labels, i, j)
-        at = np.flatnonzero(found)
-        ids = pdf["first"].to_numpy()
-        return pd.DataFrame({"id": ids[at], "n": found[at], "root": ids[labels[at]]})
-
-    return dealt.select("a", "b", "second", "first", "copies", "unit").groupBy("a", "b").applyInPandas(work, "id long, n long, root long")
+    hint = F.broadcast if partners.count() <= BROADCAST_BLOCKS else (lambda x: x)
+    dealt = blocks.join(hint(partners), "block").withColumn("second", F.col("block") != F.col("a"))
+    # The first block of a pair shows its signs, the second its levels; a block beside itself needs both.
+    shown = dealt.select("a", "b", "second", "key", "copies", *[F.when(c, F.col(x)).alias(x) for x, c in (("signs", ~F.col("second")), ("factor", ~F.col("second")), ("levels", F.col("second") | (F.col("a") == F.col("b"))), ("scale", F.col("second") | (F.col("a") == F.col("b"))))])
+    found = stored(shown.groupBy("a", "b").applyInPandas(lambda pdf: sure(pdf, least), "a long, b long, second boolean, key long, n long, root long, doubt boolean"))
+    asked = found.where("doubt").select("a", "b", "second", "key").join(blocks.select("key", "copies", "unit", "signs", "factor", "levels", "scale"), "key")
+    checked = asked.groupBy("a", "b").applyInPandas(lambda pdf: exact(pdf, least), "key long, n long, root long")
+    return found.where("n > 0").select("key", "n", "root").union(checked)
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9, seed: int = 0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -169,14 +252,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, seed: int = 0, id: str
 
     Equal vectors make one class before any comparison. Vectors that are null, empty, zero or hold null or
     non-finite numbers link with nothing, and vectors of different lengths never link. n_links counts rows;
-    component_id is the smallest id reachable; rows with a null id count as links but have no component.
+    component_id is the smallest id reachable. Rows with a null id count as links and connect others; the smallest
+    id of theirs is that of their component, null where it has none, and they are never kept.
     """
     rows = stored(unit_vectors(bounded(vectors), id, vector))
-    classes = stored(rows.where("unit is not null and id is not null").groupBy("unit", "dim").agg(F.min("id").alias("first"), F.count("*").alias("copies")))
+    classes = rows.where("unit is not null").groupBy("unit", "dim").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("key"), "first", "copies", "unit", "dim"))
     found = stored(links(classes, least, seed))
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    labels = components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
-    named = classes.join(counts, F.col("first") == counts["id"], "left").drop("id").join(labels, F.col("first") == labels["id"], "left")
-    named = named.select("unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
-    out = rows.join(named, "unit", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    counts = found.groupBy("key").agg(F.sum("n").alias("n"))
+    labels = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("key"), F.col("component_id").alias("label"))
+    named = classes.join(counts, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = stored(named.select("unit", "first", "label", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least_id = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    out = rows.join(named.join(least_id, "label").select("unit", "n_links", "component_id", F.lit(True).alias("linked")), "unit", "left")
+    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

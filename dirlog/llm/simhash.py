@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming verification, components."""
+"""SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming verification, components.
+
+``near_duplicates`` links fingerprints that differ in few bits, by blocks of which close pairs must share one.
+``near_texts`` links texts whose shingle sets are similar: wide fingerprints propose, the sets confirm.
+"""
 
 from __future__ import annotations
 
@@ -15,7 +19,7 @@ from dirlog.llm.base import Forest, bounded, components, spanning, stored
 #: A-Z to a-z and every white-space byte to a space; bytes of longer UTF-8 characters stay.
 FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97, 123)) + b"     ")
 #: Rows of a bucket above which it is dealt out in tiles, rows of a tile, and h values summed at once.
-LARGE, TILE, HASHES = 1024, 512, 200_000
+LARGE, TILE, HASHES = 4096, 2048, 200_000
 
 
 def fingerprint(text: str, words: int = 4) -> int:
@@ -157,3 +161,252 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
     reached = classes.join(components(pairs), F.col("first") == F.col("id"), "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     out = marked.join(reached, "fp")
     return out.select(F.col("id").alias(id), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+# ----- near copies by similarity of shingle sets -----
+
+#: 64-bit words of a wide fingerprint, rows aimed at in a bucket, share of pairs at the least similarity that some
+#: block is to join, bits in which the first word may differ, and one of how many rows counts the large buckets.
+WORDS, ROWS, RECALL, FAR, COUNTED = 8, 16, 0.995, 20, 32
+#: Rows up to which the table of large buckets, and that of texts to be read again, is broadcast.
+BROADCAST_ROWS, ASKED_ROWS = 20_000, 200_000
+
+
+def shingles(text: str, words: int = 5) -> np.ndarray:
+    """Distinct XXH64 (seed 42) of the word shingles, ascending; of all words where there are fewer; none without words."""
+    found = text.encode("utf-8", "surrogatepass").translate(FOLD).split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum([len(w) + 1 for w in found]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    k = min(words, len(found))
+    n = len(found) - k + 1
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), np.uint64, n))
+
+
+def wide_fingerprint(shingle_set: np.ndarray) -> np.ndarray:
+    """WORDS independent 64-bit SimHashes of a set, each over its own mixing of the shingles' hashes."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for i in range(0, len(shingle_set), HASHES // 64):
+        h = shingle_set[i : i + HASHES // 64, None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(shingle_set), bitorder="little").view(np.uint64)
+
+
+def with_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(id, th, whole, n, wide) of (id, th, text): hash of the text's shingle set, the set's size and its wide fingerprint."""
+
+    def make(batches):
+        for batch in batches:
+            sets = [shingles(t or "", words) for t in batch.column(2).to_pylist()]
+            whole = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
+            wide = pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole), pa.array([len(s) for s in sets], pa.int32()), wide], ["id", "th", "whole", "n", "wide"])
+
+    kind = texts.schema[0].dataType.simpleString()
+    return texts.mapInArrow(make, f"id {kind}, th long, whole long, n int, wide binary")
+
+
+def blocks(n: int, least: float) -> np.ndarray:
+    """Blocks of the wide fingerprint, one a row: places of the bits that rows must share to meet there.
+
+    Sets of similarity J differ in a bit with probability acos(2J / (1 + J)) / pi (for sets of equal size), far too
+    often for blocks that every close pair must share one of. So the blocks are drawn at random: their bits are as
+    many as leave about ROWS of n unrelated rows together, and there are so many that a pair at the least similarity,
+    even where its fingerprints differ by a standard error more than they should, meets in one with probability RECALL.
+    """
+    apart = np.arccos(2 * least / (1 + least)) / np.pi
+    agree = 1 - apart - np.sqrt(apart * (1 - apart) / (64 * WORDS))
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / ROWS)), 8, 40))
+    count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**bits)))
+    rng = np.random.default_rng(0)
+    return np.stack([rng.choice(64 * WORDS, bits, replace=False) for _ in range(count)])
+
+
+def in_blocks(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(t, key, id, n, fp, c): each of (whole, n, wide, c) once in every block, with the first word of its fingerprint."""
+
+    def make(batches):
+        for batch in batches:
+            wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            bits = np.unpackbits(wide, axis=1, bitorder="little")
+            keys = np.zeros((len(bits), len(chosen)), np.int64)
+            for i in range(chosen.shape[1]):
+                keys = keys << 1 | bits[:, chosen[:, i]]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * len(chosen), pa.int32()), pa.array(keys.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(wide.view(np.int64)[:, 0].copy()), lists], ["id", "c", "n", "fp", "keys"])
+
+    rows = classes.where("n > 0").select("whole", "c", "n", "wide").mapInArrow(make, "id long, c long, n int, fp long, keys array<long>")
+    return rows.select("id", "c", "n", "fp", F.posexplode("keys").alias("t", "key"))
+
+
+def in_tiles(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """Rows by bucket (t, key), those of large buckets once for each pair of tiles (a, b) that holds their own.
+
+    Which buckets are large is told from one of COUNTED rows: it decides where rows are compared, not whether.
+    """
+    some = in_blocks(classes.where(F.pmod(F.xxhash64("whole"), F.lit(COUNTED)) == 0), chosen).groupBy("t", "key").agg(F.ceil(F.count("*") * COUNTED / TILE).alias("tiles"))
+    large = stored(some.where(F.col("tiles") * TILE > LARGE))
+    hint = F.broadcast if large.count() <= BROADCAST_ROWS else (lambda x: x)
+    rows = in_blocks(classes, chosen).join(hint(large), ["t", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    rows = rows.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "c", "n", "fp")
+    return rows.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "own", "id")
+
+
+def by_bucket(batches, work, schema: pa.Schema):
+    """Rows sorted by bucket come in; ``work`` gets whole buckets, as arrays of their columns and starts. Holds one bucket at a time."""
+    held: list[pa.RecordBatch] = []
+
+    def done(rows: pa.Table):
+        cols = {c: np.asarray(rows.column(c)) for c in rows.column_names}
+        new = np.any([cols[c][1:] != cols[c][:-1] for c in ("t", "key", "a", "b")], axis=0)
+        found = work(cols, np.concatenate(([0], np.flatnonzero(new) + 1, [len(new) + 1])))
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema)], schema=schema)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows = pa.Table.from_batches(held)
+            last = np.flatnonzero(np.any([np.asarray(rows.column(c))[1:] != np.asarray(rows.column(c))[:-1] for c in ("t", "key", "a", "b")], axis=0))
+            if len(last):
+                yield done(rows.slice(0, int(last[-1]) + 1))
+                held = rows.slice(int(last[-1]) + 1).to_batches()
+    if held:
+        yield done(pa.Table.from_batches(held))
+
+
+def alike(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Whether the pairs may reach the least similarity: by their sizes and the first word of their fingerprints."""
+    a, b = n[i], n[j]
+    return (np.bitwise_count(fp[i] ^ fp[j]) <= FAR) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6)
+
+
+def proposals(cols: dict[str, np.ndarray], bounds: np.ndarray, least: float) -> list[np.ndarray]:
+    """(u, v, weight) of alike rows: all pairs in buckets of up to 32 rows, in larger ones stars around central rows.
+
+    The row with the most alike rows is a star's centre, again and again among those in no star; its weight says how
+    many they are. Other pairs of large buckets come later, where these links have not connected them.
+    """
+    ids, n, fp = cols["id"], cols["n"], cols["fp"].view(np.uint64)
+    sizes = np.diff(bounds)
+    block = np.repeat(np.where(sizes <= 32, np.arange(len(sizes)), -1), sizes)
+    out: list[tuple] = []
+    at = np.flatnonzero(block >= 0)
+    for d in range(1, 32):
+        at = at[at + d < len(ids)]
+        at = at[block[at] == block[at + d]]
+        if not len(at):
+            break
+        hit = at[alike(fp, n, at, at + d, least)]
+        out.append((ids[hit], ids[hit + d], 65 - np.bitwise_count(fp[hit] ^ fp[hit + d]).astype(np.int64)))
+    for s, size in zip(bounds[:-1][sizes > 32].tolist(), sizes[sizes > 32].tolist()):
+        every = np.arange(s, s + size)
+        near = np.concatenate([alike(fp, n, every[i : i + 256, None], every[None, :], least) for i in range(0, size, 256)])
+        left = np.ones(size, bool)
+        degree = near.sum(axis=1)
+        while left.any():
+            centre = int(np.where(left, degree, -1).argmax())
+            if degree[centre] < 2:
+                break
+            star = np.flatnonzero(near[centre] & left)
+            left[star] = False
+            left[centre] = False
+            star = star[star != centre]
+            if not len(star):
+                star = np.where(near[centre] & (every != s + centre), degree, -1).argmax(keepdims=True)
+            out.append((np.full(len(star), ids[s + centre]), ids[s + star], np.full(len(star), 65 + degree[centre])))
+    u, v, w = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
+    return [np.maximum(u, v), np.minimum(u, v), w]
+
+
+def apart(cols: dict[str, np.ndarray], bounds: np.ndarray, least: float) -> list[np.ndarray]:
+    """(u, v) of all alike rows of large buckets that are in different components (c)."""
+    ids, n, fp, c = cols["id"], cols["n"], cols["fp"].view(np.uint64), cols["c"]
+    out: list[tuple] = []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        every = np.arange(s, e)
+        if e - s <= 32 or (c[s:e] == c[s]).all():
+            continue
+        for i in range(0, e - s, 256):
+            rows = every[i : i + 256, None]
+            x, y = np.nonzero((c[rows] != c[every][None, :]) & (ids[rows] > ids[every][None, :]) & alike(fp, n, rows, every[None, :], least))
+            out.append((ids[s + i + x], ids[s + y]))
+    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2
+
+
+def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Of the pairs (u, v) of classes those whose sets have a Jaccard similarity of ``least`` or more, exactly.
+
+    Only the texts of classes in a pair are read again for their sets. classes: (whole, first row's id and th); texts: (id, th, text).
+    """
+
+    def make(batches):
+        for batch in batches:
+            out = [shingles(t or "", words).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["whole", "shingles"])
+
+    def check(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep[i] = both + 1e-9 >= least * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
+
+    asked = classes.join(pairs.select(F.col("u").alias("whole")).union(pairs.select("v")).distinct(), "whole", "left_semi")
+    asked = stored(asked.select("whole", F.col("first.id").alias("_id"), F.col("first.th").alias("_th")))
+    hint = F.broadcast if asked.count() <= ASKED_ROWS else (lambda x: x)
+    mine = (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id"))
+    sets = bounded(texts).join(hint(asked), mine).select("whole", "text").mapInArrow(make, "whole long, shingles binary")
+    sets = stored(sets.dropDuplicates(["whole"]))
+    one = pairs.join(sets.select(F.col("whole").alias("u"), F.col("shingles").alias("a")), "u")
+    two = one.join(sets.select(F.col("whole").alias("v"), F.col("shingles").alias("b")), "v")
+    return stored(two.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
+
+
+def labelled(ids: DataFrame, near: DataFrame, column: str) -> DataFrame:
+    """``ids`` with c, the component of ``column`` under the links ``near``."""
+    label = components(near).withColumnRenamed("id", "_id")
+    return ids.join(label, F.col(column) == F.col("_id"), "left").withColumn("c", F.coalesce("component_id", column)).drop("_id", "component_id")
+
+
+def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """(id, th, component_id) of every row; th is Spark's XXH64 of the text.
+
+    Rows link where the Jaccard similarity of their sets of word shingles is ``least`` or more. Wide SimHash
+    fingerprints are cut into random blocks, rows that share a block and differ in few bits are proposed, and every
+    link is confirmed by the sets themselves: no false link, and few missing ones (see ``blocks``). Equal sets (exact
+    copies, rows without words, null texts) are one class before any comparison; repeated rows come back repeated.
+    First each row's most central partner is tried, then the other proposals between components, then all alike rows
+    of large buckets that are still apart.
+    """
+    texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
+    rows = stored(with_sets(bounded(texts), words))
+    classes = rows.groupBy("whole").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide"))
+    classes = stored(classes.withColumn("c", F.lit(None).cast("long")))
+    chosen = blocks(classes.count(), least)
+    pair = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+    weighed = pair.append(pa.field("w", pa.int64()))
+    found = in_tiles(classes, chosen).mapInArrow(lambda b: by_bucket(b, lambda c, s: proposals(c, s, least), weighed), "u long, v long, w long")
+    found = stored(found.groupBy("u", "v").agg(F.max("w").alias("w")))
+    ends = found.select("u", "v", "w", F.explode(F.array("u", "v")).alias("whole"))
+    first = stored(ends.groupBy("whole").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v").distinct())
+    near = verified(first, classes, texts, words, least)
+    named = labelled(labelled(found.select("u", "v"), near, "u").withColumnRenamed("c", "cu"), near, "v")
+    others = stored(named.where("cu <> c").select("u", "v").join(first, ["u", "v"], "left_anti"))
+    if not others.isEmpty():
+        near = near.union(verified(others, classes, texts, words, least))
+    alike_rows = labelled(classes.drop("c").join(ends.select("whole").distinct(), "whole", "left_semi"), near, "whole")
+    pairs = in_tiles(stored(alike_rows), chosen).mapInArrow(lambda b: by_bucket(b, lambda c, s: apart(c, s, least), pair), "u long, v long").distinct()
+    rest = stored(pairs.join(found, ["u", "v"], "left_anti"))
+    if not rest.isEmpty():
+        near = near.union(verified(rest, classes, texts, words, least))
+    label = labelled(rows.select("id", "th", "whole"), near, "whole")
+    return label.select(F.col("id").alias(id), "th", F.col("c").alias("component_id"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from dirlog.llm import audio, base, chat, embeddings, jaccard, licences, mixing, packing, quality, secretscan, simhash, tokencount
+from dirlog.llm import audio, base, chat, embeddings, licences, mixing, packing, quality, secretscan, simhash, tokencount
 
 SF = "/root/testdata/sf0.001"
 #: Null, empty and blank texts, odd white space, other scripts, repeats, a very long word and control strings.
@@ -113,19 +113,26 @@ def test_embeddings(spark):
     x[400:420] = x[50]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, [None] * 16), (904, []), (905, [1.0, 2.0]), (906, [2.0, 4.0]), (None, [1.0] * 16), (907, [float("inf")] + [1.0] * 15)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
-    old = embeddings.LEAST_ROWS
-    embeddings.LEAST_ROWS = 100
+    # Rows without an id: a twin of 906, one of 420 and one that joins two others.
+    bridge = spark.createDataFrame([(None, [3.0, 6.0]), (None, [float(v) for v in x[420].astype(np.float32)]), (910, [1.0, 0.0, 0.0]), (None, [0.95, 0.312, 0.0]), (911, [0.81, 0.5864, 0.0])], "vec_id long, embedding array<float>")
+    df = df.unionByName(bridge.withColumn("id", F.lit("clash")))
+    old = embeddings.LEAST_ROWS, embeddings.BLOCK_BYTES
+    embeddings.LEAST_ROWS, embeddings.BLOCK_BYTES = 100, 16 * 8 * 150
     try:
-        got = {r.vec_id: r for r in embeddings.near_vectors(df).collect() if r.vec_id is not None}
+        every = embeddings.near_vectors(df).collect()
     finally:
-        embeddings.LEAST_ROWS = old
+        embeddings.LEAST_ROWS, embeddings.BLOCK_BYTES = old
+    got = {r.vec_id: r for r in every if r.vec_id is not None}
+    nameless = sorted((r.n_links, r.component_id or -1, r.kept) for r in every if r.vec_id is None)
     u = x.astype(np.float32).astype(np.float64)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     near = u @ u.T >= 0.9
     label = embeddings.merge_labels(np.arange(700), *np.nonzero(near))
-    assert [got[i].n_links for i in range(700)] == (near.sum(axis=1) - 1).tolist() and [got[i].component_id for i in range(700)] == label.tolist()
+    assert [got[i].n_links for i in range(700)] == (near.sum(axis=1) - 1 + (np.arange(700) == 420)).tolist() and [got[i].component_id for i in range(700)] == label.tolist()
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903, 904, 907))
-    assert (got[905].n_links, got[906].component_id) == (1, 905)
+    assert (got[905].n_links, got[906].n_links, got[906].component_id) == (2, 2, 905)
+    assert (got[910].n_links, got[911].n_links, got[911].component_id) == (1, 1, 910)
+    assert nameless == sorted([(0, -1, False), (1, 420, False), (2, 905, False), (2, 910, False)])
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
@@ -134,11 +141,16 @@ def test_estimates_are_unbiased_and_bounded():
     a = rng.normal(size=(300, 64))
     b = a + 0.4 * rng.normal(size=a.shape)
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
-    errors = []
+    cosine = a @ b.T
+    errors, passed = [], 0
     for seed in range(20):
-        _, codes, factor = embeddings.encoded(a, seed)
-        errors.append(np.einsum("ij,ij->i", codes, embeddings.encoded(b, seed)[0]) / factor - np.einsum("ij,ij->i", a, b))
-    assert abs(np.mean(errors)) < 0.005 and np.abs(errors).max() < 0.3
+        signs, factors, _, _ = embeddings.encoded(a, seed)
+        _, _, levels, scales = embeddings.encoded(b, seed)
+        error = embeddings.estimates(signs, factors, levels, scales) - cosine
+        errors.append(np.diag(error))
+        near = cosine >= 0.9
+        passed += (np.abs(error)[near] > embeddings.slack(factors, scales, 64, 0.9)[near]).sum()
+    assert abs(np.mean(errors)) < 0.005 and np.abs(errors).max() < 0.3 and passed == 0
 
 
 def test_quality_on_held_out_labels(spark, odd, empty):
@@ -358,8 +370,7 @@ def test_pipeline(spark, docs):
             verdict = {r.doc_id: r.kept for r in quality.importance_resample(before, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
             assert set(new.doc_id) == {i for i, k in verdict.items() if k} and 0 < len(new) < len(old)
         elif name == "near_duplicates":
-            fp = np.array([plain_fingerprint(t) for t in old.text], np.uint64)
-            label = embeddings.merge_labels(np.arange(len(old)), *np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None]) <= 4))
+            label = embeddings.merge_labels(np.arange(len(old)), *np.nonzero(jaccard_at_least(old.text, 0.8)))
             assert sorted(new.doc_id) == sorted(old.doc_id.groupby(label).min())
         elif name == "secrets":
             assert sorted(new.doc_id) == sorted(old.doc_id) and not any(plain_secrets(t) for t in new.text) and (new.n_chars == new.text.str.len()).all()
@@ -381,6 +392,11 @@ def plain_shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
+def jaccard_at_least(texts, least):
+    sets = [plain_shingles(t) for t in texts]
+    return np.array([[a is b or len(a & b) >= least * len(a | b) for b in sets] for a in sets])
+
+
 def test_near_copies_against_all_pairs(spark):
     """The stage against Jaccard of all pairs, with buckets large enough to be led and dealt out in tiles."""
     rng = random.Random(5)
@@ -397,17 +413,16 @@ def test_near_copies_against_all_pairs(spark):
     texts += [line + f" end{i}" for i in range(20)]
     rng.shuffle(texts)
     rows = [(None if i % 10 == 3 else i, t, "en", "s", None) for i, t in enumerate(texts)]
-    sets = [plain_shingles(t) for t in texts]
-    near = np.array([[(len(a & b) >= 0.8 * len(a | b)) for b in sets] for a in sets])
+    near = jaccard_at_least(texts, 0.8)
     label = embeddings.merge_labels(np.arange(len(texts)), *np.nonzero(near))
     want = {}
     for (i, t, *_), c in zip(rows, label.tolist()):
         want[c] = min(want.get(c, (True, 0)), (i is None, i or 0))
-    old = jaccard.LARGE, jaccard.TILE
-    for jaccard.LARGE, jaccard.TILE in (old, (3, 4)):
+    old = simhash.LARGE, simhash.TILE, simhash.COUNTED
+    for simhash.LARGE, simhash.TILE, simhash.COUNTED in (old, (8, 4, 1)):
         got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want.values())
-    jaccard.LARGE, jaccard.TILE = old
+    simhash.LARGE, simhash.TILE, simhash.COUNTED = old
     far = [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1))) if bin(plain_fingerprint(texts[i] or "") ^ plain_fingerprint(texts[j] or "")).count("1") > 4]
     assert far, "pairs that the narrow fingerprints miss"
 
