@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import groupby
 
 import pandas as pd
@@ -57,6 +58,7 @@ def joined(items: list[tuple[str, bool]]) -> str:
     return "".join(out)
 
 
+@lru_cache(200_000)
 def generalize(text: str) -> str:
     return folded(masked(text))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from dirlog.schema import CONN, ENDS, REQUEST_LABELS, STARTS
+from dirlog.session import stored
 
 PAGED_RESULTS = "1.2.840.113556.1.4.319"
 
@@ -114,14 +115,24 @@ def bind_usage_rows(events: DataFrame) -> DataFrame:
     return rows.select(*CONN, "op", "ord", method.alias("method"), transport.alias("transport"), "mech", session.alias("session_control"))
 
 
+#: Rows of a small table of files up to which it is broadcast.
+BROADCAST_FILES = 50_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_FILES) -> DataFrame:
+    """``df``, worked out and marked for broadcast if it has at most ``rows`` rows."""
+    df = stored(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def restart_epoch(events: DataFrame) -> DataFrame:
     """Adds restart: the number of "slapd starting" lines before the line in its file.
 
-    The rare start lines of a file become one array, joined by file: no window over a whole file.
+    The rare start lines of a file become one array, which goes to where the lines are: no window over a whole file.
     """
     starts = events.where("kind = 'SLAPD_STARTING'").groupBy("file").agg(F.array_sort(F.collect_list("ord")).alias("starts"))
     earlier = F.size(F.filter("starts", lambda s: s < F.col("ord")))
-    return events.join(starts, "file", "left").withColumn("restart", F.when(F.col("starts").isNull(), 0).otherwise(earlier)).drop("starts")
+    return events.join(small(starts), "file", "left").withColumn("restart", F.when(F.col("starts").isNull(), 0).otherwise(earlier)).drop("starts")
 
 
 def session_correlations(events: DataFrame) -> DataFrame:
@@ -141,16 +152,24 @@ def distinct_correlations(correlations: DataFrame) -> DataFrame:
 def paged_by_control(events: DataFrame) -> DataFrame:
     """(who, pages): each paged-results control goes to the next line of its file that names a connection.
 
-    Only files that hold such lines are put in order.
+    Only files that hold such lines are looked at, and lines are put in order within a block of a file, as Spark read
+    it. What follows the last named line of a block belongs to the first one of the next: one row a block.
     """
     mark = (F.col("kind") == "GET_CTRLS") & (F.col("oid") == PAGED_RESULTS)
-    files = events.where(mark).select("file").distinct()
-    held = events.join(files, "file", "left_semi")
-    named = with_identity(held).select("file", "ord", F.struct("who", "conn").alias("owner"), F.lit(False).alias("paged"))
-    marks = held.where(mark).select("file", "ord", F.lit(None).cast("struct<who:string,conn:bigint>").alias("owner"), F.lit(True).alias("paged"))
-    back = Window.partitionBy("file").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = named.union(marks).withColumn("next", F.last("owner", ignorenulls=True).over(back))
-    return rows.where("paged and next is not null").groupBy(F.col("next.who").alias("who")).agg(F.count("*").alias("pages"))
+    held = events.join(small(events.where(mark).select("file").distinct()), "file", "left_semi")
+    named = with_identity(held).select("file", "ord", F.struct("who").alias("owner"), F.lit(False).alias("paged"))
+    marks = held.where(mark).select("file", "ord", F.lit(None).cast("struct<who:string>").alias("owner"), F.lit(True).alias("paged"))
+    rows = named.union(marks).withColumn("block", F.col("ord.block"))
+    later = Window.partitionBy("file", "block").orderBy(F.desc("ord")).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("next", F.last("owner", ignorenulls=True).over(later)).where("paged").select("file", "block", "next")
+    within = rows.where("next is not null").groupBy("next.who").agg(F.count("*").alias("pages"))
+    # Marks that no named line of their own block follows.
+    firsts = named.groupBy("file", F.col("ord.block").alias("block")).agg(F.min_by("owner", "ord").alias("first"), F.lit(0).alias("marks"))
+    open_marks = rows.where("next is null").groupBy("file", "block").agg(F.lit(None).cast("struct<who:string>").alias("first"), F.count("*").alias("marks"))
+    ends = firsts.union(open_marks).groupBy("file", "block").agg(F.max("first").alias("first"), F.sum("marks").alias("marks"))
+    following = Window.partitionBy("file").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    across = ends.withColumn("next", F.last("first", ignorenulls=True).over(following)).where("marks > 0 and next is not null")
+    return within.union(across.groupBy("next.who").agg(F.sum("marks").alias("pages"))).groupBy("who").agg(F.sum("pages").alias("pages"))
 
 
 def paged_by_shape(events: DataFrame, operations: DataFrame) -> DataFrame:

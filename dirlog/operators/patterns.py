@@ -5,25 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dirlog.functions.filters import is_slow_filter, normalize_filter, op_symbol, with_template
+from dirlog.functions.filters import generalize_filter, is_slow_filter, normalize_filter, op_symbol
 from dirlog.functions.timestamps import NS, div
 from dirlog.operators.operations import completed
 from dirlog.operators.ranking import keep_top
-from dirlog.operators.stats import MONEY, share, time_sum, with_filter_key
+from dirlog.operators.stats import MONEY, share, shared, time_sum, with_filter_key
 from dirlog.schema import CONN
 
 
 def templated(operations: DataFrame) -> DataFrame:
-    """Completed operations with template; only distinct filters go through the template's helper."""
+    """Completed operations with template. The helper keeps the templates it has made, so a repeated filter costs a look-up."""
     rows = completed(operations)
-    keyed = with_template(with_filter_key(rows).select(F.col("filter").alias("key")).distinct(), "key")
-    return rows.withColumn("key", normalize_filter(F.col("filter"))).join(keyed, "key", "left").drop("key")
+    return rows.withColumn("template", generalize_filter(normalize_filter(F.col("filter"))))
 
 
 def filter_families(operations: DataFrame) -> DataFrame:
-    """Per (account, template): count, time, average and entries."""
-    rows = templated(operations).where("template is not null").groupBy(F.col("who").alias("account"), "template")
-    out = rows.agg(F.count("*").alias("n"), time_sum("etime").alias("etime_total"), F.coalesce(F.sum("nentries"), F.lit(0)).alias("entries"), F.min("nentries").alias("entries_min"), F.max("nentries").alias("entries_max"))
+    """Per (account, template): count, time, average and entries.
+
+    Equal filters of an account are added up before the template's helper sees them, and once more by template.
+    """
+    by = with_filter_key(completed(operations)).groupBy(F.col("who").alias("account"), "filter")
+    by = by.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("etime").cast(MONEY)), F.lit(0)).alias("t"), F.sum("nentries").alias("e"), F.min("nentries").alias("lo"), F.max("nentries").alias("hi"))
+    rows = by.withColumn("template", generalize_filter("filter")).groupBy("account", "template")
+    out = rows.agg(F.sum("n").alias("n"), time_sum("t").alias("etime_total"), F.coalesce(F.sum("e"), F.lit(0)).alias("entries"), F.min("lo").alias("entries_min"), F.max("hi").alias("entries_max"))
     return out.withColumn("etime_avg", F.round(F.col("etime_total") / F.col("n"), 6))
 
 
@@ -31,11 +35,24 @@ def family_cost(families: DataFrame) -> DataFrame:
     return families.groupBy("template").agg(F.sum("n").alias("n"), time_sum("etime_total").alias("etime_total"))
 
 
-def resource_hogs(families: DataFrame, operations: DataFrame, min_share: float = 20.0) -> DataFrame:
-    """Families of slow filters that hold at least ``min_share`` percent of all time spent."""
-    total = completed(operations).agg(time_sum("etime").alias("all"))
+def hogs_of(families: DataFrame, total: DataFrame, min_share: float = 20.0) -> DataFrame:
+    """Families of slow filters that hold at least ``min_share`` percent of ``total`` (one row: all)."""
     rows = families.where(is_slow_filter(F.col("template"))).join(F.broadcast(total))
-    return rows.where((F.col("all") > 0) & (F.col("etime_total") * 100 >= F.col("all") * min_share)).select("account", "template", "n", "etime_total", share(F.col("etime_total"), F.col("all")).alias("share"))
+    rows = rows.where((F.col("all") > 0) & (F.col("etime_total") * 100 >= F.col("all") * min_share))
+    return rows.select("account", "template", "n", "etime_total", share(F.col("etime_total"), F.col("all")).alias("share"))
+
+
+def resource_hogs(operations: DataFrame, min_share: float = 20.0) -> DataFrame:
+    """The same of operations, all time included: what has no filter counts in the total. Operations are read once.
+
+    One grouping by (account, filter) gives both the families and the total.
+    """
+    by = completed(operations).groupBy(F.col("who").alias("account"), normalize_filter(F.col("filter")).alias("filter"))
+    by = by.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("etime").cast(MONEY)), F.lit(0)).alias("t"))
+    rows = by.withColumn("template", generalize_filter("filter")).groupBy("account", "template").agg(F.sum("n").alias("n"), time_sum("t").alias("etime_total"))
+    everything, part = shared(rows)
+    rows = everything.where(is_slow_filter(F.col("template")) & (F.col("_all") > 0) & (F.col("etime_total") * 100 >= F.col("_all") * min_share))
+    return rows.select("account", "template", "n", "etime_total", part.alias("share"))
 
 
 def etime_by_hour(operations: DataFrame) -> DataFrame:
@@ -76,18 +93,12 @@ def onsets(top: DataFrame, win: int = 24, after: float = 0.8, before: float = 0.
 
 
 def operation_sequences(operations: DataFrame, max_len: int = 4) -> DataFrame:
-    """(account, sequence, n): runs of 2 to ``max_len`` operations that follow each other on a connection.
+    """(account, sequence, length, n): runs of 2 to ``max_len`` operations that follow each other on a connection.
 
-    The account is that of the last operation. Symbols become numbers before the runs are laid out and names
-    again after the count, so that rows stay short.
+    The account is that of the last operation. Runs are counted in each task before they are shuffled.
     """
     rows = templated(operations).withColumn("symbol", op_symbol(F.col("type"), F.col("template"), F.col("scope")))
-    rows = rows.withColumn("id", F.xxhash64("symbol"))
-    names = rows.select("id", "symbol").distinct()
     w = Window.partitionBy(*CONN).orderBy("end_ord")
-    rows = rows.withColumn("run", F.collect_list("id").over(w.rowsBetween(1 - max_len, 0)))
-    grams = F.transform(F.sequence(F.lit(2), F.size("run")), lambda n: F.slice("run", F.size("run") - n + 1, n))
-    counts = rows.where(F.size("run") >= 2).select("who", F.explode(grams).alias("gram")).groupBy("who", "gram").agg(F.count("*").alias("n"))
-    steps = counts.select("who", "gram", "n", F.posexplode("gram").alias("at", "id")).join(names, "id")
-    out = steps.groupBy("who", "gram").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "symbol"))).alias("s"))
-    return out.select(F.col("who").alias("account"), F.array_join(F.transform("s", lambda x: x["symbol"]), " > ").alias("sequence"), F.size("gram").alias("length"), "n")
+    rows = rows.select(F.col("who").alias("account"), F.collect_list("symbol").over(w.rowsBetween(1 - max_len, 0)).alias("run"))
+    grams = F.transform(F.sequence(F.lit(2), F.size("run")), lambda n: F.struct(F.array_join(F.slice("run", F.size("run") - n + 1, n), " > ").alias("sequence"), n.alias("length")))
+    return rows.where(F.size("run") >= 2).select("account", F.explode(grams).alias("g")).groupBy("account", "g.sequence", "g.length").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOP_OPERATIONS = ("conn", "op", "type", "base", "filter", "who", "attrs", "scope", "deref", "binddn", "authcid", "authzid", "nentries", "err", "qtime", "text", "end_ts_ns", "server")
@@ -22,8 +22,7 @@ def top_connections(connections: DataFrame, n: int = 100) -> DataFrame:
 
 def slowest_operation(operations: DataFrame) -> DataFrame:
     """The one with the longest etime; ties go to the smallest account, then description."""
-    about = F.concat_ws(" ", "type", F.coalesce("base", "dn"), "filter")
-    return operations.where("etime is not null").select("who", about.alias("description"), "etime").orderBy(F.desc("etime"), "who", "description").limit(1)
+    return operations.where("etime is not null").select("who", F.concat_ws(" ", "type", F.coalesce("base", "dn"), "filter").alias("description"), "etime").orderBy(F.desc("etime"), "who", "description").limit(1)
 
 
 def slowest_connection(connections: DataFrame) -> DataFrame:
@@ -37,10 +36,14 @@ def ranked(df: DataFrame, key: str, value: str, n: int = 20, tie: str = "asc") -
 
 
 def compact(df: DataFrame, value: str, key: str, keep: int = 10, share: float = 0.01) -> DataFrame:
-    """The first ``keep`` rows, then those with ``share`` of the total; df is one report table, already grouped."""
-    w = Window.orderBy(F.desc(value), F.asc(key))
-    rows = df.withColumns({"_n": F.row_number().over(w), "_all": F.sum(value).over(Window.partitionBy())})
-    return rows.where((F.col("_n") <= keep) | (F.col(value) >= F.col("_all") * share)).drop("_n", "_all")
+    """The first ``keep`` rows, then those with ``share`` of the total; df is one report table, already grouped, key unique.
+
+    The last of the first rows and the total are one row, which is broadcast; no task sees the whole table.
+    """
+    first = df.orderBy(F.desc(value), F.asc(key)).limit(keep).agg(F.max(F.struct((-F.col(value)).alias("v"), F.col(key).alias("k"))).alias("_last"))
+    edge = first.join(df.agg(F.sum(value).alias("_all")))
+    top = F.struct((-F.col(value)).alias("v"), F.col(key).alias("k")) <= F.col("_last")
+    return df.join(F.broadcast(edge)).where(top | (F.col(value) >= F.col("_all") * share)).drop("_last", "_all")
 
 
 def keep_top(df: DataFrame, n: int, label: str, value: str, other: str = "other", by: list[str] | None = None) -> DataFrame:

@@ -37,22 +37,59 @@ def read_write(events: DataFrame) -> DataFrame:
     return events.agg(F.count_if(F.col("kind").isin(*READS)).alias("reads"), F.count_if(F.col("kind").isin(*WRITES)).alias("writes"))
 
 
-def summary_stats(events: DataFrame, operations: DataFrame) -> DataFrame:
-    """One row for the whole run. Lines and operations are each read once."""
+#: Types whose time makes the average of a data operation.
+DATA = ("SRCH", "ADD", "MOD", "DEL", "MODRDN", "CMP", "EXT")
+
+
+def summary_stats(events: DataFrame, operations: DataFrame, connections: DataFrame | None = None) -> DataFrame:
+    """One row for the whole run. Lines, operations and connections are each read once.
+
+    The slowest operation and connection are named with account and description; ties go to the smallest of both.
+    """
     kind = F.col("kind")
     e = events.agg(
         F.count("*").alias("lines"), F.count_if(kind.isin(*UNKNOWN)).alias("unknown"), F.count_if(kind == "ACCEPT").alias("opened"), F.count_if(kind == "CLOSED").alias("closed"),
         F.count_if(kind.isin(*READS)).alias("reads"), F.count_if(kind.isin(*WRITES)).alias("writes"), F.count_if(kind.isin("CSN_GET", "CSN_QUEUE", "CSN_GRADUATE", "SYNCPROV")).alias("replication"),
+        F.count_if(kind == "SLAPD_STARTING").alias("starts"), F.count_if(kind == "SERVER_LOG").alias("server_log"),
         F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"), F.array_join(F.array_sort(F.collect_set("server")), ",").alias("servers"),
+        F.min_by(openldap_version(), F.when(kind == "VERSION", F.struct("file", "ord"))).alias("version"),
     )
     done = completed(operations)
-    data = F.col("type").isin("SRCH", "ADD", "MOD", "DEL", "MODRDN", "CMP", "EXT")
-    worst = F.max_by(F.col("who"), F.struct(F.col("etime"), F.col("end_ts_ns")))
     o = done.agg(
-        F.count("*").alias("operations"), time_sum("etime").alias("etime_total"), time_sum("qtime").alias("qtime_total"), F.round(F.avg(F.when(data, F.col("etime")).cast(MONEY)).cast("double"), 6).alias("etime_avg_data"),
-        F.max("etime").alias("etime_max"), worst.alias("etime_max_who"),
+        F.count("*").alias("operations"), time_sum("etime").alias("etime_total"), time_sum("qtime").alias("qtime_total"), F.round(F.avg(F.when(F.col("type").isin(*DATA), F.col("etime")).cast(MONEY)).cast("double"), 6).alias("etime_avg_data"),
+        slowest(F.col("etime"), operation_description()).alias("_o"),
+    )
+    o = o.select("operations", "etime_total", "qtime_total", "etime_avg_data", (-F.col("_o.t")).alias("etime_max"), F.col("_o.who").alias("etime_max_who"), F.col("_o.about").alias("etime_max_what"))
+    out = e.join(o)
+    if connections is None:
+        return out
+    c = connections.agg(slowest(F.col("total_etime"), F.concat(F.lit("conn="), F.col("conn").cast("string"))).alias("_c"))
+    return out.join(c.select((-F.col("_c.t")).alias("connection_max"), F.col("_c.who").alias("connection_max_who"), F.col("_c.about").alias("connection_max_what")))
+
+
+def summary_counts(events: DataFrame) -> DataFrame:
+    """One row of plain counters, which states add up."""
+    kind = F.col("kind")
+    return events.agg(
+        F.count("*").alias("lines"), F.count_if(kind.isin(*UNKNOWN)).alias("unknown_lines"), F.count_if(kind == "ACCEPT").alias("connections_opened"), F.count_if(kind == "CLOSED").alias("connections_closed"),
+        F.count_if(kind.isin(*READS)).alias("read_operations"), F.count_if(kind.isin(*WRITES)).alias("write_operations"),
+        F.count_if(kind.isin("CSN_GET", "CSN_QUEUE", "CSN_GRADUATE", "SYNCPROV")).alias("replication_lines"), F.count_if(kind == "SLAPD_STARTING").alias("starts"),
+        F.count_if(kind == "SERVER_LOG").alias("serverlog_entries"), F.count_if("not_indexed").alias("not_indexed_count"), F.count_if(F.col("kind").isin("BIND", "BIND_ANON")).alias("binds"),
     )
-    return e.join(o)
+
+
+def slowest(time: Column, about: Column) -> Column:
+    """The row with the most time, then the smallest account and description: a struct with the negative time."""
+    return F.min(F.when(time.isNotNull(), F.struct((-time).alias("t"), "who", about.alias("about"))))
+
+
+def operation_description() -> Column:
+    return F.concat_ws(" ", "type", F.coalesce("base", "dn"), "filter")
+
+
+def openldap_version() -> Column:
+    """The version in a banner line."""
+    return F.nullif(F.regexp_extract("raw", r"\$OpenLDAP: slapd\s+(?:\S+\s+)?(\d+\.\d+[^\s(]*)", 1), F.lit(""))
 
 
 def texts_by_code(operations: DataFrame, failing: bool = False) -> DataFrame:
@@ -93,9 +130,8 @@ def errors_per_account(operations: DataFrame, keep: int | None = None) -> DataFr
 
 
 def codes_by_class(operations: DataFrame) -> DataFrame:
-    by = completed(operations).where("err is not null").groupBy(codes.result_code_class(F.col("err")).alias("class")).agg(F.count("*").alias("n"))
-    total = by.agg(F.sum("n").alias("total"))
-    return by.join(F.broadcast(total)).select("class", "n", share(F.col("n"), F.col("total")).alias("share"))
+    rows, part = shared(completed(operations).where("err is not null").groupBy(codes.result_code_class(F.col("err")).alias("class")).agg(F.count("*").alias("n")), "n")
+    return rows.select("class", "n", part.alias("share"))
 
 
 def base_stats(events: DataFrame, operations: DataFrame) -> DataFrame:
@@ -191,33 +227,43 @@ def sasl_mechanisms(events: DataFrame) -> DataFrame:
 
 
 def load_by_server(events: DataFrame, operations: DataFrame) -> DataFrame:
-    """Operations, share, time, connections and failures per server."""
-    done = completed(operations).groupBy("server").agg(F.count("*").alias("ops"), time_sum("etime").alias("etime_total"), F.count_if(codes.is_error(F.col("err"))).alias("failures"))
-    conns = events.where("kind = 'ACCEPT'").groupBy(F.col("server").alias("s")).agg(F.count("*").alias("connections"))
-    total = done.agg(F.sum("ops").alias("total"))
-    rows = done.join(conns, F.col("server").eqNullSafe(F.col("s")), "left").join(F.broadcast(total))
-    return rows.select("server", "ops", share(F.col("ops"), F.col("total")).alias("share"), "etime_total", F.coalesce("connections", F.lit(0)).alias("connections"), "failures")
+    """Operations, share, time, connections and failures per server; servers with either lines of connections or results."""
+    done = completed(operations).select("server", F.lit(1).alias("ops"), F.col("etime").cast(MONEY).alias("t"), F.lit(0).alias("connections"), codes.is_error(F.col("err")).cast("int").alias("failures"))
+    conns = events.where("kind = 'ACCEPT'").select("server", F.lit(0).alias("ops"), F.lit(None).cast(MONEY).alias("t"), F.lit(1).alias("connections"), F.lit(0).alias("failures"))
+    sums = [F.sum("ops").alias("ops"), time_sum("t").alias("etime_total"), F.sum("connections").alias("connections"), F.coalesce(F.sum("failures"), F.lit(0)).alias("failures")]
+    rows = done.union(conns).groupBy("server").agg(*sums)
+    total = rows.agg(F.sum("ops").alias("_all"), F.sum("etime_total").alias("_t"), F.sum("connections").alias("_c"), F.sum("failures").alias("_f"))
+    return rows.join(F.broadcast(total)).select("server", "ops", share(F.col("ops"), F.col("_all")).alias("share"), "etime_total", "connections", "failures")
 
 
 def coverage_by_server(events: DataFrame) -> DataFrame:
     return events.where("ts_ns is not null").groupBy("server").agg(F.min("ts_ns").alias("first_ns"), F.max("ts_ns").alias("last_ns"))
 
 
+def shared(rows: DataFrame, value: str = "etime_total") -> tuple[DataFrame, Column]:
+    """Report rows joined with their total, and each row's share of it. The total is added up from the grouped rows.
+
+    It uses every column, so that Spark finds the same grouping on both sides and does it once.
+    """
+    every = rows.agg(F.sum(F.col(value).cast(MONEY)).cast("double").alias("_all"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(rows.columns)])
+    used = F.when(F.greatest(*[F.col(f"_n{i}") for i in range(len(rows.columns))], F.lit(0)) >= 0, F.col("_all"))
+    return rows.join(F.broadcast(every)), share(F.col(value), used)
+
+
 def cost_by_account(operations: DataFrame) -> DataFrame:
     """Operations, time, average and share of all time per account."""
-    rows = account_stats(operations)
-    total = completed(operations).agg(time_sum("etime").alias("all"))
-    return rows.join(F.broadcast(total)).select("account", "ops", "etime_total", F.round(F.col("etime_total") / F.col("ops"), 6).alias("etime_avg"), share(F.col("etime_total"), F.col("all")).alias("share"))
+    rows, part = shared(account_stats(operations))
+    return rows.select("account", "ops", "etime_total", F.round(F.col("etime_total") / F.col("ops"), 6).alias("etime_avg"), part.alias("share"))
 
 
 def cost_by_type(events: DataFrame, operations: DataFrame) -> DataFrame:
     """Time of results per type against the request lines with that label."""
-    took = completed(operations).where("type is not null").groupBy("type").agg(time_sum("etime").alias("etime_total"))
-    asked = operation_counts(events).select(F.col("label").alias("type"), F.col("n").alias("ops"))
-    rows = took.join(asked, "type", "left").withColumn("ops", F.coalesce("ops", F.lit(0)))
-    total = took.agg(F.sum(F.col("etime_total").cast(MONEY)).cast("double").alias("all"))
+    took = completed(operations).where("type is not null").select("type", F.col("etime").cast(MONEY).alias("t"), F.lit(0).alias("n"), F.lit(True).alias("ended"))
+    asked = events.select(label().alias("type"), F.lit(None).cast(MONEY).alias("t"), F.lit(1).alias("n"), F.lit(False).alias("ended")).where("type is not null")
+    sums = took.union(asked).groupBy("type").agg(F.sum("n").alias("ops"), time_sum("t").alias("etime_total"), F.max("ended").alias("ended"))
+    rows, part = shared(sums.where("ended"))
     average = F.round(F.when(F.col("ops") > 0, F.col("etime_total") / F.col("ops")).otherwise(0.0), 6)
-    return rows.join(F.broadcast(total)).select("type", "ops", "etime_total", average.alias("etime_avg"), share(F.col("etime_total"), F.col("all")).alias("share"))
+    return rows.select("type", "ops", "etime_total", average.alias("etime_avg"), part.alias("share"))
 
 
 def latency_histogram(operations: DataFrame) -> DataFrame:

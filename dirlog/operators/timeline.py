@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +10,7 @@ from dirlog.functions.timestamps import NS, div
 from dirlog.operators.operations import completed
 from dirlog.operators.ranking import keep_top
 from dirlog.operators.stats import label
+from dirlog.session import stored
 
 STOPS = ("SLAPD_STOPPED", "SLAPD_SHUTDOWN", "DAEMON_SHUTDOWN")
 
@@ -32,54 +32,42 @@ def concurrency(deltas: DataFrame, by: tuple[str, ...] = (), order: tuple[str, .
     return rows.withColumn("open", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(w))).drop("_sum")
 
 
-def concurrency_scan(deltas: DataFrame, partitions: int | None = None, order: tuple[str, ...] = ("t", "file", "ord")) -> DataFrame:
-    """The same over everything in two passes: no task sees more than its ranges of time.
+def concurrency_scan(deltas: DataFrame, by: tuple[str, ...] = (), ranges: int | None = None, order: tuple[str, ...] = ("t", "file", "ord")) -> DataFrame:
+    """The same in two passes over ranges of time: no task sees more than a range of one timeline.
 
-    The ranges are fixed by approximate quantiles first, so that both passes cut alike. A range of events maps x
-    open connections to max(x + a, b); those two numbers of each range come to the driver (as many as there are
-    ranges), and the second pass begins each range with what was open before.
+    deltas is read three times, so it should be a stored table. Ranges are cut by approximate quantiles of the time.
+    Each range of a timeline comes down to two numbers, its sum and its lowest running sum; how many connections
+    were open before it follows from those of the ranges before, in a table of one row a range and timeline.
     """
-    n = partitions or max(1, int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = ranges or max(1, int(deltas.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted(set(deltas.approxQuantile(order[0], [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     part = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c < F.col(order[0]))) if cuts else F.lit(0)
-    parts = deltas.withColumn("_part", part.cast("int")).repartition(n, "_part").sortWithinPartitions("_part", *order)
-
-    def fold(batches):
-        done: dict[int, list[int]] = {}
-        for batch in batches:
-            for p, d in zip(batch.column("_part").to_pylist(), batch.column("delta").to_pylist()):
-                x = done.setdefault(p, [0, 0])
-                x[0], x[1] = x[0] + d, max(x[1] + d, 0)
-        yield pa.RecordBatch.from_pydict({"part": pa.array(list(done), pa.int32()), "a": pa.array([x[0] for x in done.values()], pa.int64()), "b": pa.array([x[1] for x in done.values()], pa.int64())})
-
-    start, open_now = {}, 0
-    for r in sorted(parts.select("_part", "delta").mapInArrow(fold, "part int, a long, b long").collect(), key=lambda r: r.part):
-        start[r.part] = open_now
-        open_now = max(open_now + r.a, r.b)
-    held = deltas.sparkSession.sparkContext.broadcast(start)
-    names = deltas.columns
-
-    def walk(batches):
-        at, now = None, 0
-        for batch in batches:
-            out = []
-            for p, d in zip(batch.column("_part").to_pylist(), batch.column("delta").to_pylist()):
-                now = max((now if p == at else held.value[p]) + d, 0)
-                at = p
-                out.append(now)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.int64())], [*names, "open"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in deltas.schema)
-    return parts.mapInArrow(walk, f"{schema}, open long")
+    w = Window.partitionBy(*by, "_part").orderBy(*order)
+    rows = deltas.withColumn("_part", part.cast("int")).withColumn("_sum", F.sum("delta").over(w))
+    rows = rows.withColumn("_low", F.min("_sum").over(w))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*by, "_part").agg(F.sum("delta").alias("all"), F.min("_sum").alias("least"))
+    parts = parts.withColumn("_before", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
+    parts = parts.withColumn("_floor", F.coalesce(F.min(F.col("_before") + F.col("least")).over(earlier), F.lit(0)))
+    keys = [F.col(c).alias(f"_{c}") for c in by]
+    parts = parts.select(*keys, F.col("_part").alias("_p"), "_before", "_floor")
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    low = F.least(F.lit(0), F.col("_floor"), F.col("_before") + F.col("_low"))
+    return rows.join(parts, same).select(*deltas.columns, (F.col("_before") + F.col("_sum") - low).alias("open"))
 
 
 def peak_connections(events: DataFrame) -> DataFrame:
     """One server: the highest peak of any file. Several: the peak of all timelines merged, second by second."""
-    deltas = connection_events(events)
-    single = deltas.agg(F.countDistinct("server").alias("servers"), F.count(F.when(F.col("server").isNull(), 1)).alias("nameless"))
-    by_file = concurrency(deltas, ("file",), ("ord",)).agg(F.max("open").alias("file_peak"))
-    merged = concurrency_scan(deltas).agg(F.max("open").alias("peak"))
-    return single.join(by_file).join(merged).select(F.when(F.col("servers") <= 1, F.col("file_peak")).otherwise(F.col("peak")).alias("peak"))
+    return peak_of(stored(connection_events(events)))
+
+
+def peak_of(deltas: DataFrame) -> DataFrame:
+    """The same of a stored table of openings and closings."""
+    servers = deltas.agg(F.countDistinct("server")).first()[0]
+    rows = concurrency_scan(deltas, ("file",), order=("t", "ord")) if servers <= 1 else concurrency_scan(deltas)
+    return rows.agg(F.max("open").alias("peak"))
 
 
 def bucket(t: Column, t0: Column, t1: Column, buckets: int) -> Column:
@@ -91,7 +79,7 @@ def bucket(t: Column, t0: Column, t1: Column, buckets: int) -> Column:
 def concurrency_series(events: DataFrame, buckets: int = 240) -> DataFrame:
     """(bucket, peak): most open connections in each part of the run; an empty part goes on with the last value."""
     window = events.agg(div(F.min("ts_ns"), NS).alias("t0"), div(F.max("ts_ns"), NS).alias("t1"))
-    rows = concurrency_scan(connection_events(events)).join(F.broadcast(window))
+    rows = concurrency_scan(stored(connection_events(events))).join(F.broadcast(window))
     rows = rows.withColumn("bucket", bucket(F.col("t"), F.col("t0"), F.col("t1"), buckets))
     last = F.max_by("open", F.struct("t", "file", "ord"))
     found = rows.groupBy("bucket").agg(F.max("open").alias("most"), last.alias("last"))
@@ -119,29 +107,39 @@ def server_events(events: DataFrame, versions: DataFrame | None = None) -> DataF
     return rows.select("file", "server", "ord", "ts_ns", "what", text.alias("label")).orderBy("ts_ns", "file", "ord")
 
 
+def in_time(lifecycle: DataFrame) -> DataFrame:
+    """Adds t (second) and before (the event before it in time, whatever its file and server).
+
+    lifecycle is ``server_events``: starts and stops of servers, a handful of rows, put in one order over all files,
+    because a stop and the start after it lie in two files where logs are rotated. Within a second the labels decide.
+    """
+    rows = lifecycle.where("ts_ns is not null").withColumn("t", div(F.col("ts_ns"), NS))
+    return rows.withColumn("before", F.lag("what").over(Window.orderBy("t", "label", "file", "ord")))
+
+
 def outages(lifecycle: DataFrame, end_ns: Column | int) -> DataFrame:
-    """(file, server, down_ns, up_ns): from the first stop or shutdown of a group to the next start, else to the end.
+    """(down_ns, up_ns): from the first stop or shutdown after a start to the next start, else to the end; whole seconds.
 
-    lifecycle: the few rows of ``server_events``. Outages without length are left out.
+    Outages without length are left out. Which of them are backed by silence is what ``corroborated_outages`` tells.
     """
     end = F.lit(end_ns) if isinstance(end_ns, int) else end_ns
-    w = Window.partitionBy("file", "server").orderBy("ord")
-    rows = lifecycle.withColumn("group", F.sum((F.col("what") == "start").cast("int")).over(w))
-    groups = rows.groupBy("file", "server", "group").agg(F.min(F.when(F.col("what") != "start", F.col("ts_ns"))).alias("down_ns"), F.min(F.when(F.col("what") == "start", F.col("ts_ns"))).alias("started"))
-    up = F.coalesce(F.lead("started").over(Window.partitionBy("file", "server").orderBy("group")), end)
-    return groups.withColumn("up_ns", up).where("down_ns is not null and up_ns > down_ns").select("file", "server", "down_ns", "up_ns")
+    edges = in_time(lifecycle).where("what = 'start' and before <> 'start' or what <> 'start' and coalesce(before, 'start') = 'start'")
+    up = F.lead("t").over(Window.orderBy("t", "label", "file", "ord"))
+    rows = edges.withColumn("up", F.coalesce(up, div(end, NS))).where("what <> 'start' and up > t")
+    return rows.select((F.col("t") * NS).alias("down_ns"), (F.col("up") * NS).alias("up_ns"))
 
 
 def corroborated_outages(down: DataFrame, events: DataFrame) -> DataFrame:
-    """Outages during which no connection event of the server happened."""
-    conns = events.where("kind in ('ACCEPT', 'CLOSED')").select(F.col("server").alias("s"), F.col("ts_ns").alias("at"))
-    return down.join(conns, F.col("server").eqNullSafe(F.col("s")) & (F.col("at") > F.col("down_ns")) & (F.col("at") < F.col("up_ns")), "left_anti")
+    """Outages during which no connection was opened or closed; the few outages are held against the lines where these lie."""
+    conns = events.where("kind in ('ACCEPT', 'CLOSED')").select((div(F.col("ts_ns"), NS) * NS).alias("at"))
+    numbered = stored(down)
+    busy = conns.join(F.broadcast(numbered), (F.col("at") > F.col("down_ns")) & (F.col("at") < F.col("up_ns"))).select(*down.columns).distinct()
+    return numbered.join(busy, down.columns, "left_anti")
 
 
 def abrupt_restarts(lifecycle: DataFrame) -> DataFrame:
     """Starts, but for the first event, with nothing shut down since the start before."""
-    w = Window.partitionBy("file", "server").orderBy("ord")
-    return lifecycle.withColumn("before", F.lag("what").over(w)).where("what = 'start' and before = 'start'").select("file", "server", "ts_ns")
+    return in_time(lifecycle).where("what = 'start' and before = 'start'").select("file", "server", "ts_ns")
 
 
 def uncovered_spans(coverage: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dirlog.functions import timestamps as T
 from dirlog.schema import EVENT_FIELDS
-from dirlog.sources.lines import read_ds389_json
+from dirlog.sources.lines import LINES, RECORD_END, as_records, inspect_files, list_files, read_ds389_json, read_files
 
 Parser = Callable[..., DataFrame]
 
@@ -50,14 +50,11 @@ def settled(df: DataFrame, *columns: str) -> DataFrame:
 
 # ----- OpenLDAP -----
 
-#: Every header in one pattern: bracketed time (1), hexadecimal time (2) or plain time (3) with host (4) and process (5), then the payload (6).
-HEADER = (
-    r"^(?:\[(\d{4}-\d{2}-\d{2}T[^\]]+)\]|([0-9a-f]+\.[0-9a-f]+)\s+0x[0-9a-f]+"
-    r"|(\d{4}-\d{2}-\d{2}T\S+|[A-Z][a-z]{2}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2})\s+(\S+)\s+(\S+):)\s+(.*)$"
-)
 FORMATS = ("debug", "syslog", "syslog-utc", "syslog-localtime", "rfc3339-utc", "rfc3339", "ol26")
 HEADERS = ("debug", "syslog", "rfc3339-utc", "rfc3339", "ol26")
 MARK = "\x01"
+#: What ``parse_header`` adds, and what is read of the front of a payload.
+HEAD_COLUMNS = ("format", "ts_text", "ts_ns", "server", "proc", "payload", "conn", "op", "rest")
 
 
 def groups(c: Column, pattern: str, n: int) -> Column:
@@ -78,10 +75,20 @@ def parse_header(lines: DataFrame, fmt: str = "auto", year: int | None = None, t
     if fmt != "auto" and fmt not in FORMATS:
         raise ValueError(f"unknown header format {fmt!r}")
     year = year if year is not None else lines.sparkSession.sql("SELECT year(current_date())").first()[0]
-    df = settled(lines.withColumn("head", groups(F.col("raw"), HEADER, 6)), "head")
-    plain = group("head", 3)
-    found = F.when(group("head", 1).isNotNull(), "ol26").when(group("head", 2).isNotNull(), "debug")
-    found = found.when(plain.rlike(r"^\d.*\.\d+Z$"), "rfc3339-utc").when(plain.rlike(r"^\d"), "rfc3339").when(plain.isNotNull(), "syslog")
+    raw = F.col("raw")
+    # What a line begins with says its shape, and so where its time ends; then come host and process, but for two shapes.
+    shape = F.when(raw.startswith("["), "ol26").when(raw.rlike("^[0-9]{4}-"), "rfc3339").when(raw.rlike("^[A-Z][a-z]{2} "), "syslog").when(raw.rlike(r"^[0-9a-f]+[.][0-9a-f]+ +0x"), "debug")
+    df = lines.withColumn("shape", shape)
+    cut = F.when(F.col("shape") == "syslog", 15).when(F.col("shape") == "ol26", F.instr(raw, "]")).otherwise(F.instr(raw, " ") - 1)
+    df = settled(df.withColumns({"stamp": F.substring(raw, F.lit(1), cut), "after": F.ltrim(F.substring(raw, cut + 1, F.length(raw)))}), "shape", "stamp", "after")
+    stamp, after = F.col("stamp"), F.col("after")
+    named = F.col("shape").isin("rfc3339", "syslog")
+    host = F.when(named, F.substring_index(after, " ", 1))
+    proc = F.when(named, F.substring_index(F.ltrim(F.substring(after, F.length(host) + 1, F.length(after))), ":", 1))
+    rest = F.when(named, F.substring(after, F.instr(after, ":") + 1, F.length(after))).when(F.col("shape") == "debug", F.substring(after, F.instr(after, " ") + 1, F.length(after))).otherwise(after)
+    whole = ~named | ((host != "") & (proc != "") & ~proc.contains(" ") & (F.instr(after, ": ") > F.length(host) + 1))
+    timed = F.when(F.col("shape") == "rfc3339", F.substring(stamp, 11, 1) == "T").when(F.col("shape") == "ol26", stamp.rlike("^.[0-9]{4}-[0-9]{2}-[0-9]{2}T")).when(F.col("shape") == "syslog", F.substring(stamp, 10, 1) == ":").otherwise(True)
+    found = F.when(whole & timed, F.when((F.col("shape") == "rfc3339") & stamp.endswith("Z") & stamp.contains("."), "rfc3339-utc").otherwise(F.col("shape")))
     if fmt.startswith("syslog-"):
         found = F.when(found == "syslog", fmt)
     elif fmt == "rfc3339":
@@ -90,8 +97,8 @@ def parse_header(lines: DataFrame, fmt: str = "auto", year: int | None = None, t
         found = F.when(found == fmt, fmt)
     df = df.withColumn("format", found)
     own = lambda c: F.when(F.col("format").isNotNull(), c)
-    df = df.withColumns({"ts_text": own(F.coalesce(plain, group("head", 1), group("head", 2))), "server": own(group("head", 4)), "proc": own(group("head", 5)), "payload": own(group("head", 6))})
-    return df.withColumn("ts_ns", T.to_epoch_ns(F.col("ts_text"), F.col("format"), year, tz, HEADERS if fmt == "auto" else (fmt,))).drop("head")
+    df = df.withColumns({"ts_text": own(F.regexp_replace(stamp, r"^\[|\]$", "")), "server": own(host), "proc": own(proc), "payload": own(F.ltrim(rest))})
+    return df.withColumn("ts_ns", T.to_epoch_ns(F.col("ts_text"), F.col("format"), year, tz, HEADERS if fmt == "auto" else (fmt,))).drop("shape", "stamp", "after")
 
 
 def openldap_kind(p: Column, rest: Column) -> Column:
@@ -128,10 +135,14 @@ def parse_openldap(lines: DataFrame, fmt: str = "auto", year: int | None = None,
     """OpenLDAP lines as events. Fields are only looked for in kinds that have them."""
     df = parse_header(lines, fmt, year, tz)
     p = F.col("payload")
-    df = df.withColumn("front", groups(p, r"^conn=(\d+)\s+op=(\d+)\s*:?\s*(.*)$", 3))
-    any_conn = F.when(p.contains("conn="), grab(p, r"\bconn=(-?\d+)"))
-    any_op = F.when(p.contains("op="), grab(p, r"\bop=(-?\d+)"))
-    df = df.withColumns({"conn": F.coalesce(group("front", 1), any_conn).try_cast("bigint"), "op": F.coalesce(group("front", 2), any_op).try_cast("bigint"), "rest": group("front", 3)})
+    # "conn=N op=M what", as words; elsewhere in other lines one or both of the numbers.
+    word = F.split(p, " +", 3)
+    front = p.startswith("conn=") & F.get(word, F.lit(1)).startswith("op=")
+    number_of = lambda i, key: F.when(front, F.regexp_replace(F.substring_index(F.get(word, F.lit(i)), "=", -1), ":$", "").try_cast("bigint"))
+    df = settled(df.withColumns({"conn": number_of(0, "conn"), "op": number_of(1, "op"), "rest": F.when(front, F.regexp_replace(F.coalesce(F.get(word, F.lit(2)), F.lit("")), "^: *", ""))}), *HEAD_COLUMNS)
+    front = F.col("conn").isNotNull() & F.col("op").isNotNull()
+    anywhere = lambda key: F.when(p.contains(f"{key}="), grab(p, rf"\b{key}=(-?\d+)").try_cast("bigint"))
+    df = df.withColumns({"conn": F.when(front, F.col("conn")).otherwise(anywhere("conn")), "op": F.when(front, F.col("op")).otherwise(anywhere("op")), "rest": F.when(front, F.col("rest"))})
     has = F.col("rest").startswith("[IP=")
     df = df.withColumn("block", F.when(has, groups(F.col("rest"), r"^\[IP=(\S+)\s+NAME=(.*?)(?:\s+USERNAME=([^\]]*))?\]\s+(.*)$", 4)))
     df = df.withColumn("rest", F.coalesce(group("block", 4), F.col("rest")))
@@ -145,6 +156,7 @@ def parse_openldap(lines: DataFrame, fmt: str = "auto", year: int | None = None,
         "srch": F.when(k == "SRCH", groups(r, r'^SRCH\s+base=(?:"([^"]*)"|(\S+))\s+scope=(\d+)\s+deref=(\d+)\s+filter=(.+)$', 5)),
         "track": F.when(k == "TRACK", parse_track(grab(r, r"^TRACK\s+(.*)$"))),
     })
+    df = settled(df, "res", "srch", "track")
     note = lambda kinds, pattern: only(kinds, grab(p, pattern))
     fields = {
         "ts": T.to_ts(F.col("ts_ns")),
@@ -186,12 +198,18 @@ DS389_VERBS = {"UNBIND": "UNBIND", "SRCH": "SRCH", "CMP": "CMP", "MODRDN": "MODR
 def parse_ds389_text(lines: DataFrame) -> DataFrame:
     """389-ds access lines; tab-led and empty lines are titles. op=-1 is no operation, op=m(i)(n) is m."""
     raw = F.col("raw")
-    header = r"^\[(\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}\.\d{1,9} [+-]\d{4})\] (.*)$"
-    df = lines.withColumns({"format": F.lit("389ds"), "ts_text": grab(raw, header, 1), "p": grab(raw, header, 2)})
-    p = F.col("p")
-    front = r"^conn=(?:Internal\((\d+)\)|(\d+)(?: \(Internal\))?)(?: op=(-?\d+)(?:\(\d+\))*)? (.*)$"
-    op = grab(p, front, 3).try_cast("bigint")
-    df = df.withColumns({"conn": F.coalesce(grab(p, front, 2), grab(p, front, 1)).try_cast("bigint"), "op": F.when(op >= 0, op), "rest": grab(p, front, 4)})
+    # "[time] conn=... [op=...] what": the time ends at the first closing bracket.
+    timed = raw.startswith("[") & raw.contains("] ") & (F.instr(raw, "/") > 0)
+    df = lines.withColumns({"format": F.lit("389ds"), "ts_text": F.when(timed, F.substring_index(F.substring(raw, 2, 64), "]", 1)), "p": F.when(timed, F.substring(raw, F.instr(raw, "] ") + 2, F.length(raw)))})
+    df = settled(df.withColumn("ts_ns", T.from_bracketed(F.col("ts_text"))), "ts_text", "ts_ns", "p")
+    p = F.when(F.col("ts_ns").isNotNull(), F.regexp_replace(F.col("p"), r"^(conn=\d+) \(Internal\)", "$1"))
+    ids = F.split(p, " ", 3)
+    first, second, third = (F.get(ids, F.lit(i)) for i in range(3))
+    conn = F.regexp_replace(F.when(first.startswith("conn="), F.substring(first, 6, 40)), r"^Internal\((\d+)\)$", "$1").try_cast("bigint")
+    op = F.when(second.startswith("op="), F.regexp_replace(F.substring(second, 4, 40), r"\(.*$", "").try_cast("bigint"))
+    what = F.when(conn.isNotNull(), F.when(second.startswith("op="), third).otherwise(F.concat_ws(" ", second, third)))
+    df = df.withColumns({"conn": conn, "op": F.when(op >= 0, op), "rest": what})
+    df = settled(df, "conn", "op", "rest")
     r = F.col("rest")
     verb = grab(r, r"^([A-Z]+)")
     result = F.when(number(r, "tag") == 101, "SEARCH_RESULT").otherwise("RESULT")
@@ -200,7 +218,7 @@ def parse_ds389_text(lines: DataFrame) -> DataFrame:
     for name, k in DS389_VERBS.items():
         kind = kind.when(verb == name, k)
     kind = F.when((raw == "") | raw.startswith("\t"), "TITLE").when(r.isNull(), "UNKNOWN_LINE").otherwise(kind.otherwise("UNKNOWN_OP"))
-    df = settled(df.withColumn("kind", kind).withColumn("ts_ns", T.from_bracketed(F.col("ts_text"))), "ts_text", "ts_ns", "conn", "op", "rest", "kind")
+    df = settled(df.withColumn("kind", kind), "kind")
     k = F.col("kind")
     tokens = F.when(k.isin("RESULT", "SEARCH_RESULT"), F.regexp_replace(r, r"\s- .*$", ""))
     method = grab(r, r"method=(\w+)")
@@ -318,13 +336,38 @@ def register_dialect(kind: str, parser: Parser) -> None:
 
 
 def parse_files(lines: DataFrame, files: DataFrame, server: str | None = None) -> DataFrame:
-    """Events of all kept files (file, kind, kept), each parsed by its own dialect; ``server`` names what has no host."""
-    kinds = [r.kind for r in files.where("kept").select("kind").distinct().collect()]
-    out = None
-    for kind in sorted(kinds):
-        own = lines.join(files.where((F.col("kind") == kind) & F.col("kept")).select("file"), "file", "left_semi")
-        events = PARSERS[kind](own)
-        out = events if out is None else out.unionByName(events)
-    if out is None:
-        return as_events(lines.where("false"), {})
-    return out.withColumn("server", F.coalesce("server", F.lit(server))) if server else out
+    """Events of the kept files (file, kind, kept) among ``lines``, each parsed by its own dialect; ``server`` names what has no host.
+
+    ``files`` has one row a file and is broadcast, so lines stay where they are. Where lines come from files as such,
+    ``read_events`` does not even read what another dialect's parser is to have.
+    """
+    kept = files.where("kept").select("file", "kind")
+    kinds = [r.kind for r in kept.select("kind").distinct().collect()]
+    parts = [PARSERS[kind](lines.join(F.broadcast(kept.where(F.col("kind") == kind).select("file")), "file", "left_semi")) for kind in sorted(kinds)]
+    return named(united(parts) if parts else as_events(lines.where("false"), {}), server)
+
+
+def read_events(spark: SparkSession, paths: str | list[str], server: str | None = None, single_kind: bool = False, recursive: bool = False, year: int | None = None, tz: str = "UTC") -> DataFrame:
+    """Events of log files, whatever their compression and dialect: each dialect's parser reads its own files only.
+
+    What is left out, and why, is what ``sources.lines.inspect_files`` says of the same paths. ``year`` and ``tz``
+    belong to year-less OpenLDAP headers.
+    """
+    files = inspect_files(spark, list_files(spark, paths, recursive), single_kind).where("kept").select("file", "kind", "compression").collect()
+    parts = []
+    for kind in sorted({f.kind for f in files}):
+        own = [(f.file, f.compression) for f in files if f.kind == kind]
+        lines = as_records(read_files(spark, own, RECORD_END)) if kind.endswith("-pretty") else read_files(spark, own)
+        parts.append(parse_openldap(lines, year=year, tz=tz) if kind == "openldap" else PARSERS[kind](lines))
+    return named(united(parts) if parts else as_events(spark.createDataFrame([], LINES), {}), server)
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def named(events: DataFrame, server: str | None) -> DataFrame:
+    return events.withColumn("server", F.coalesce("server", F.lit(server))) if server else events

@@ -1,12 +1,44 @@
-"""Settings that the jobs of this library profit from."""
+"""Settings that the jobs of this library profit from, and tables that they share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Parsing makes long methods: beyond 8,000 bytes the JVM would never compile them, so Spark is to split them."""
+    """For the owner of a session: settings under which parsing is fast and times are shown in UTC.
+
+    Parsing makes long methods: beyond 8,000 bytes the JVM would never compile them, so Spark is to split them.
+    No operator needs these settings for its results, and none changes them.
+    """
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share (``spark.checkpoint.dir``); on a single machine a temporary one if none is set."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet into the shared folder and read back, for what several steps read.
+
+    The table outlives lost executors and is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

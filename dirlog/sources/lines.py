@@ -4,17 +4,27 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import lzma
+import zlib
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LINES = "file string, ord struct<block:bigint,seq:bigint>, raw string"
-#: Magic bytes of compressed files.
-MAGIC = {b"\x1f\x8b": gzip.open, b"BZh": bz2.open, b"\xfd7zXZ\x00": lzma.open}
-#: Lines of a file that name its dialect, and lines that a helper hands over at once.
-HEAD, BATCH = 200, 20_000
+#: Magic bytes of compressed files, with their name, what opens them and what decompresses a part of one.
+MAGIC = {
+    b"\x1f\x8b": ("gz", gzip.open, lambda: zlib.decompressobj(31)),
+    b"BZh": ("bz2", bz2.open, bz2.BZ2Decompressor),
+    b"\xfd7zXZ\x00": ("xz", lzma.open, lzma.LZMADecompressor),
+}
+#: Lines of a file that name its dialect, lines that a helper hands over at once, bytes read of a file's head (bz2
+#: says nothing before its first block is whole), files whose heads are held at once, and threads that read them.
+HEAD, BATCH, HEAD_BYTES, HEAD_BYTES_BZ2, FILES, THREADS = 200, 20_000, 1 << 16, 1 << 20, 500, 16
 #: Names of logs, and endings of files that are none.
 LOG_NAME, NO_LOG = r"(?i)(slapd|ldap|\.log)", r"(?i)(~|\.swp|\.tmp|\.bak|\.old|\.disabled)$"
 #: 389-ds JSON keys that are read.
@@ -36,31 +46,61 @@ def read_lines(spark: SparkSession, paths: str | list[str], separator: str | Non
     return df.select(F.col("_metadata.file_path").alias("file"), order.alias("ord"), F.regexp_replace("value", r"\r+$", "").alias("raw"))
 
 
-def read_compressed(spark: SparkSession, paths: list[str]) -> DataFrame:
+def compression(first: bytes) -> str | None:
+    """Name of a file's compression by its first bytes; None for plain files."""
+    return next((name for magic, (name, _, _) in MAGIC.items() if first.startswith(magic)), None)
+
+
+def is_local(path: str) -> bool:
+    return path.startswith(("/", "file:"))
+
+
+def read_compressed(spark: SparkSession, paths: list[str], separator: str = "\n") -> DataFrame:
     """(file, ord, raw) of .xz files and of files whose name hides their compression, told by their first bytes.
 
-    One task for each file, which streams its lines; the files must lie where executors can open them.
+    One task for each file, which streams its lines. Files that executors cannot open by themselves come through
+    Spark's binary reader, which refuses files above 2 GB (as stored) with an error.
     """
-    listed = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+    local, remote = [p for p in paths if is_local(p)], [p for p in paths if not is_local(p)]
+    listed = spark.createDataFrame([(p, None) for p in local], "path string, content binary").repartition(max(1, len(local)))
+    if remote:
+        listed = listed.union(spark.read.format("binaryFile").load(remote).select("path", "content"))
+    ending = separator.encode()
 
-    def lines(batches):
+    def rows(batches):
         for batch in batches:
-            for path in batch.column(0).to_pylist():
-                local = path.removeprefix("file://").removeprefix("file:")
-                with open(local, "rb") as f:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with open(local_path(path), "rb") if content is None else io.BytesIO(content) as f:
                     first = f.read(6)
-                opener = next((o for m, o in MAGIC.items() if first.startswith(m)), open)
-                with opener(local, "rb") as f:
+                    f.seek(0)
+                    opener = next((o for magic, (_, o, _) in MAGIC.items() if first.startswith(magic)), None)
                     held, n = [], 0
-                    for line in f:
-                        held.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+                    for piece in pieces(opener(f, "rb") if opener else f, ending):
+                        held.append(piece.rstrip(b"\r\n").decode("utf-8", "replace"))
                         if len(held) == BATCH:
                             yield as_batch(path, n, held)
                             held, n = [], n + BATCH
                     if held:
                         yield as_batch(path, n, held)
 
-    return listed.mapInArrow(lines, LINES)
+    return listed.mapInArrow(rows, LINES)
+
+
+def local_path(path: str) -> str:
+    return path.removeprefix("file://").removeprefix("file:")
+
+
+def pieces(f: BinaryIO, ending: bytes) -> Iterator[bytes]:
+    """Parts of a file between endings, read a block at a time."""
+    if ending == b"\n":
+        yield from f
+        return
+    held = b""
+    while block := f.read(1 << 20):
+        *whole, held = (held + block).split(ending)
+        yield from whole
+    if held:
+        yield held
 
 
 def as_batch(path: str, first: int, lines: list[str]) -> pa.RecordBatch:
@@ -105,6 +145,83 @@ def line_kind(raw: Column) -> Column:
     )
 
 
+def file_heads(spark: SparkSession, paths: list[str]) -> Iterator[list[tuple[str, int, str | None, list[str]]]]:
+    """(path, length, compression, first lines) of some files at a time; length -1 where a file cannot be read.
+
+    The first bytes of each file are read as the listing is, by the driver and through Hadoop, so any file system will do.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def head(name: str) -> tuple[str, int, str | None, list[str]]:
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            fs = path.getFileSystem(conf)
+            length = fs.getFileStatus(path).getLen()
+            stream = fs.open(path)
+            try:
+                data = bytes(stream.readNBytes(HEAD_BYTES))
+                kind = compression(data)
+                if kind == "bz2" and length > len(data):
+                    data += bytes(stream.readNBytes(HEAD_BYTES_BZ2))
+            finally:
+                stream.close()
+            if kind:
+                data = next(make for _, (n, _, make) in MAGIC.items() if n == kind)().decompress(data)
+            return name, length, kind, [line.rstrip("\r") for line in data.decode("utf-8", "replace").split("\n")[:HEAD]]
+        except Exception as error:  # noqa: BLE001
+            if "java" not in str(type(error)) + str(error) and not isinstance(error, (OSError, zlib.error, lzma.LZMAError, EOFError)):
+                raise
+            return name, -1, None, []
+
+    with ThreadPoolExecutor(THREADS) as pool:
+        for i in range(0, len(paths), FILES):
+            yield list(pool.map(head, paths[i : i + FILES]))
+
+
+def inspect_files(spark: SparkSession, paths: list[str], single_kind: bool = False) -> DataFrame:
+    """(file, kind, kept, reason, compression, length) of files: which dialect each speaks, and why one is left out.
+
+    Only heads are read. One row a file, so the table is as small as the listing.
+    """
+    found, seen = [], []
+    for heads in file_heads(spark, paths):
+        lines = [(name, (0, i), line) for name, _, _, head in heads for i, line in enumerate(head)]
+        named = {r.file: r.kind for r in classify_files(spark.createDataFrame(lines, LINES)).collect()} if lines else {}
+        found += [(n, "unreadable" if length < 0 else "empty" if not length else named.get(n, "not-a-log")) for n, length, _, _ in heads]
+        seen += [(n, kind, length) for n, length, kind, _ in heads]
+    kinds = spark.createDataFrame(found, "file string, kind string")
+    return select_run_kind(kinds, single_kind).join(F.broadcast(spark.createDataFrame(seen, "file string, compression string, length long")), "file")
+
+
+def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> list[str]:
+    """The files that paths, folders and patterns stand for, as the file system names them; hidden ones only if named."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out: list[str] = []
+    todo = [(p, True) for p in ([paths] if isinstance(paths, str) else paths)]
+    while todo:
+        name, named = todo.pop()
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        fs = path.getFileSystem(conf)
+        for status in (fs.globStatus(path) or []) if named else fs.listStatus(path):
+            child = status.getPath().toString()
+            if status.isFile() and (named or not status.getPath().getName().startswith((".", "_"))):
+                out.append(child)
+            elif status.isDirectory() and (named or recursive):
+                todo.append((child, False))
+    return sorted(set(out))
+
+
+def read_files(spark: SparkSession, files: list[tuple[str, str | None]], separator: str | None = None) -> DataFrame:
+    """(file, ord, raw) of files with their compression: by Spark's reader where the name shows it, else by the helper."""
+    shown = [p for p, c in files if c is None and not p.endswith((".gz", ".bz2", ".xz")) or c in ("gz", "bz2") and p.endswith(f".{c}")]
+    hidden = sorted({p for p, _ in files} - set(shown))
+    out = read_lines(spark, shown, separator) if shown else None
+    if hidden:
+        more = read_compressed(spark, hidden, separator or "\n")
+        out = out.unionByName(more) if out is not None else more
+    return out
+
+
 def classify_files(lines: DataFrame) -> DataFrame:
     """(file, kind): the dialect of the first line of each file's head that speaks for one, else not-a-log.
 
@@ -122,17 +239,25 @@ READABLE = ("openldap", "ds389-text", "ds389-json", "ds389-json-pretty", "ds389-
 def select_run_kind(files: DataFrame, single_kind: bool = False) -> DataFrame:
     """(file, kind, kept, reason). With ``single_kind`` the first readable file by path fixes the kind of the run."""
     first = files.where(F.col("kind").isin(*READABLE)).agg(F.min_by("kind", "file").alias("run_kind"))
-    reason = F.when(F.col("kind") == "not-a-log", "not a log").when(F.col("kind").isin("ds389-other", "opendj-audit"), "audit or security stream")
+    reason = F.when(F.col("kind") == "not-a-log", "not a log").when(F.col("kind").isin("empty", "unreadable"), F.col("kind")).when(F.col("kind").isin("ds389-other", "opendj-audit"), "audit or security stream")
     if single_kind:
         reason = reason.when(F.col("kind") != F.col("run_kind"), "another kind than the run's")
     out = files.join(F.broadcast(first)).withColumn("reason", reason)
     return out.select("file", "kind", F.col("reason").isNull().alias("kept"), "reason")
 
 
+#: What ends a record of many lines: a closing brace at a line's start.
+RECORD_END = "\n}"
+
+
+def as_records(df: DataFrame) -> DataFrame:
+    """(file, ord, raw) cut at RECORD_END, as whole JSON objects; what is left at a file's end is no record."""
+    return df.select("file", "ord", F.concat(F.regexp_replace("raw", r"^\s+", ""), F.lit(RECORD_END)).alias("raw")).where(F.col("raw").rlike(r"^\{"))
+
+
 def read_json_pretty(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, ord, raw): one whole JSON object of many lines a row; a record ends at a closing brace at a line's start."""
-    df = read_lines(spark, paths, separator="\n}")
-    return df.select("file", "ord", F.concat(F.regexp_replace("raw", r"^\s+", ""), F.lit("\n}")).alias("raw")).where(F.col("raw").rlike(r"^\{"))
+    return as_records(read_lines(spark, paths, separator=RECORD_END))
 
 
 def read_ds389_json(lines: DataFrame) -> DataFrame:

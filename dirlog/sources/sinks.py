@@ -1,9 +1,7 @@
-"""What leaves: unknown lines, the replay table and the report as one JSON document."""
+"""What leaves: unknown lines and the replay table."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,13 +45,3 @@ def write_replay(operations: DataFrame, path: str, sep: str = "|", limit: int =
         raise ValueError("the separator is |, a tab or a comma")
     rows = replay_table(operations, date_format)
     (rows.limit(limit) if limit else rows).write.mode("overwrite").csv(path, sep=sep, header=True)
-
-
-def build_report(tables: dict[str, DataFrame], limit: int = 1000) -> str:
-    """One JSON document with up to ``limit`` rows of each table, sorted as they come."""
-    return json.dumps({name: [json.loads(r) for r in df.limit(limit).toJSON().collect()] for name, df in tables.items()}, ensure_ascii=False)
-
-
-def write_json_report(tables: dict[str, DataFrame], path: str, limit: int = 1000) -> None:
-    spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(build_report(tables, limit),)], "value string").coalesce(1).write.mode("overwrite").text(path)

@@ -15,7 +15,7 @@ from dirlog.operators import ranking as K
 from dirlog.operators import stats as S
 from dirlog.operators import timeline as L
 from dirlog.plans import events as E
-from dirlog.sources import sinks
+from dirlog.sources import report, sinks
 from dirlog.sources import state as St
 from dirlog.sources.lines import LINES
 from dirlog.streaming import ingest
@@ -41,12 +41,12 @@ def bind(conn, dn="uid=a,dc=x", etime=1):
 
 
 def test_families_hogs_and_sequences(spark):
-    ops = O.build_operations(parse(spark, bind(1) + search(1, 1, "(employeeNumber=100*)", 25000) + search(1, 2, "(employeeNumber=0*)", 30000)))
+    ops = O.build_operations(parse(spark, bind(1) + search(1, 1, "(badge=71-*)", 800) + search(1, 2, "(badge=3-*)", 1200)))
     fam = P.filter_families(ops).first()
-    assert (fam.template, fam.n, fam.etime_total) == ("(employeenumber=#*)", 2, 55000.0)
-    assert [r.template for r in P.resource_hogs(P.filter_families(ops), ops).collect()] == ["(employeenumber=#*)"]
+    assert (fam.template, fam.n, fam.etime_total) == ("(badge=#$*)", 2, 2000.0)
+    assert [r.template for r in P.resource_hogs(ops).collect()] == ["(badge=#$*)"]
     seq = {r.sequence: r.n for r in P.operation_sequences(ops).collect()}
-    s = "SRCH|(employeenumber=#*)|2"
+    s = "SRCH|(badge=#$*)|2"
     assert seq == {f"BIND > {s}": 1, f"{s} > {s}": 1, f"BIND > {s} > {s}": 1}
 
 
@@ -83,22 +83,45 @@ def test_scan_equals_loop(spark):
     for r in rows:
         now = max(0, now + r[4])
         want.append(now)
-    assert [r.open for r in L.concurrency_scan(df, 7).orderBy("t").collect()] == want
+    assert [r.open for r in L.concurrency_scan(df, ranges=7).orderBy("t").collect()] == want
     assert [r.open for r in L.concurrency(df).orderBy("t").collect()] == want
 
 
+def test_scan_by_group_equals_loops(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(i // 3, f"f{rng.randrange(3)}", rng.choice([None, "h"]), (0, i), rng.choice([1, -1, -1])) for i in range(600)]
+    df = spark.createDataFrame(rows, "t long, file string, server string, ord struct<block:bigint,seq:bigint>, delta int")
+    now, want = {}, {}
+    for r in rows:
+        now[r[1], r[2]] = max(0, now.get((r[1], r[2]), 0) + r[4])
+        want[r[3][1]] = now[r[1], r[2]]
+    for ranges in (1, 5, 40):
+        assert {r.ord.seq: r.open for r in L.concurrency_scan(df, ("file", "server"), ranges, ("t", "ord")).collect()} == want
+
+
 def test_restarts_and_outages(spark):
-    rows = [(0, "slapd starting"), (600, "daemon: shutdown requested and initiated."), (601, "slapd stopped."), (1200, "slapd starting"), (2400, "slapd starting"), (3599, "slapd stopped.")]
-    e = parse(spark, rows)
+    """The stop lies in one file and the start after it in the next, as after a rotation."""
+    first = [(0, "slapd starting"), (300, "daemon: shutdown requested and initiated."), (302, "slapd stopped.")]
+    second = [(900, "slapd starting"), (1500, "slapd starting"), (2000, "slapd stopped.")]
+    e = parse(spark, first, "log.1").union(parse(spark, second, "log"))
     life = L.server_events(e)
     end = e.agg(F.max("ts_ns")).first()[0]
-    down = L.outages(life, end).collect()
-    first = 1785938400000000000
-    assert [(r.down_ns - first, r.up_ns - first) for r in down] == [(600 * 10**9, 1200 * 10**9)]
-    assert [r.ts_ns - first for r in L.abrupt_restarts(life).collect()] == [2400 * 10**9]
-    busy = e.union(parse(spark, [(700, "conn=1 fd=1 closed")]))
+    zero = e.agg(F.min("ts_ns")).first()[0]
+    assert [(r.down_ns - zero, r.up_ns - zero) for r in L.outages(life, end).collect()] == [(300 * 10**9, 900 * 10**9)]
+    assert sorted((r.down_ns - zero, r.up_ns - zero) for r in L.outages(life, end + 60 * 10**9).collect()) == [(300 * 10**9, 900 * 10**9), (2000 * 10**9, 2060 * 10**9)]
+    assert [(r.file, r.ts_ns - zero) for r in L.abrupt_restarts(life).collect()] == [("log", 1500 * 10**9)]
+    busy = e.union(parse(spark, [(700, "conn=1 fd=1 closed")], "log.1"))
     assert L.corroborated_outages(L.outages(life, end), e).count() == 1 and L.corroborated_outages(L.outages(life, end), busy).count() == 0
-    assert sorted(r.restart for r in O.restart_epoch(e).select("restart").collect()) == [0, 1, 1, 1, 2, 3]
+    got = sorted((r.file, r.ord.seq, r.restart) for r in O.restart_epoch(e).select("file", "ord", "restart").collect())
+    assert got == [("log", 0, 0), ("log", 1, 1), ("log", 2, 2), ("log.1", 0, 0), ("log.1", 1, 1), ("log.1", 2, 1)]
+
+
+def test_load_of_a_server_without_results(spark):
+    e = parse(spark, bind(1)).union(parse(spark, ["conn=1 fd=1 ACCEPT from IP=192.0.2.1:1 (IP=0:389)"], "g", "h9"))
+    got = {r.server: (r.ops, r.share, r.connections, r.failures) for r in S.load_by_server(e, O.build_operations(e)).collect()}
+    assert got == {"h1": (1, 1.0, 0, 0), "h9": (0, 0.0, 1, 0)}
 
 
 def test_version_banner(spark):
@@ -214,18 +237,40 @@ def test_stream_over_files(spark, tmp_path):
     assert St.load_state(spark, str(tmp_path / "s" / latest))["accounts"].count() == 5
 
 
+def test_stream_goes_on_after_a_new_checkpoint(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.log").write_text(log_text(range(3), "ldap1"))
+    ingest.watch(spark, str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "c1")).awaitTermination()
+    (tmp_path / "in/a.log").unlink()
+    (tmp_path / "in/b.log").write_text(log_text(range(3, 5), "ldap1"))
+    ingest.watch(spark, str(tmp_path / "in"), str(tmp_path / "s"), str(tmp_path / "c2")).awaitTermination()
+    assert sorted(ingest.generations(spark, str(tmp_path / "s")), key=int) == ["0", "1"]
+    assert St.load_state(spark, str(tmp_path / "s/1"))["accounts"].count() == 5
+
+
 def test_sinks(spark, tmp_path):
     e = parse(spark, bind(1) + search(1, 1, "(a=b)", 1) + ["rubbish"])
     ops = O.build_operations(e)
     assert sinks.write_unknown_lines(e, str(tmp_path / "u")) == 1
     sinks.write_replay(ops, str(tmp_path / "r"), "\t", 0)
     assert spark.read.csv(str(tmp_path / "r"), sep="\t", header=True).count() == 2
-    sinks.write_json_report({"accounts": S.account_stats(ops)}, str(tmp_path / "j"))
-    assert json.loads(spark.read.text(str(tmp_path / "j")).first().value)["accounts"][0]["ops"] == 2
     with pytest.raises(ValueError):
         sinks.write_replay(ops, str(tmp_path / "r2"), ";")
 
 
+def test_report(spark, tmp_path):
+    e = parse(spark, ["conn=1 fd=1 ACCEPT from IP=192.0.2.1:1 (IP=0:389)", *bind(1, etime=3), *search(1, 1, "(a=b*)", 1, 0, 32), "rubbish", "conn=1 fd=1 closed"])
+    state = St.partials(e)
+    report.write_report(state, str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r/cost_by_account")).first().ops == 2
+    doc = json.loads(report.build_report(state))
+    assert (doc["lines"], doc["unknown_lines"], doc["connections_opened"], doc["peak_active_connections"], doc["etime_total"]) == (7, 1, 1, 1, 4.0)
+    assert (doc["max_etime"], doc["max_etime_user"], doc["max_conn_etime_desc"]) == (3.0, "uid=a,dc=x", "conn=1")
+    assert doc["error_counts"]["32"]["count"] == 1 and doc["error_counts_by_app"]["uid=a,dc=x"]["32"]["name"] == "noSuchObject"
+    assert doc["cost_by_account"]["uid=a,dc=x"] == {"ops": 2, "etime_total": 4.0, "avg_etime": 2.0, "share": 100.0} and doc["operation_counts"]["SRCH"] == 1
+    assert doc["resource_hogs"][0]["template"] == "(a=$*)" and doc["filter_families"]["uid=a,dc=x"]["(a=$*)"]["count"] == 1
+
+
 def test_oracle_pairs(spark):
     """A few of the registered queries against their SQL; the driver compares them all."""
     con = duckdb.connect()
