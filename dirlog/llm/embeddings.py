@@ -31,7 +31,8 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 def encoded(units: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(signs as packed bits, correction factors, turned vectors in 8 bits, their scales) of unit vectors.
 
-    The factor is the inner product of a turned vector and its code, the signs over sqrt(dim).
+    The factor is the inner product of a turned vector and its code, the signs over sqrt(dim): a cosine with another
+    vector is estimated by the sum of signs times levels, times the scale, over factor and sqrt(dim).
     """
     turned = units @ rotation(units.shape[1], seed)
     factors = np.abs(turned).sum(axis=1) / np.sqrt(units.shape[1])
@@ -39,24 +40,19 @@ def encoded(units: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.packbits(turned >= 0, axis=1), factors, np.rint(turned / scales[:, None]).astype(np.int8), scales
 
 
-def estimates(signs: np.ndarray, factors: np.ndarray, levels: np.ndarray, scales: np.ndarray) -> np.ndarray:
-    """Estimated cosines of rows given by signs and factors with rows given by levels and scales.
-
-    Signs times levels add up to whole numbers that single precision holds exactly, so a pair's estimate is the same
-    in whatever block it is made.
-    """
-    dim = levels.shape[1]
-    ones = np.unpackbits(signs, axis=1, count=dim).astype(np.float32) * 2 - 1
-    return (ones @ levels.astype(np.float32).T).astype(np.float64) / (factors[:, None] * np.sqrt(dim)) * scales[None]
+def sums(signs: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Signs times levels of all rows with all rows: whole numbers, which single precision holds exactly in any order."""
+    ones = np.unpackbits(signs, axis=1, count=levels.shape[1]).astype(np.float32) * 2 - 1
+    return ones @ levels.astype(np.float32).T
 
 
-def slack(factors: np.ndarray, scales: np.ndarray, dim: int, least: float) -> np.ndarray:
-    """How far an estimate may be off: ERRORS standard errors of the code, at cosine ``least``, and of the 8-bit levels.
+def slack(factors: np.ndarray, dim: int, least: float) -> np.ndarray:
+    """How far estimates from these codes may be off: ERRORS standard errors of the code, at cosine ``least``, and of 8-bit levels.
 
     The estimate of a cosine c is unbiased with a standard error of sqrt((1 - f^2) / f^2) sqrt((1 - c^2) / (dim - 1)).
     """
     code = np.sqrt(np.maximum(0, 1 - factors**2)) / factors * np.sqrt((1 - least**2) / max(1, dim - 1))
-    return ERRORS * np.hypot(code[:, None], scales[None] / (np.sqrt(12) * factors[:, None])) + 1e-5
+    return ERRORS * np.hypot(code, 1 / (127 * np.sqrt(12) * factors)) + 1e-5
 
 
 def unit_vectors(rows: DataFrame, id: str, vector: str) -> DataFrame:
@@ -147,15 +143,17 @@ def compared(a: pd.DataFrame, b: pd.DataFrame, same: bool, least: float):
     Pairs whose estimate lies ERRORS standard errors below ``least`` are passed over; as far above it they are links.
     """
     signs, levels = (np.frombuffer(b"".join(x), t).reshape(len(x), -1) for x, t in ((a["signs"], np.uint8), (b["levels"], np.int8)))
-    factors, scales = a["factor"].to_numpy(), b["scale"].to_numpy()
+    scales = b["scale"].to_numpy().astype(np.float32)
+    unit = a["factor"].to_numpy() * np.sqrt(levels.shape[1])
+    off = slack(a["factor"].to_numpy(), levels.shape[1], least)
+    low, high = (((least + x * off) * unit).astype(np.float32) for x in (-1, 1))
     height = max(64, CELLS // max(1, len(b)))
     for top in range(0, len(a), height):
         part = slice(top, top + height)
         start = top if same else 0
-        found = estimates(signs[part], factors[part], levels[start:], scales[start:]) - least
-        off = slack(factors[part], scales[start:], levels.shape[1], least)
-        i, j = np.nonzero(found >= -off)
-        doubt = found[i, j] <= off[i, j]
+        found = sums(signs[part], levels[start:]) * scales[None, start:]
+        i, j = np.nonzero(found >= low[part, None])
+        doubt = found[i, j] <= high[part][i]
         i, j = i + top, j + start
         if same:
             keep = i < j
