@@ -165,9 +165,12 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
 # ----- near copies by similarity of shingle sets -----
 
-#: 64-bit words of a wide fingerprint, rows aimed at in a bucket, share of pairs at the least similarity that some
-#: block is to join, bits in which the first word may differ, and one of how many rows counts the large buckets.
-WORDS, ROWS, RECALL, FAR, COUNTED = 8, 16, 0.995, 20, 32
+#: 64-bit words of a wide fingerprint and of its part that goes into buckets, rows aimed at in a bucket, share of pairs
+#: at the least similarity that some block is to join, standard deviations of slack in distances, and one of how many
+#: rows counts the large buckets.
+WORDS, SHOWN, ROWS, RECALL, SLACK, COUNTED = 8, 2, 16, 0.995, 3.0, 32
+#: Rows of a family that a task compares at most, and shingles of its sets.
+FAMILY_ROWS, FAMILY_SHINGLES = 2048, 2_000_000
 #: Rows up to which the table of large buckets, and that of texts to be read again, is broadcast.
 BROADCAST_ROWS, ASKED_ROWS = 20_000, 200_000
 
@@ -212,15 +215,26 @@ def with_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(make, f"id {kind}, th long, whole long, n int, wide binary")
 
 
+def differing(least: float) -> float:
+    """Probability that fingerprints of sets with that Jaccard similarity differ in a bit (for sets of equal size)."""
+    return float(np.arccos(2 * least / (1 + least)) / np.pi)
+
+
+def farthest(words: int, least: float) -> int:
+    """Bits in which so many words of close sets' fingerprints differ, SLACK standard deviations above the mean."""
+    p, n = differing(least), 64 * words
+    return int(n * p + SLACK * np.sqrt(n * p * (1 - p)))
+
+
 def blocks(n: int, least: float) -> np.ndarray:
     """Blocks of the wide fingerprint, one a row: places of the bits that rows must share to meet there.
 
-    Sets of similarity J differ in a bit with probability acos(2J / (1 + J)) / pi (for sets of equal size), far too
-    often for blocks that every close pair must share one of. So the blocks are drawn at random: their bits are as
-    many as leave about ROWS of n unrelated rows together, and there are so many that a pair at the least similarity,
-    even where its fingerprints differ by a standard error more than they should, meets in one with probability RECALL.
+    Sets of similarity ``least`` differ in 15 bits of a hundred, far too many for blocks of which every close pair must
+    share one. So the blocks are drawn at random: their bits are as many as leave about ROWS of n unrelated rows
+    together, and there are so many that a pair at the least similarity, even where its fingerprints differ by a
+    standard deviation more than they should, meets in one with probability RECALL. Closer pairs meet more often.
     """
-    apart = np.arccos(2 * least / (1 + least)) / np.pi
+    apart = differing(least)
     agree = 1 - apart - np.sqrt(apart * (1 - apart) / (64 * WORDS))
     bits = int(np.clip(np.ceil(np.log2(max(n, 1) / ROWS)), 8, 40))
     count = int(np.ceil(np.log(1 - RECALL) / np.log(1 - agree**bits)))
@@ -229,20 +243,21 @@ def blocks(n: int, least: float) -> np.ndarray:
 
 
 def in_blocks(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
-    """(t, key, id, n, fp, c): each of (whole, n, wide, c) once in every block, with the first word of its fingerprint."""
+    """(t, key, id, n, fp0, fp1): each of (whole, n, wide) once in every block, with the first words of its fingerprint."""
 
     def make(batches):
         for batch in batches:
-            wide = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
+            wide = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, 8 * WORDS)
             bits = np.unpackbits(wide, axis=1, bitorder="little")
             keys = np.zeros((len(bits), len(chosen)), np.int64)
             for i in range(chosen.shape[1]):
                 keys = keys << 1 | bits[:, chosen[:, i]]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * len(chosen), pa.int32()), pa.array(keys.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(wide.view(np.int64)[:, 0].copy()), lists], ["id", "c", "n", "fp", "keys"])
+            shown = [pa.array(wide.view(np.int64)[:, i].copy()) for i in range(SHOWN)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *shown, lists], ["id", "n", "fp0", "fp1", "keys"])
 
-    rows = classes.where("n > 0").select("whole", "c", "n", "wide").mapInArrow(make, "id long, c long, n int, fp long, keys array<long>")
-    return rows.select("id", "c", "n", "fp", F.posexplode("keys").alias("t", "key"))
+    rows = classes.where("n > 0").select("whole", "n", "wide").mapInArrow(make, "id long, n int, fp0 long, fp1 long, keys array<long>")
+    return rows.select("id", "n", "fp0", "fp1", F.posexplode("keys").alias("t", "key"))
 
 
 def in_tiles(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
@@ -254,49 +269,57 @@ def in_tiles(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
     large = stored(some.where(F.col("tiles") * TILE > LARGE))
     hint = F.broadcast if large.count() <= BROADCAST_ROWS else (lambda x: x)
     rows = in_blocks(classes, chosen).join(hint(large), ["t", "key"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    return in_pairs(rows, ["t", "key"], ["id", "n", "fp0", "fp1"])
+
+
+def in_pairs(rows: DataFrame, group: list[str], columns: list[str]) -> DataFrame:
+    """Rows of each group cut into its number of ``tiles`` by id, once for each pair of tiles that holds their own; sorted."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    rows = rows.select("t", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "c", "n", "fp")
-    return rows.repartition("t", "key", "a", "b").sortWithinPartitions("t", "key", "a", "b", "own", "id")
+    rows = rows.select(*group, F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", *columns)
+    return rows.repartition(*group, "a", "b").sortWithinPartitions(*group, "a", "b", "own", "id")
 
 
-def by_bucket(batches, work, schema: pa.Schema):
-    """Rows sorted by bucket come in; ``work`` gets whole buckets, as arrays of their columns and starts. Holds one bucket at a time."""
+def by_group(batches, group: tuple[str, ...], work):
+    """Rows sorted by group come in; ``work`` gets tables of whole groups with the groups' bounds, and gives links. Holds one group at a time."""
     held: list[pa.RecordBatch] = []
 
-    def done(rows: pa.Table):
-        cols = {c: np.asarray(rows.column(c)) for c in rows.column_names}
-        new = np.any([cols[c][1:] != cols[c][:-1] for c in ("t", "key", "a", "b")], axis=0)
-        found = work(cols, np.concatenate(([0], np.flatnonzero(new) + 1, [len(new) + 1])))
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(found, schema)], schema=schema)
+    def edges(rows: pa.Table) -> np.ndarray:
+        return np.flatnonzero(np.any([np.asarray(rows.column(c))[1:] != np.asarray(rows.column(c))[:-1] for c in group], axis=0)) + 1
+
+    def done(rows: pa.Table, inner: np.ndarray):
+        found = work(rows, np.concatenate(([0], inner, [rows.num_rows])))
+        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             rows = pa.Table.from_batches(held)
-            last = np.flatnonzero(np.any([np.asarray(rows.column(c))[1:] != np.asarray(rows.column(c))[:-1] for c in ("t", "key", "a", "b")], axis=0))
-            if len(last):
-                yield done(rows.slice(0, int(last[-1]) + 1))
-                held = rows.slice(int(last[-1]) + 1).to_batches()
+            if len(inner := edges(rows)):
+                yield done(rows.slice(0, int(inner[-1])), inner[:-1])
+                held = rows.slice(int(inner[-1])).to_batches()
     if held:
-        yield done(pa.Table.from_batches(held))
+        rows = pa.Table.from_batches(held)
+        yield done(rows, edges(rows))
 
 
 def alike(fp: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Whether the pairs may reach the least similarity: by their sizes and the first word of their fingerprints."""
+    """Whether pairs may reach the least similarity: by their sizes and the shown words of their fingerprints."""
     a, b = n[i], n[j]
-    return (np.bitwise_count(fp[i] ^ fp[j]) <= FAR) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6)
+    far = np.bitwise_count(fp[0][i] ^ fp[0][j]) + np.bitwise_count(fp[1][i] ^ fp[1][j])
+    return (far <= farthest(SHOWN, least)) & (np.minimum(a, b) >= least * np.maximum(a, b) - 1e-6)
 
 
-def proposals(cols: dict[str, np.ndarray], bounds: np.ndarray, least: float) -> list[np.ndarray]:
-    """(u, v, weight) of alike rows: all pairs in buckets of up to 32 rows, in larger ones stars around central rows.
+def proposals(rows: pa.Table, bounds: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect all alike rows of each bucket: all pairs in buckets of up to 32 rows, in larger ones stars.
 
-    The row with the most alike rows is a star's centre, again and again among those in no star; its weight says how
-    many they are. Other pairs of large buckets come later, where these links have not connected them.
+    The row with the most alike rows is a star's centre, again and again among those in no star yet.
     """
-    ids, n, fp = cols["id"], cols["n"], cols["fp"].view(np.uint64)
+    ids, n = np.asarray(rows.column("id")), np.asarray(rows.column("n"))
+    fp = [np.asarray(rows.column(f"fp{i}")).view(np.uint64) for i in range(SHOWN)]
     sizes = np.diff(bounds)
     block = np.repeat(np.where(sizes <= 32, np.arange(len(sizes)), -1), sizes)
-    out: list[tuple] = []
+    out = []
     at = np.flatnonzero(block >= 0)
     for d in range(1, 32):
         at = at[at + d < len(ids)]
@@ -304,109 +327,97 @@ def proposals(cols: dict[str, np.ndarray], bounds: np.ndarray, least: float) ->
         if not len(at):
             break
         hit = at[alike(fp, n, at, at + d, least)]
-        out.append((ids[hit], ids[hit + d], 65 - np.bitwise_count(fp[hit] ^ fp[hit + d]).astype(np.int64)))
+        out.append((ids[hit], ids[hit + d]))
     for s, size in zip(bounds[:-1][sizes > 32].tolist(), sizes[sizes > 32].tolist()):
         every = np.arange(s, s + size)
         near = np.concatenate([alike(fp, n, every[i : i + 256, None], every[None, :], least) for i in range(0, size, 256)])
-        left = np.ones(size, bool)
-        degree = near.sum(axis=1)
-        while left.any():
-            centre = int(np.where(left, degree, -1).argmax())
-            if degree[centre] < 2:
+        left, degree = np.ones(size, bool), near.sum(axis=1)
+        while True:
+            centre = int(np.where(left, degree, 0).argmax())
+            if not left[centre] or degree[centre] < 2:
                 break
+            left[centre] = False
             star = np.flatnonzero(near[centre] & left)
             left[star] = False
-            left[centre] = False
-            star = star[star != centre]
-            if not len(star):
-                star = np.where(near[centre] & (every != s + centre), degree, -1).argmax(keepdims=True)
-            out.append((np.full(len(star), ids[s + centre]), ids[s + star], np.full(len(star), 65 + degree[centre])))
-    u, v, w = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else ((), (), ())))
-    return [np.maximum(u, v), np.minimum(u, v), w]
-
-
-def apart(cols: dict[str, np.ndarray], bounds: np.ndarray, least: float) -> list[np.ndarray]:
-    """(u, v) of all alike rows of large buckets that are in different components (c)."""
-    ids, n, fp, c = cols["id"], cols["n"], cols["fp"].view(np.uint64), cols["c"]
-    out: list[tuple] = []
-    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        every = np.arange(s, e)
-        if e - s <= 32 or (c[s:e] == c[s]).all():
-            continue
-        for i in range(0, e - s, 256):
-            rows = every[i : i + 256, None]
-            x, y = np.nonzero((c[rows] != c[every][None, :]) & (ids[rows] > ids[every][None, :]) & alike(fp, n, rows, every[None, :], least))
-            out.append((ids[s + i + x], ids[s + y]))
-    return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 2
+            # A row whose alike rows are all in stars joins one of them: the one with the most alike rows itself.
+            star = star if len(star) else np.where(near[centre] & (every != s + centre), degree, 0).argmax(keepdims=True)
+            out.append((np.full(len(star), ids[s + centre]), ids[s + star]))
+    return out
 
 
-def verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Of the pairs (u, v) of classes those whose sets have a Jaccard similarity of ``least`` or more, exactly.
-
-    Only the texts of classes in a pair are read again for their sets. classes: (whole, first row's id and th); texts: (id, th, text).
-    """
+def confirmed(rows: pa.Table, bounds: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of each family, confirmed by the sets: closest fingerprints first, and only between rows not yet connected."""
+    ids, n = np.asarray(rows.column("id")), np.asarray(rows.column("n"))
+    out = []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").slice(s, e - s).to_pylist()]
+        wide = np.frombuffer(b"".join(rows.column("wide").slice(s, e - s).to_pylist()), np.uint64).reshape(-1, WORDS)
+        size, own = n[s:e], np.asarray(rows.column("own"))[s:e]
+        two = own[0] != own[-1]
+        i, j, far = [], [], []
+        for k in range(e - s - 1):
+            d = np.bitwise_count(wide[k + 1 :] ^ wide[k]).sum(axis=1, dtype=np.int32)
+            may = (d <= farthest(WORDS, least)) & (np.minimum(size[k + 1 :], size[k]) >= least * np.maximum(size[k + 1 :], size[k]) - 1e-6)
+            # Rows of one tile meet where it is paired with itself.
+            hit = np.flatnonzero(may & (own[k + 1 :] != own[k]) if two else may)
+            i.append(np.full(len(hit), k, np.int32))
+            j.append((hit + k + 1).astype(np.int32))
+            far.append(d[hit])
+        i, j, far = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (i, j, far))
+        order = np.argsort(far, kind="stable")
+        i, j, forest, links = i[order], j[order], Forest(e - s), []
+        for top in range(0, len(i), 4096):
+            roots = np.array([forest.root(x) for x in range(e - s)])
+            a, b = i[top : top + 4096], j[top : top + 4096]
+            for x, y in zip(a[roots[a] != roots[b]].tolist(), b[roots[a] != roots[b]].tolist()):
+                if forest.root(x) != forest.root(y) and similar(sets[x], sets[y], least):
+                    forest.unite(x, y)
+                    links.append((x, y))
+        at = np.array(links, np.int64).reshape(-1, 2) + s
+        out.append((ids[at[:, 0]], ids[at[:, 1]]))
+    return out
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the Jaccard similarity of two sets (ascending) is ``least`` or more, exactly."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return common + 1e-9 >= least * (len(both) - common)
+
+
+def sets_of(asked: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the asked classes (whole, first: a row's id and th): their texts are read again. texts: (id, th, text)."""
 
     def make(batches):
         for batch in batches:
             out = [shingles(t or "", words).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["whole", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["id", "shingles"])
 
-    def check(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = both + 1e-9 >= least * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep))
-
-    asked = classes.join(pairs.select(F.col("u").alias("whole")).union(pairs.select("v")).distinct(), "whole", "left_semi")
     asked = stored(asked.select("whole", F.col("first.id").alias("_id"), F.col("first.th").alias("_th")))
     hint = F.broadcast if asked.count() <= ASKED_ROWS else (lambda x: x)
     mine = (F.col("th") == F.col("_th")) & F.col("id").eqNullSafe(F.col("_id"))
-    sets = bounded(texts).join(hint(asked), mine).select("whole", "text").mapInArrow(make, "whole long, shingles binary")
-    sets = stored(sets.dropDuplicates(["whole"]))
-    one = pairs.join(sets.select(F.col("whole").alias("u"), F.col("shingles").alias("a")), "u")
-    two = one.join(sets.select(F.col("whole").alias("v"), F.col("shingles").alias("b")), "v")
-    return stored(two.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"))
-
-
-def labelled(ids: DataFrame, near: DataFrame, column: str) -> DataFrame:
-    """``ids`` with c, the component of ``column`` under the links ``near``."""
-    label = components(near).withColumnRenamed("id", "_id")
-    return ids.join(label, F.col(column) == F.col("_id"), "left").withColumn("c", F.coalesce("component_id", column)).drop("_id", "component_id")
+    return bounded(texts).join(hint(asked), mine).select("whole", "text").mapInArrow(make, "id long, shingles binary").dropDuplicates(["id"])
 
 
 def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
     """(id, th, component_id) of every row; th is Spark's XXH64 of the text.
 
     Rows link where the Jaccard similarity of their sets of word shingles is ``least`` or more. Wide SimHash
-    fingerprints are cut into random blocks, rows that share a block and differ in few bits are proposed, and every
-    link is confirmed by the sets themselves: no false link, and few missing ones (see ``blocks``). Equal sets (exact
-    copies, rows without words, null texts) are one class before any comparison; repeated rows come back repeated.
-    First each row's most central partner is tried, then the other proposals between components, then all alike rows
-    of large buckets that are still apart.
+    fingerprints are cut into random blocks; rows that share a block and differ in few bits make families, and within a
+    family every link is confirmed by the sets themselves: no false link, and few missing ones (see ``blocks``). Equal
+    sets (exact copies, rows without words, null texts) are one class before any comparison; repeated rows come back
+    repeated. Large buckets and large families are dealt out as pairs of tiles.
     """
     texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
     rows = stored(with_sets(bounded(texts), words))
-    classes = rows.groupBy("whole").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide"))
-    classes = stored(classes.withColumn("c", F.lit(None).cast("long")))
-    chosen = blocks(classes.count(), least)
-    pair = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-    weighed = pair.append(pa.field("w", pa.int64()))
-    found = in_tiles(classes, chosen).mapInArrow(lambda b: by_bucket(b, lambda c, s: proposals(c, s, least), weighed), "u long, v long, w long")
-    found = stored(found.groupBy("u", "v").agg(F.max("w").alias("w")))
-    ends = found.select("u", "v", "w", F.explode(F.array("u", "v")).alias("whole"))
-    first = stored(ends.groupBy("whole").agg(F.max(F.struct("w", "u", "v")).alias("p")).select("p.u", "p.v").distinct())
-    near = verified(first, classes, texts, words, least)
-    named = labelled(labelled(found.select("u", "v"), near, "u").withColumnRenamed("c", "cu"), near, "v")
-    others = stored(named.where("cu <> c").select("u", "v").join(first, ["u", "v"], "left_anti"))
-    if not others.isEmpty():
-        near = near.union(verified(others, classes, texts, words, least))
-    alike_rows = labelled(classes.drop("c").join(ends.select("whole").distinct(), "whole", "left_semi"), near, "whole")
-    pairs = in_tiles(stored(alike_rows), chosen).mapInArrow(lambda b: by_bucket(b, lambda c, s: apart(c, s, least), pair), "u long, v long").distinct()
-    rest = stored(pairs.join(found, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        near = near.union(verified(rest, classes, texts, words, least))
-    label = labelled(rows.select("id", "th", "whole"), near, "whole")
-    return label.select(F.col("id").alias(id), "th", F.col("c").alias("component_id"))
+    classes = stored(rows.groupBy("whole").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")))
+    met = in_tiles(classes, blocks(classes.count(), least)).mapInArrow(lambda b: by_group(b, ("t", "key", "a", "b"), lambda r, s: proposals(r, s, least)), "u long, v long")
+    family = stored(components(met.distinct()).select(F.col("id").alias("whole"), F.col("component_id").alias("family")))
+    members = stored(classes.join(family, "whole"))
+    sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY_ROWS, F.sum("n") / FAMILY_SHINGLES)).alias("tiles"))
+    compared = members.join(sizes, "family").withColumnRenamed("whole", "id").drop("first").join(sets_of(members, texts, words), "id")
+    near = in_pairs(compared, ["family"], ["id", "n", "wide", "shingles"]).mapInArrow(lambda b: by_group(b, ("family", "a", "b"), lambda r, s: confirmed(r, s, least)), "u long, v long")
+    label = components(near).select(F.col("id").alias("whole"), "component_id")
+    out = rows.join(label, "whole", "left")
+    return out.select(F.col("id").alias(id), "th", F.coalesce("component_id", "whole").alias("component_id"))

@@ -418,11 +418,11 @@ def test_near_copies_against_all_pairs(spark):
     want = {}
     for (i, t, *_), c in zip(rows, label.tolist()):
         want[c] = min(want.get(c, (True, 0)), (i is None, i or 0))
-    old = simhash.LARGE, simhash.TILE, simhash.COUNTED
-    for simhash.LARGE, simhash.TILE, simhash.COUNTED in (old, (8, 4, 1)):
+    old = simhash.LARGE, simhash.TILE, simhash.COUNTED, simhash.FAMILY_ROWS
+    for simhash.LARGE, simhash.TILE, simhash.COUNTED, simhash.FAMILY_ROWS in (old, (8, 4, 1, 3)):
         got = corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
         assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want.values())
-    simhash.LARGE, simhash.TILE, simhash.COUNTED = old
+    simhash.LARGE, simhash.TILE, simhash.COUNTED, simhash.FAMILY_ROWS = old
     far = [(i, j) for i, j in zip(*np.nonzero(np.triu(near, 1))) if bin(plain_fingerprint(texts[i] or "") ^ plain_fingerprint(texts[j] or "")).count("1") > 4]
     assert far, "pairs that the narrow fingerprints miss"
 
