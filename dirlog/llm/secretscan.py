@@ -8,7 +8,9 @@ sample of documents in which what the fixed patterns find is the truth.
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import numpy as np
@@ -17,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dirlog.llm.base import bounded
+from dirlog.llm.base import bounded, stored
 
 # Fixed values of the contract: kinds in order, patterns, and least lengths of what the last group matches.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,6 +32,11 @@ LOOK = r"[0-9a-f]{32}|AKIA[A-Z0-9]{12}|(?i:passw|secret|token|api_?key)"
 #: Documents trained on, half of them with fixed secrets; tokens kept on each side; words known; steps; penalty.
 SAMPLE, AROUND, WORDS, STEPS, PENALTY = 2000, 8, 256, 120, 0.02
 CACHE = 200_000
+#: Documents that are looked through for training texts, for each of SAMPLE; characters of a training text at most.
+LOOKED_AT, TEXT = 64, 20_000
+#: Words of the fixed patterns, marks beside values, words that stand in for both, and characters of made-up values.
+KEY_WORD, MARKS = re.compile(r"(?i)passw(?:or)?d|secret|token|api_?key|api"), {"=", ":", '"', "'"}
+OTHER_WORDS, VALUES = ("see", "value", "given", "the", "note", "is"), (string.ascii_letters + string.digits, string.hexdigits[:16])
 TOKEN = re.compile(r"\n|[\w+/.\-]+|[^\w\s+/.\-]")
 
 Span = tuple[int, int, int, int]  # start, end, index of the kind, start of the secret value
@@ -116,7 +123,7 @@ class Field:
         scores, step = self.scores(codes, 0), self.weights["step"]
         scores += (self.weights["file"].max(axis=0) - self.weights["file"][0])[None]
         spare = self.weights["file"][:, 0].max() - self.weights["file"][:, 0].min()
-        bonus = step[:, 1:].max() - step[0, 0] + max(0.0, step[1:, 0].max() - step[0, 0]) + spare
+        bonus = max(0.0, step[:, 1:].max() - step[0, 0]) + max(0.0, step[1:, 0].max() - step[0, 0]) + spare
         hot = np.flatnonzero(scores[:, 1:].max(axis=1) - scores[:, 0] + bonus > 0)
         if not len(hot):
             return []
@@ -177,13 +184,36 @@ def examples(texts: list[str]) -> list[tuple[list[str], list[int], int]]:
     return out
 
 
+def disguised(example: tuple, rng: random.Random) -> tuple:
+    """The example as it stands, or without its key word, its marks of assignment or its own value.
+
+    What the fixed patterns find always stands beside one of their words and looks alike. So that the field learns more
+    than those, four fifths of the examples have ordinary words instead of the key words, half of these instead of
+    marks and quotes too, and half of them values drawn anew: other lengths, all letters and digits or hexadecimal ones.
+    """
+    tokens, tags, led, file = example
+    how = rng.randrange(5)
+    if not how or not any(tags):
+        return example
+    tagged = [0] * led + tags + [0] * (len(tokens) - led - len(tags))
+    beside = {i + d for i, tag in enumerate(tagged) if tag for d in range(-4, 3)}
+    out = []
+    for i, (t, tag) in enumerate(zip(tokens, tagged)):
+        if tag and len(t) >= 12 and how % 2 == 0:
+            t = "".join(rng.choices(rng.choice(VALUES), k=rng.randrange(16, 45)))
+        elif not tag and (KEY_WORD.fullmatch(t) or how > 2 and i in beside and t in MARKS):
+            t = rng.choice(OTHER_WORDS)
+        out.append(t)
+    return out, tags, led, file
+
+
 def train(texts: list[str]) -> Field | None:
     """Maximum likelihood with a quadratic penalty, by forward-backward over all examples at once; None without secrets."""
     found = examples(texts)
     if not any(any(tags) for _, tags, _, _ in found):
         return None
-    quiet = [e for e in found if not any(e[1])]
-    found = [e for e in found if any(e[1])][:SAMPLE] + quiet[:: max(1, len(quiet) // SAMPLE)]
+    quiet, rng = [e for e in found if not any(e[1])], random.Random(0)
+    found = [disguised(e, rng) for e in found if any(e[1])][:SAMPLE] + quiet[:: max(1, len(quiet) // SAMPLE)]
     near = Counter()
     for tokens, tags, led, _ in found:
         for i, tag in enumerate(tags):
@@ -246,17 +276,20 @@ def likely(text: Column) -> Column:
 
 
 def training_texts(docs: DataFrame, id: str, text: str, sample: int) -> list[str]:
-    """Up to ``sample`` texts by a hash of the id, half of them likely to hold fixed secrets, of 200,000 characters at most.
+    """Up to ``sample`` texts by a hash of the id, half of them likely to hold fixed secrets, of TEXT characters at most.
 
-    The hashes are chosen first and the texts read afterwards, so the driver gets no more than the sample.
+    They are sought among LOOKED_AT times as many documents, again by hash, so that on large data few texts are
+    looked at; the texts themselves are read once it is known which.
     """
-    rows = docs.select(F.xxhash64(F.lit(3), id).alias("h"), F.col(text).cast("string").alias("t")).where("t is not null and length(t) between 1 and 200000")
-    out = []
-    for half in (rows.where(likely(F.col("t"))), rows.where(F.pmod("h", F.lit(2)) == 0)):
-        chosen = half.select("h").distinct().orderBy("h").limit(max(1, sample // 2)).agg(F.max("h")).first()[0]
-        if chosen is not None:
-            out += [r.t for r in half.where(F.col("h") <= chosen).orderBy("h", "t").limit(sample // 2).collect()]
-    return out
+    n = docs.count()
+    if not n:
+        return []
+    part = int(min(1.0, LOOKED_AT * sample / n) * 2**31)
+    rows = docs.select(F.xxhash64(F.lit(3), id).alias("h"), F.col(text).cast("string").alias("t")).where((F.pmod("h", F.lit(2**31)) < part) & F.length("t").between(1, TEXT))
+    seen = stored(rows.select("h", likely(F.col("t")).alias("y")))
+    chosen = [r.h for y in (True, False) for r in seen.where(F.col("y") == y).select("h").distinct().orderBy("h").limit(max(1, sample // 2)).collect()]
+    wanted = docs.sparkSession.createDataFrame([(h,) for h in chosen], "h long")
+    return [r.t for r in rows.join(F.broadcast(wanted), "h").orderBy("h", "t").limit(sample).collect()]
 
 
 def find_secrets(docs: DataFrame, id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -214,6 +214,45 @@ def test_field_against_all_taggings():
     assert [text[a:b] for a, b in field.spans(text)] == ["9f8a7b6c5d4e3f2a1b0c"]
 
 
+def test_field_finds_what_patterns_miss(spark):
+    """Secrets under other words or alone, against look-alikes, in texts that took no part in the training."""
+    field = secretscan.train(secretscan.training_texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), "doc_id", "text", 2000))
+    rng = random.Random(11)
+    prose = "the entry was changed by the owner of the second list and then sent on".split()
+    value = lambda n, chars: "".join(rng.choices(chars, k=n))
+    hexes, mixed_case = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    planted, found, wrong = 0, 0, 0
+    for i in range(300):
+        secret = value(rng.randrange(20, 31), hexes) if i % 2 else value(rng.randrange(20, 44), mixed_case)
+        lead = rng.choice(["auth = ", "pwd : ", "login -> ", "", "credential: ", "bearer "])
+        words = [rng.choice(prose) for _ in range(12)]
+        plain = rng.choice(["2024-05-11", "+49 (264) 555-1012", "www.example.com/a/list", "v2.11.3", "42", "Mr.Smith@example.com", "internationalisation", "1,299.00", "chapter12"])
+        text = " ".join([*words[:5], plain, *words[5:9]]) + f" {lead}{secret} " + " ".join(words[9:])
+        spans = [text[a:b] for a, b in field.spans(text)] if not secretscan.fixed(text) else [secret]
+        planted += 1
+        found += secret in spans
+        wrong += len([s for s in spans if s != secret])
+    assert found / planted >= 0.9 and wrong <= 0.1 * found, (found, planted, wrong)
+    # No line that decoding would tag is passed over, whatever the weights.
+    for seed in range(40):
+        r = np.random.default_rng(seed)
+        weights = {k: r.normal(size=w.shape) for k, w in field.weights.items()}
+        weights["step"][0, 2] = -1e9
+        other = secretscan.Field(field.words, weights)
+        for text in ("alone1234", "a b\nkey9\n\nend", "x = 7f3a9c"):
+            tokens = secretscan.TOKEN.findall(text)
+            scores = other.scores(other.codes(tokens), secretscan.file_class(tokens))
+            lines, at = [[]], 0
+            for token in tokens:
+                if token == "\n":
+                    lines.append([])
+                else:
+                    lines[-1].append(at)
+                at += 1
+            tagged = any(any(secretscan.viterbi(scores[line], weights["step"])) for line in lines if line)
+            assert bool(other.spans(text)) == tagged, (seed, text)
+
+
 def test_chat(spark):
     turns = spark.read.parquet(f"{SF}/conversations.parquet")
     said = "<|im_end|><|im_start|>assistant ok"
