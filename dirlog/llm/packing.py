@@ -18,8 +18,11 @@ from tokenizers import Tokenizer
 
 from dirlog.llm.base import bounded, stored
 
-#: Tokens of a sequence, the id that ends a document, rows of a shard of the index, and BM25's constants.
-LENGTH, END_ID, SHARD_ROWS, K1, B = 2048, 1, 1000, 1.2, 0.75
+#: Tokens of a sequence, the id that ends a document, rows of a shard of the index at most, and BM25's constants.
+LENGTH, END_ID, SHARD_ROWS, K1, B = 2048, 1, 4096, 1.2, 0.75
+#: Clusters at most, rests that they are fitted on at most, places of the hashed vectors, rounds of fitting, and terms
+#: of a seed that are looked up, those that tell most.
+CLUSTERS, SAMPLE, PLACES, ROUNDS, TERMS = 1024, 20_000, 128, 4, 128
 #: Ids are below this.
 IDS = 50_258
 #: What two libraries might read differently: the special token's string, white space but blanks and line feeds, newer letters.
@@ -35,10 +38,15 @@ def tokenizer() -> Tokenizer:
 
 @lru_cache(1)
 def merges() -> tiktoken.Encoding:
-    """The tokenizer's merges in a library that is quicker at them."""
+    """The tokenizer's merges in a library that is quicker at them; refused where the two do not agree."""
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    quick = tiktoken.Encoding("texts", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    letters = [c for c in map(chr, range(0x250)) if PLAIN.fullmatch(c) and c not in WHITE]
+    probe = "".join(f"{c}{c.upper()} it{c}s  {c}1{c}2\n{c}{d}" for c, d in zip(letters, letters[7:] + letters[:7]))
+    if quick.encode_ordinary(probe) != tokenizer().encode(probe, add_special_tokens=False).ids:
+        raise ValueError("byte_bpe_50k: the two libraries' ids differ")
+    return quick
 
 
 def encode(text: str) -> np.ndarray:
@@ -84,14 +92,14 @@ class Index:
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean_length: float):
         found = [np.unique(d, return_counts=True) for d in docs]
-        self.terms = [t[idf[t] > 0] for t, _ in found]
+        self.terms = [t[np.argsort(-idf[t], kind="stable")[:TERMS]] for t in (t[idf[t] > 0] for t, _ in found)]
         term = np.concatenate([t for t, _ in found])
         tf = np.concatenate([n for _, n in found]).astype(np.float64)
         row = np.repeat(np.arange(len(docs)), [len(t) for t, _ in found])
         size = np.array([len(d) for d in docs])[row]
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_length))
         order = np.argsort(term, kind="stable")
-        self.row, self.weight = row[order], weight[order]
+        self.row, self.weight = row[order].astype(np.int32), weight[order]
         self.bounds = np.searchsorted(term[order], np.arange(IDS + 1))
         self.n = len(docs)
 
@@ -105,6 +113,15 @@ class Index:
         return np.bincount(self.row[at], self.weight[at], self.n)
 
 
+def ranked(rows: np.ndarray, score: np.ndarray, best: int) -> np.ndarray:
+    """The ``best`` rows with the smallest score, ties by place."""
+    if best < len(rows):
+        cut = np.partition(score, best)[best]
+        at = np.flatnonzero(score <= cut)
+        rows, score = rows[at], score[at]
+    return rows[np.argsort(score, kind="stable")[:best]]
+
+
 def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> list[tuple[int, int, int, int, int]]:
     """Pieces (row, start in it, length, sequence, offset) that use every id of every row once.
 
@@ -137,19 +154,72 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> list[tu
                 break
             if offset == LENGTH:
                 break
-            if order is None:
-                others = np.flatnonzero(unused)
-                order = others[np.argsort(-index.scores(seed)[others], kind="stable")]
+            if order is None or k == len(order) < n_left:
+                if order is None:
+                    others = np.flatnonzero(unused)
+                    score, n_left, best = -index.scores(seed)[others], len(others), 64
+                order = ranked(others, score, best)
+                best *= 16
             row, k = (int(order[k]), k + 1) if k < len(order) else (-1, k)
         sequence += 1
 
 
+def vector(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit vector of a text: its terms' saturated weights, with signs, added up in PLACES hashed places."""
+    terms, tf = np.unique(ids, return_counts=True)
+    h = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    weight = idf[terms] * (tf / (tf + K1)) * np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+    out = np.bincount((h >> np.uint64(41)).astype(np.int64) % PLACES, weight, PLACES)
+    return (out / (np.linalg.norm(out) + 1e-9)).astype(np.float32)
+
+
+def clusters(vectors: np.ndarray, n: int) -> np.ndarray:
+    """Centres of n clusters of unit vectors, by ROUNDS of spherical k-means from evenly spaced rows."""
+    centres = vectors[np.linspace(0, len(vectors) - 1, n).astype(int)]
+    for _ in range(ROUNDS if n > 1 else 0):
+        own = (vectors @ centres.T).argmax(axis=1)
+        sums = np.stack([np.bincount(own, vectors[:, j], n) for j in range(vectors.shape[1])], axis=1)
+        centres = np.where(np.bincount(own, minlength=n)[:, None] > 0, sums / (np.linalg.norm(sums, axis=1, keepdims=True) + 1e-9), centres).astype(np.float32)
+    return centres
+
+
+def sharded(rests: DataFrame, n: int, idf) -> DataFrame:
+    """Adds shard to rests (row, ids): rows that speak of the same are together, SHARD_ROWS of them at most.
+
+    Clusters are fitted on a bounded sample, by hash; every row goes to the nearest centre. A cluster that holds more
+    than a shard may, for instance of a frequent language or once CLUSTERS are too few, is cut by hash.
+    """
+    spark = rests.sparkSession
+    part = int(min(1.0, SAMPLE / max(1, n)) * 2**31)
+
+    def vectors_of(batches):
+        for batch in batches:
+            out = [vector(np.frombuffer(x, np.uint16), idf.value[0]) for x in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([v.tobytes() for v in out], pa.binary())], ["row", "v"])
+
+    sample = rests.where(F.pmod(F.xxhash64("row"), F.lit(2**31)) <= part).mapInArrow(vectors_of, "row long, v binary")
+    vectors = np.array([np.frombuffer(r.v, np.float32) for r in sample.orderBy(F.xxhash64(F.lit(5), "row"), "row").limit(SAMPLE).collect()], np.float32).reshape(-1, PLACES)
+    centres = spark.sparkContext.broadcast(clusters(vectors, int(np.clip(n * 2 // SHARD_ROWS, 1, min(CLUSTERS, max(1, len(vectors)))))) if len(vectors) else np.zeros((1, PLACES), np.float32))
+
+    def assign(batches):
+        for batch in batches:
+            if batch.num_rows:
+                v = np.stack([vector(np.frombuffer(x, np.uint16), idf.value[0]) for x in batch.column("ids").to_pylist()])
+                yield batch.append_column("cluster", pa.array((v @ centres.value.T).argmax(axis=1).astype(np.int32)))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rests.schema)
+    rows = stored(rests.mapInArrow(assign, f"{schema}, cluster int"))
+    parts = rows.groupBy("cluster").agg(F.ceil(F.count("*") / SHARD_ROWS).alias("parts"))
+    out = rows.join(F.broadcast(parts), "cluster")
+    return out.withColumn("shard", F.col("cluster").cast("long") * (1 << 24) + F.pmod(F.xxhash64("row"), F.col("parts"))).drop("cluster", "parts")
+
+
 def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): pieces that hold every id of every text once.
 
     A null text counts as empty: its one id is the end. Whole windows of long documents are sequences of their
-    own; what is left of documents is dealt at random to shards of about SHARD_ROWS rows, each with its own
-    index under the document frequencies of all documents. Ids are integers; repeated rows are packed each.
+    own; what is left of documents is dealt to shards by content, each with its own index under the document
+    frequencies of all documents. Ids are integers; repeated rows are packed each, null ids stay null.
     """
     rows = bounded(docs).select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tokens = stored(rows.mapInArrow(tokenise, TOKENS).withColumn("row", F.monotonically_increasing_id()))
@@ -160,7 +230,6 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     for r in tokens.where("df is not null").select(F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("n")).where("n > 0").collect():
         df[r.pos] = r.n
     idf = np.maximum(0, np.log((total - df + 0.5) / (df + 0.5)))
-    shards = max(1, -(-stats.n // SHARD_ROWS))
     held = rows.sparkSession.sparkContext.broadcast((idf, stats.mean or 1.0))
 
     def pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -171,10 +240,9 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
         own = pdf.iloc[row].reset_index(drop=True)
         at, n, seq, offset = (np.array([f[k] for f in found], np.int64) for k in range(1, 5))
         sums = [crc(ids[r][a : a + m]) for r, a, m in zip(row.tolist(), at.tolist(), n.tolist())]
-        return pd.DataFrame({"doc_id": own["doc_id"], "start": own["start"] + at, "length": n, "ids_crc32": sums, "doc_tokens": own["doc_tokens"], "sequence_id": ((int(key[0]) << 24) + seq) * 2 + 1, "offset": offset})
+        return pd.DataFrame({"doc_id": own["doc_id"], "start": own["start"] + at, "length": n, "ids_crc32": sums, "doc_tokens": own["doc_tokens"], "sequence_id": ((int(key[0]) << 14) + seq) * 2 + 1, "offset": offset})
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard")
-    packed = rests.select(shard, "row", "doc_id", "start", "doc_tokens", "ids").groupBy("shard").applyInPandas(pack_shard, out)
+    packed = sharded(rests.select("row", "doc_id", "start", "doc_tokens", "ids"), stats.n, held).groupBy("shard").applyInPandas(pack_shard, out)
     whole = pieces.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.col("crc").alias("ids_crc32"), "doc_tokens", (F.col("row") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return whole.union(packed).withColumnRenamed("doc_id", id)
