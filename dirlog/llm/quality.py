@@ -15,6 +15,8 @@ from dirlog.llm.base import bounded, sized, stored
 
 #: Buckets of the hashed n-grams, labelled rows learned from at most, words whose codes a worker keeps.
 BUCKETS, LABELLED, CACHE = 1 << 15, 20_000, 200_000
+#: Tasks that add up the tasks' counts.
+PARTS = 32
 #: Of ten labelled rows so many set the threshold and take no part in the target model.
 HELD_OUT = 2
 
@@ -87,13 +89,19 @@ def fit(docs: DataFrame, known: dict[int, tuple[int, bool]], id: str, text: str)
                 counts[0] += np.bincount(np.concatenate(found), minlength=BUCKETS)
                 if chosen := [g for i, g in zip(ids[block], found) if i in good.value]:
                     counts[1] += np.bincount(np.concatenate(chosen), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(counts.tolist(), pa.list_(pa.int64())), pa.array([0, 1], pa.int32())], ["counts", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
 
-    parts = docs.select(id, text).mapInArrow(count, "counts array<long>, target int")
-    sums = parts.select("target", F.posexplode("counts").alias("bucket", "n")).groupBy("bucket", "target").agg(F.sum("n").alias("n"))
-    counts = np.zeros((2, BUCKETS))
-    for r in sums.where("n > 0").collect():
-        counts[r.target, r.bucket] = r.n
+    def add(batches):
+        counts = np.zeros((2, BUCKETS), np.int64)
+        for batch in batches:
+            for part in batch.column(0).to_pylist():
+                counts += np.frombuffer(part, np.int64).reshape(counts.shape)
+        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["counts"])
+
+    # One row a task, added up by PARTS tasks and then by one, which reads no more than PARTS rows of half a MB.
+    parts = docs.select(id, text).mapInArrow(count, "counts binary").repartition(PARTS).mapInArrow(add, "counts binary")
+    total = parts.coalesce(1).mapInArrow(add, "counts binary").first()
+    counts = np.frombuffer(total.counts, np.int64).reshape(2, BUCKETS).astype(np.float64) if total else np.zeros((2, BUCKETS))
     share = (counts + 1) / (counts.sum(axis=1, keepdims=True) + BUCKETS)
     return np.log(share[1] / share[0])
 

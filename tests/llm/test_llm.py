@@ -167,6 +167,46 @@ def test_quality_on_held_out_labels(spark, odd, empty):
     assert kept == {i for i, k in got.items() if k}
 
 
+def plain_grams(text):
+    """Buckets of the n-grams, one at a time with whole numbers."""
+    def bucket(*places):
+        h = 0
+        for p in places:
+            h = ((h ^ p) * 0x9E3779B97F4A7C15) % 2**64
+            h ^= h >> 29
+        return h % quality.BUCKETS
+
+    words = text.split()
+    word = [zlib.crc32(w.lower().encode()) for w in words]
+    form = [(zlib.crc32(re.sub(r"[A-ZÀ-ÖØ-Þ]+|[^\W\d_]+|\d+", lambda m: "0" if m[0][0].isdigit() else "A" if re.fullmatch("[A-ZÀ-ÖØ-Þ]+", m[0]) else "a", w).encode()) + (i > 0 and word[i] == word[i - 1]) * 2**33) % 2**64 for i, w in enumerate(words)]
+    n = range(len(words))
+    return [bucket(0, word[i]) for i in n] + [bucket(1, word[i - 1], word[i]) for i in n[1:]] + [bucket(2, form[i]) for i in n] + [bucket(3, form[i - 1], form[i]) for i in n[1:]] + [bucket(4, form[i - 2], form[i - 1], form[i]) for i in n[2:]]
+
+
+def test_quality_against_plain_counts(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = {r.doc_id: r for r in quality.importance_resample(docs, labels).collect()}
+    texts = dict(texts_of(docs))
+    known = quality.labelled(labels, "doc_id", "quality", quality.LABELLED)
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    found = {i: plain_grams(t) for i, t in texts.items()}
+    for i, g in found.items():
+        np.add.at(raw, g, 1)
+        if i in known and known[i] == (1, False):
+            np.add.at(target, g, 1)
+    ratio = np.log((target + 1) / (target.sum() + quality.BUCKETS)) - np.log((raw + 1) / (raw.sum() + quality.BUCKETS))
+    weight = {i: ratio[g].sum() if g else 0.0 for i, g in found.items()}
+    assert all(rows[i].log_weight == pytest.approx(w, abs=1e-6) for i, w in weight.items())
+    held = [(weight[i], q) for i, (q, out) in known.items() if out and i in weight]
+    balanced = lambda cut: sum((w >= cut) == (q == 1) for w, q in held if q == 1) / sum(q == 1 for _, q in held) + sum((w < cut) for w, q in held if q != 1) / sum(q != 1 for _, q in held)
+    cut = quality.threshold(np.array([w for w, _ in held]), np.array([q for _, q in held]))
+    assert balanced(cut) == pytest.approx(max(balanced(c) for c in [w for w, _ in held] + [np.inf]))
+    k = sum(w >= cut for w in weight.values())
+    assert {i for i, r in rows.items() if r.kept} == set(sorted(rows, key=lambda i: -rows[i].gumbel_key)[:k])
+    noise = np.array([r.gumbel_key - r.log_weight for r in rows.values()])
+    assert abs(noise.mean() - 0.577) < 5 * 1.28 / len(noise) ** 0.5 and noise.std() == pytest.approx(1.28, rel=0.25)
+
+
 def test_kth_largest(spark):
     df = spark.createDataFrame([(float(v),) for v in [5, 5, 5, 1, 2, 9, -3]], "x double")
     assert [quality.kth_largest(df, "x", k) for k in (1, 2, 4, 5, 7)] == [9.0, 5.0, 5.0, 2.0, -np.inf]
