@@ -86,7 +86,8 @@ def filterbank() -> tuple[np.ndarray, np.ndarray]:
 def log_mel(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frames x MELS log energies, dB energy of each frame) over overlapping windows of 8-bit samples."""
     window, filters = filterbank()
-    total = max(1, (len(x) * UP // DOWN - WINDOW) // HOP + 1)
+    # The last window may reach past the signal's end, where there is silence.
+    total = max(1, -(-(-(-len(x) * UP // DOWN) - WINDOW) // HOP) + 1)
     mels, energy = np.empty((total, MELS), np.float16), np.empty(total, np.float32)
     for first in range(0, total, BLOCK):
         n = min(BLOCK, total - first)

@@ -2,39 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dirlog.session import stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
-
-    Where the session names none (tests on one machine) a temporary folder is set once.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        sc.setCheckpointDir(folder)
-    return folder
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    The table is deleted when the application's file systems close.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Forest", "bounded", "components", "sized", "spanning", "stored", "table"]
 
 
 #: Bytes of a batch that Spark hands to Python at most, unless a single row is longer.

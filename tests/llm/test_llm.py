@@ -424,6 +424,27 @@ def test_resampling_against_plain_sum():
     assert audio.segments(np.array([0.0] * 6 + [5, -0.2, 0.2] + [-9] * 5)) == [(0, 9)]
 
 
+def test_filterbank_against_plain_sums():
+    """Energies and mel bands of a short signal, window by window, by sums over time and frequency; every sample is in a window."""
+    x = np.random.default_rng(6).integers(0, 256, 1001).astype(np.uint8)
+    mels, energy = audio.log_mel(x)
+    n = -(-len(x) * audio.UP // audio.DOWN)
+    y = audio.resampled(x, 0, (len(energy) - 1) * audio.HOP + audio.WINDOW)
+    assert len(y) >= n > (len(energy) - 2) * audio.HOP + audio.WINDOW
+    rate = audio.RATE * audio.UP / audio.DOWN
+    top = 2595 * np.log10(1 + rate / 2 / 700)
+    edges = [700 * (10 ** (top * i / (audio.MELS + 1) / 2595) - 1) * audio.FFT / rate for i in range(audio.MELS + 2)]
+    for k in (0, 3, len(energy) - 1):
+        frame = y[k * audio.HOP : k * audio.HOP + audio.WINDOW].astype(float)
+        assert energy[k] == pytest.approx(10 * np.log10((frame**2).sum() / audio.WINDOW + 1e-9), abs=1e-3)
+        shaped = frame * np.hanning(audio.WINDOW)
+        power = [abs(sum(v * np.exp(-2j * np.pi * f * t / audio.FFT) for t, v in enumerate(shaped))) ** 2 for f in range(audio.FFT // 2 + 1)]
+        for m in range(audio.MELS):
+            lo, mid, hi = edges[m : m + 3]
+            band = sum(p * max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) for f, p in enumerate(power))
+            assert float(mels[k, m]) == pytest.approx(np.log10(band + 1e-6), abs=0.01)
+
+
 def test_licences(spark, docs, empty):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
@@ -476,6 +497,19 @@ def jaccard_at_least(texts, least):
     return np.array([[a is b or len(a & b) >= least * len(a | b) for b in sets] for a in sets])
 
 
+def test_pipeline_runs_on_odd_tables(spark, odd, empty, tmp_path):
+    """Empty tables give no rows; null, empty, repeated and nameless documents come through all stages, each a piece at least once where the mix takes it."""
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for name, df in (("empty", empty), ("odd", odd.select("doc_id", "text", "lang", "source", "n_chars"))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        none.write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+    rows = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert rows and all(0 < r.length <= 2048 for r in rows)
+    unique = spark.createDataFrame([(None, "alpha beta gamma delta epsilon zeta eta", "en", "s", None), (1, "one two three four five six seven", "en", "s", None)], SCHEMA)
+    assert corpus_pipeline.near_duplicate_stage(spark, unique, SF).count() == 2
+
+
 def test_near_copies_against_all_pairs(spark):
     """The stage against Jaccard of all pairs, with buckets large enough to be led and dealt out in tiles."""
     rng = random.Random(5)
