@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,6 +81,31 @@ def spanning(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+#: Edges that a task reduces to a forest at once, and tasks at least.
+FOREST_EDGES, FOREST_TASKS = 500_000, 8
+
+
+def forests(pairs: DataFrame, n: int) -> DataFrame:
+    """Of n edges (u, v) as many as keep connected what they connect: each task leaves a spanning forest of its own.
+
+    A large group with many links among its members goes on with a few edges a member.
+    """
+
+    def reduce(batches):
+        for rows in batches:
+            ids, at = np.unique(np.concatenate((np.asarray(rows.column(0)), np.asarray(rows.column(1)))), return_inverse=True)
+            forest, m = Forest(len(ids)), rows.num_rows
+            keep = [forest.unite(a, b) for a, b in zip(at[:m].tolist(), at[m:].tolist())]
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    def whole(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from reduce([pa.Table.from_batches(held).combine_chunks().to_batches()[0]])
+
+    return pairs.repartition(max(FOREST_TASKS, -(-n // FOREST_EDGES))).mapInArrow(whole, "u long, v long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
@@ -89,7 +115,8 @@ def components(edges: DataFrame) -> DataFrame:
     longest path. The state of a round is written to the shared folder.
     """
     pairs = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    pairs, before = stored(pairs), None
+    pairs = stored(pairs)
+    pairs, before = stored(forests(pairs, pairs.count())), None
     while True:
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

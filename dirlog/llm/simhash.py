@@ -170,7 +170,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 #: rows counts the large buckets.
 WORDS, SHOWN, ROWS, RECALL, SLACK, COUNTED = 8, 2, 16, 0.995, 3.0, 32
 #: Rows of a family that a task compares at most, and shingles of its sets.
-FAMILY_ROWS, FAMILY_SHINGLES = 2048, 2_000_000
+FAMILY_ROWS, FAMILY_SHINGLES = 1024, 1_000_000
 #: Rows up to which the table of large buckets, and that of texts to be read again, is broadcast.
 BROADCAST_ROWS, ASKED_ROWS = 20_000, 200_000
 
