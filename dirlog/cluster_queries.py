@@ -296,7 +296,7 @@ REGISTERED: list[tuple[str, Query, str]] = [
     ("abrupt_restarts", on_stored(lambda e: L.abrupt_restarts(lifecycle(e))), f"{BASE} SELECT file, server, ns AS ts_ns FROM ordered WHERE what = 'start' AND before = 'start'"),
     ("uncovered_spans", on_cluster(lambda e: L.uncovered_spans(S.coverage_by_server(half_days(e)))), f"""{BASE}, c AS (SELECT ns // 86400000000000 AS d, min(ns) AS a, max(ns) AS b FROM x WHERE ns // 3600000000000 % 24 < 12 GROUP BY 1),
         g AS (SELECT a, max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM c) SELECT reached AS from_ns, a AS to_ns FROM g WHERE a > reached"""),
-    ("onsets", on_cluster(takeover), f"{BASE} SELECT 'late' AS account, min(ns // 3600000000000) AS hour, CAST(1 AS DOUBLE) AS gain FROM r WHERE ns >= CAST(1704067200 + 300 * 3600 AS BIGINT) * 1000000000"),
+    ("onsets", on_cluster(takeover), f"{BASE} SELECT 'late' AS account, min(ns // 3600000000000) AS hour, round(20 / 24, 6) AS gain FROM r WHERE ns >= CAST(1704067200 + 300 * 3600 AS BIGINT) * 1000000000"),
     ("attribute_counts", on_cluster(S.attribute_counts), f"{BASE} SELECT attr, count(*) AS n FROM (SELECT unnest(CASE kind WHEN 'SRCH_ATTR' THEN ['cn', 'mail'] ELSE ['mail', 'phone'] END) AS attr FROM x WHERE kind = 'SRCH_ATTR' OR (kind = 'MOD' AND p = 1)) GROUP BY attr"),
     ("extended_ops", on_cluster(S.extended_ops), f"{BASE}, m(i, oid, name) AS (VALUES (3, '1.3.6.1.1.8', 'Cancel')) SELECT oid, name, count(*) AS n FROM x JOIN m ON k % 5 = i WHERE kind = 'EXT' GROUP BY oid, name"),
     ("global_controls", on_cluster(S.global_controls), f"{BASE} SELECT CASE kind WHEN 'GET_CTRLS' THEN '1.2.840.113556.1.4.319' ELSE '1.2.3.9' END AS oid, count(*) AS n FROM x WHERE kind IN ('GET_CTRLS', 'GLOBAL_CONTROL') GROUP BY 1"),
