@@ -19,10 +19,10 @@ from tokenizers import Tokenizer
 from dirlog.llm.base import bounded, stored
 
 #: Tokens of a sequence, the id that ends a document, rows of a shard of the index at most, and BM25's constants.
-LENGTH, END_ID, SHARD_ROWS, K1, B = 2048, 1, 4096, 1.2, 0.75
+LENGTH, END_ID, SHARD_ROWS, K1, B = 2048, 1, 2048, 1.2, 0.75
 #: Clusters at most, rests that they are fitted on at most, places of the hashed vectors, rounds of fitting, and terms
 #: of a seed that are looked up, those that tell most.
-CLUSTERS, SAMPLE, PLACES, ROUNDS, TERMS = 1024, 20_000, 128, 4, 128
+CLUSTERS, SAMPLE, PLACES, ROUNDS, TERMS = 1024, 20_000, 128, 4, 48
 #: Ids are below this.
 IDS = 50_258
 #: What two libraries might read differently: the special token's string, white space but blanks and line feeds, newer letters.
@@ -164,12 +164,15 @@ def fill(docs: list[np.ndarray], idf: np.ndarray, mean_length: float) -> list[tu
         sequence += 1
 
 
-def vector(ids: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Unit vector of a text: its terms' saturated weights, with signs, added up in PLACES hashed places."""
-    terms, tf = np.unique(ids, return_counts=True)
-    h = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    weight = idf[terms] * (tf / (tf + K1)) * np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
-    out = np.bincount((h >> np.uint64(41)).astype(np.int64) % PLACES, weight, PLACES)
+def hashed(idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, signed weight) of each term in the vectors of texts; the weight is the square of what it tells."""
+    h = np.arange(len(idf), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(41)).astype(np.int64) % PLACES, np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0) * idf**2
+
+
+def vector(ids: np.ndarray, place: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Unit vector of a text: its terms' weights added up in their places."""
+    out = np.bincount(place[ids], weight[ids], PLACES)
     return (out / (np.linalg.norm(out) + 1e-9)).astype(np.float32)
 
 
@@ -193,8 +196,9 @@ def sharded(rests: DataFrame, n: int, idf) -> DataFrame:
     part = int(min(1.0, SAMPLE / max(1, n)) * 2**31)
 
     def vectors_of(batches):
+        terms = hashed(idf.value[0])
         for batch in batches:
-            out = [vector(np.frombuffer(x, np.uint16), idf.value[0]) for x in batch.column("ids").to_pylist()]
+            out = [vector(np.frombuffer(x, np.uint16), *terms) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([v.tobytes() for v in out], pa.binary())], ["row", "v"])
 
     sample = rests.where(F.pmod(F.xxhash64("row"), F.lit(2**31)) <= part).mapInArrow(vectors_of, "row long, v binary")
@@ -202,9 +206,10 @@ def sharded(rests: DataFrame, n: int, idf) -> DataFrame:
     centres = spark.sparkContext.broadcast(clusters(vectors, int(np.clip(n * 2 // SHARD_ROWS, 1, min(CLUSTERS, max(1, len(vectors)))))) if len(vectors) else np.zeros((1, PLACES), np.float32))
 
     def assign(batches):
+        terms = hashed(idf.value[0])
         for batch in batches:
             if batch.num_rows:
-                v = np.stack([vector(np.frombuffer(x, np.uint16), idf.value[0]) for x in batch.column("ids").to_pylist()])
+                v = np.stack([vector(np.frombuffer(x, np.uint16), *terms) for x in batch.column("ids").to_pylist()])
                 yield batch.append_column("cluster", pa.array((v @ centres.value.T).argmax(axis=1).astype(np.int32)))
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rests.schema)
