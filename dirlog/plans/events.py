@@ -53,9 +53,6 @@ def settled(df: DataFrame, *columns: str) -> DataFrame:
 FORMATS = ("debug", "syslog", "syslog-utc", "syslog-localtime", "rfc3339-utc", "rfc3339", "ol26")
 HEADERS = ("debug", "syslog", "rfc3339-utc", "rfc3339", "ol26")
 MARK = "\x01"
-#: What ``parse_header`` adds, and what is read of the front of a payload.
-HEAD_COLUMNS = ("format", "ts_text", "ts_ns", "server", "proc", "payload", "conn", "op", "rest")
-
 
 def groups(c: Column, pattern: str, n: int) -> Column:
     """All groups of a pattern that spans the text, from one match: an array of n strings, or of one where it does not fit."""
@@ -76,29 +73,33 @@ def parse_header(lines: DataFrame, fmt: str = "auto", year: int | None = None, t
         raise ValueError(f"unknown header format {fmt!r}")
     year = year if year is not None else lines.sparkSession.sql("SELECT year(current_date())").first()[0]
     raw = F.col("raw")
-    # What a line begins with says its shape, and so where its time ends; then come host and process, but for two shapes.
-    shape = F.when(raw.startswith("["), "ol26").when(raw.rlike("^[0-9]{4}-"), "rfc3339").when(raw.rlike("^[A-Z][a-z]{2} "), "syslog").when(raw.rlike(r"^[0-9a-f]+[.][0-9a-f]+ +0x"), "debug")
-    df = lines.withColumn("shape", shape)
+    # What stands at fixed places of a line says its shape, and so where its time ends; then come host and process, but for two shapes.
+    at = lambda c, i: F.substring(c, i, 1)
+    shape = F.when((at(raw, 5) == "-") & (at(raw, 11) == "T"), "rfc3339").when((at(raw, 4) == " ") & (at(raw, 10) == ":"), "syslog").when(raw.startswith("[") & (at(raw, 12) == "T"), "ol26")
+    df = lines.withColumn("shape", shape.when(raw.contains(" 0x") & raw.rlike(r"^[0-9a-f]+[.][0-9a-f]+ +0x"), "debug"))
     cut = F.when(F.col("shape") == "syslog", 15).when(F.col("shape") == "ol26", F.instr(raw, "]")).otherwise(F.instr(raw, " ") - 1)
-    df = settled(df.withColumns({"stamp": F.substring(raw, F.lit(1), cut), "after": F.ltrim(F.substring(raw, cut + 1, F.length(raw)))}), "shape", "stamp", "after")
+    # Each step is a column of its own, so that what several steps use is worked out once.
+    df = df.withColumn("cut", cut)
+    df = df.withColumns({"stamp": F.substring(raw, F.lit(1), F.col("cut")), "after": F.ltrim(F.substring(raw, F.col("cut") + 1, F.length(raw)))})
     stamp, after = F.col("stamp"), F.col("after")
     named = F.col("shape").isin("rfc3339", "syslog")
-    host = F.when(named, F.substring_index(after, " ", 1))
-    proc = F.when(named, F.substring_index(F.ltrim(F.substring(after, F.length(host) + 1, F.length(after))), ":", 1))
-    rest = F.when(named, F.substring(after, F.instr(after, ":") + 1, F.length(after))).when(F.col("shape") == "debug", F.substring(after, F.instr(after, " ") + 1, F.length(after))).otherwise(after)
-    whole = ~named | ((host != "") & (proc != "") & ~proc.contains(" ") & (F.instr(after, ": ") > F.length(host) + 1))
-    timed = F.when(F.col("shape") == "rfc3339", F.substring(stamp, 11, 1) == "T").when(F.col("shape") == "ol26", stamp.rlike("^.[0-9]{4}-[0-9]{2}-[0-9]{2}T")).when(F.col("shape") == "syslog", F.substring(stamp, 10, 1) == ":").otherwise(True)
-    found = F.when(whole & timed, F.when((F.col("shape") == "rfc3339") & stamp.endswith("Z") & stamp.contains("."), "rfc3339-utc").otherwise(F.col("shape")))
+    df = df.withColumn("host", F.when(named, F.substring_index(after, " ", 1))).withColumn("colon", F.instr(after, ": "))
+    host, colon = F.col("host"), F.col("colon")
+    df = df.withColumn("process", F.when(named & (colon > F.length(host) + 2), F.ltrim(F.substring(after, F.length(host) + 2, colon - F.length(host) - 2))))
+    whole = ~named | ((host != "") & (F.col("process") != "") & ~F.col("process").contains(" "))
+    rest = F.when(named, F.substring(after, colon + 1, F.length(after))).when(F.col("shape") == "debug", F.substring(after, F.instr(after, " ") + 1, F.length(after))).otherwise(after)
+    found = F.when(whole, F.when((F.col("shape") == "rfc3339") & stamp.endswith("Z") & stamp.contains("."), "rfc3339-utc").otherwise(F.col("shape")))
     if fmt.startswith("syslog-"):
         found = F.when(found == "syslog", fmt)
     elif fmt == "rfc3339":
         found = F.when(found.startswith("rfc3339"), fmt)
     elif fmt != "auto":
         found = F.when(found == fmt, fmt)
-    df = df.withColumn("format", found)
+    df = df.withColumns({"format": found, "payload": F.ltrim(rest)})
     own = lambda c: F.when(F.col("format").isNotNull(), c)
-    df = df.withColumns({"ts_text": own(F.regexp_replace(stamp, r"^\[|\]$", "")), "server": own(host), "proc": own(proc), "payload": own(F.ltrim(rest))})
-    return df.withColumn("ts_ns", T.to_epoch_ns(F.col("ts_text"), F.col("format"), year, tz, HEADERS if fmt == "auto" else (fmt,))).drop("shape", "stamp", "after")
+    ts_text = F.when(F.col("shape") == "ol26", F.translate(stamp, "[]", "")).otherwise(stamp)
+    df = df.withColumns({"ts_text": own(ts_text), "server": own(host), "proc": own(F.col("process")), "payload": own(F.col("payload"))})
+    return df.withColumn("ts_ns", T.to_epoch_ns(F.col("ts_text"), F.col("format"), year, tz, HEADERS if fmt == "auto" else (fmt,))).drop("shape", "cut", "stamp", "after", "host", "colon", "process")
 
 
 def openldap_kind(p: Column, rest: Column) -> Column:
@@ -135,14 +136,16 @@ def parse_openldap(lines: DataFrame, fmt: str = "auto", year: int | None = None,
     """OpenLDAP lines as events. Fields are only looked for in kinds that have them."""
     df = parse_header(lines, fmt, year, tz)
     p = F.col("payload")
-    # "conn=N op=M what", as words; elsewhere in other lines one or both of the numbers.
-    word = F.split(p, " +", 3)
-    front = p.startswith("conn=") & F.get(word, F.lit(1)).startswith("op=")
-    number_of = lambda i, key: F.when(front, F.regexp_replace(F.substring_index(F.get(word, F.lit(i)), "=", -1), ":$", "").try_cast("bigint"))
-    df = settled(df.withColumns({"conn": number_of(0, "conn"), "op": number_of(1, "op"), "rest": F.when(front, F.regexp_replace(F.coalesce(F.get(word, F.lit(2)), F.lit("")), "^: *", ""))}), *HEAD_COLUMNS)
-    front = F.col("conn").isNotNull() & F.col("op").isNotNull()
-    anywhere = lambda key: F.when(p.contains(f"{key}="), grab(p, rf"\b{key}=(-?\d+)").try_cast("bigint"))
-    df = df.withColumns({"conn": F.when(front, F.col("conn")).otherwise(anywhere("conn")), "op": F.when(front, F.col("op")).otherwise(anywhere("op")), "rest": F.when(front, F.col("rest"))})
+    # "conn=N op=M what", word by word; in other lines one or both of the numbers stand elsewhere.
+    df = df.withColumn("first", F.substring_index(p, " ", 1))
+    df = df.withColumn("after", F.ltrim(F.substring(p, F.length("first") + 1, F.length(p))))
+    df = df.withColumn("second", F.substring_index("after", " ", 1))
+    number_of = lambda c, key: F.when(F.col(c).startswith(f"{key}="), F.rtrim(F.substring(c, len(key) + 2, 24), F.lit(":")).try_cast("bigint"))
+    df = df.withColumns({"conn": number_of("first", "conn"), "op": number_of("second", "op")})
+    rest = F.when(F.col("conn").isNotNull() & F.col("op").isNotNull(), F.ltrim(F.substring("after", F.length("second") + 1, F.length("after"))))
+    anywhere = lambda key: F.when(F.col("rest").isNull() & p.contains(f"{key}="), grab(p, rf"\b{key}=(-?\d+)").try_cast("bigint"))
+    df = df.withColumn("rest", F.when(rest.startswith(":"), F.ltrim(F.substring(rest, F.lit(2), F.length(rest)))).otherwise(rest)).drop("first", "after", "second")
+    df = df.withColumns({"conn": F.coalesce("conn", anywhere("conn")), "op": F.coalesce("op", anywhere("op"))})
     has = F.col("rest").startswith("[IP=")
     df = df.withColumn("block", F.when(has, groups(F.col("rest"), r"^\[IP=(\S+)\s+NAME=(.*?)(?:\s+USERNAME=([^\]]*))?\]\s+(.*)$", 4)))
     df = df.withColumn("rest", F.coalesce(group("block", 4), F.col("rest")))
@@ -156,7 +159,6 @@ def parse_openldap(lines: DataFrame, fmt: str = "auto", year: int | None = None,
         "srch": F.when(k == "SRCH", groups(r, r'^SRCH\s+base=(?:"([^"]*)"|(\S+))\s+scope=(\d+)\s+deref=(\d+)\s+filter=(.+)$', 5)),
         "track": F.when(k == "TRACK", parse_track(grab(r, r"^TRACK\s+(.*)$"))),
     })
-    df = settled(df, "res", "srch", "track")
     note = lambda kinds, pattern: only(kinds, grab(p, pattern))
     fields = {
         "ts": T.to_ts(F.col("ts_ns")),
