@@ -243,11 +243,11 @@ def coverage_by_server(events: DataFrame) -> DataFrame:
 def shared(rows: DataFrame, value: str = "etime_total") -> tuple[DataFrame, Column]:
     """Report rows joined with their total, and each row's share of it. The total is added up from the grouped rows.
 
-    It uses every column, so that Spark finds the same grouping on both sides and does it once.
+    It asks for every column, so that Spark finds the same grouping on both sides and does it once.
     """
-    every = rows.agg(F.sum(F.col(value).cast(MONEY)).cast("double").alias("_all"), *[F.count(c).alias(f"_n{i}") for i, c in enumerate(rows.columns)])
-    used = F.when(F.greatest(*[F.col(f"_n{i}") for i in range(len(rows.columns))], F.lit(0)) >= 0, F.col("_all"))
-    return rows.join(F.broadcast(every)), share(F.col(value), used)
+    every = rows.agg(F.sum(F.col(value).cast(MONEY)).cast("double").alias("_all"), *[F.max(c).alias(f"_m{i}") for i, c in enumerate(rows.columns)])
+    some = F.coalesce(*[F.when(F.col(f"_m{i}").isNotNull(), True) for i in range(len(rows.columns))])
+    return rows.join(F.broadcast(every)), share(F.col(value), F.when(some, F.col("_all")))
 
 
 def cost_by_account(operations: DataFrame) -> DataFrame:

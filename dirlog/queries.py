@@ -172,7 +172,7 @@ REGISTERED: list[tuple[str, Query, str | None]] = [
     ("concurrency", on_events(lambda e: split_order(L.concurrency_scan(stored(L.connection_events(e))))), f"{BASE} {DELTAS} SELECT t, event_id, CAST(phase AS BIGINT) AS phase, delta, open FROM opened"),
     ("concurrency_by_server", on_events(lambda e: L.concurrency_scan(stored(L.connection_events(e)), ("server",)).select("server", "t", event_of(F.col("ord")).alias("event_id"), "open")), f"{BASE}, d AS (SELECT server, CAST(floor(first_ns / 1e9) AS BIGINT) AS t, first_id AS event_id, -3 AS phase, 1 AS delta FROM u UNION ALL SELECT server, CAST(floor(last_ns / 1e9) AS BIGINT), last_id, 3, -1 FROM u) SELECT server, t, event_id, CAST(sum(delta) OVER (PARTITION BY server ORDER BY t, event_id, phase) AS BIGINT) AS open FROM d"),
     ("peak_connections", on_events(lambda e: L.peak_connections(e).select(F.col("peak").cast("bigint").alias("peak"))), f"{BASE} {DELTAS} SELECT max(open) AS peak FROM opened"),
-    ("concurrency_series", on_stored(lambda e: L.concurrency_series(e).select("bucket", F.col("peak").cast("bigint").alias("peak"))), f"""{BASE} {DELTAS}, b AS (SELECT {BUCKET.format(t='t')} AS bucket, max(open) AS most, arg_max(open, (t, event_id, phase)) AS last FROM opened, w GROUP BY 1),
+    ("concurrency_series", on_events(lambda e: L.concurrency_series(e).select("bucket", F.col("peak").cast("bigint").alias("peak"))), f"""{BASE} {DELTAS}, b AS (SELECT {BUCKET.format(t='t')} AS bucket, max(open) AS most, arg_max(open, (t, event_id, phase)) AS last FROM opened, w GROUP BY 1),
         g AS (SELECT CAST(range AS INTEGER) AS bucket FROM range(240)) SELECT g.bucket, CAST(greatest(coalesce(most, 0), coalesce(last_value(last IGNORE NULLS) OVER (ORDER BY g.bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS peak FROM g LEFT JOIN b USING (bucket)"""),
     ("error_series", on_both(lambda e, o: L.error_series(e, o, keep=3)), f"""{BASE} {DELTAS}, x AS (SELECT CAST(err AS VARCHAR) AS code, {BUCKET.format(t='CAST(floor(ns / 1e9) AS BIGINT)')} AS bucket FROM ops, w WHERE err <> 0), best AS (SELECT code FROM x GROUP BY code ORDER BY count(*) DESC, code LIMIT 3)
         SELECT bucket, CASE WHEN code IN (SELECT code FROM best) THEN code ELSE 'other' END AS code, count(*) AS n FROM x GROUP BY 1, 2"""),
@@ -181,7 +181,7 @@ REGISTERED: list[tuple[str, Query, str | None]] = [
     ("syslog_counts", syslog_counts, f"""{BASE}, l AS (SELECT CASE WHEN type = 'SRCH' THEN 'SEARCH_RESULT' ELSE 'RESULT' END AS kind, server, ns FROM ops UNION ALL SELECT type, server, ns FROM ops
             UNION ALL SELECT 'ACCEPT', server, first_ns FROM u UNION ALL SELECT unnest(['CLOSED', 'UNBIND']), server, last_ns FROM u)
         SELECT kind, server, count(*) AS n, min(ns) // 1000000000 * 1000000000 AS first_ns, max(ns) // 1000000000 * 1000000000 AS last_ns FROM l GROUP BY kind, server"""),
-    ("activity_by_bucket", on_stored(lambda e: L.activity_by_bucket(e, 240)), f"""{BASE} {DELTAS}, l AS (SELECT type AS label, ns FROM ops UNION ALL SELECT CASE WHEN type = 'SRCH' THEN 'SEARCH RESULT' ELSE 'RESULT' END, ns FROM ops
+    ("activity_by_bucket", on_events(lambda e: L.activity_by_bucket(e, 240)), f"""{BASE} {DELTAS}, l AS (SELECT type AS label, ns FROM ops UNION ALL SELECT CASE WHEN type = 'SRCH' THEN 'SEARCH RESULT' ELSE 'RESULT' END, ns FROM ops
         UNION ALL SELECT 'ACCEPT', first_ns FROM u UNION ALL SELECT unnest(['CLOSED', 'UNBIND']), last_ns FROM u) SELECT label, {BUCKET.format(t='CAST(floor(ns / 1e9) AS BIGINT)')} AS bucket, count(*) AS n FROM l, w GROUP BY 1, 2"""),
 ]
 
