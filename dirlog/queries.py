@@ -176,8 +176,10 @@ REGISTERED: list[tuple[str, Query, str | None]] = [
         g AS (SELECT CAST(range AS INTEGER) AS bucket FROM range(240)) SELECT g.bucket, CAST(greatest(coalesce(most, 0), coalesce(last_value(last IGNORE NULLS) OVER (ORDER BY g.bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS BIGINT) AS peak FROM g LEFT JOIN b USING (bucket)"""),
     ("error_series", on_both(lambda e, o: L.error_series(e, o, keep=3)), f"""{BASE} {DELTAS}, x AS (SELECT CAST(err AS VARCHAR) AS code, {BUCKET.format(t='CAST(floor(ns / 1e9) AS BIGINT)')} AS bucket FROM ops, w WHERE err <> 0), best AS (SELECT code FROM x GROUP BY code ORDER BY count(*) DESC, code LIMIT 3)
         SELECT bucket, CASE WHEN code IN (SELECT code FROM best) THEN code ELSE 'other' END AS code, count(*) AS n FROM x GROUP BY 1, 2"""),
-    ("replay_table", on_operations(lambda o: sinks.replay_table(o).select("timestamp", "server", "conn", "op", "type", "who", "scope", "err", "etime")), f"""{BASE} SELECT {STAMP.format(ns='ns')} AS timestamp, server, conn, op, type, account AS who, CASE scope WHEN 0 THEN 'base' WHEN 1 THEN 'one' WHEN 2 THEN 'sub' END AS scope, err, CAST(v AS DOUBLE) AS etime FROM ops
-        UNION ALL SELECT {STAMP.format(ns='last_ns')}, server, user_id, last_id + 2, 'UNBIND', account, NULL, NULL, NULL FROM u"""),
+    ("replay_table", on_operations(sinks.replay_table), f"""{BASE} SELECT {STAMP.format(ns='ns')} AS timestamp, server, conn, op, type, account AS who, account AS binddn, base, CASE scope WHEN 0 THEN 'base' WHEN 1 THEN 'one' WHEN 2 THEN 'sub' END AS scope,
+            replace(filter, 'employeenumber', 'employeeNumber') AS filter, CAST(NULL AS VARCHAR) AS attrs, CASE WHEN type IN ('MOD', 'ADD') THEN 'uid=u' || k || ',ou=people,dc=example,dc=com' END AS dn, err, nentries, CAST(v AS DOUBLE) AS etime, CAST(0 AS DOUBLE) AS qtime,
+            CASE WHEN err <> 0 THEN name END AS text FROM ops JOIN codes ON err = code
+        UNION ALL SELECT {STAMP.format(ns='last_ns')}, server, user_id, last_id + 2, 'UNBIND', account, account, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM u"""),
     ("syslog_counts", syslog_counts, f"""{BASE}, l AS (SELECT CASE WHEN type = 'SRCH' THEN 'SEARCH_RESULT' ELSE 'RESULT' END AS kind, server, ns FROM ops UNION ALL SELECT type, server, ns FROM ops
             UNION ALL SELECT 'ACCEPT', server, first_ns FROM u UNION ALL SELECT unnest(['CLOSED', 'UNBIND']), server, last_ns FROM u)
         SELECT kind, server, count(*) AS n, min(ns) // 1000000000 * 1000000000 AS first_ns, max(ns) // 1000000000 * 1000000000 AS last_ns FROM l GROUP BY kind, server"""),
