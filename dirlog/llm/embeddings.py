@@ -253,15 +253,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, seed: int = 0, id: str
     component_id is the smallest id reachable. Rows with a null id count as links and connect others; the smallest
     id of theirs is that of their component, null where it has none, and they are never kept.
     """
-    rows = stored(unit_vectors(bounded(vectors), id, vector))
-    classes = rows.where("unit is not null").groupBy("unit", "dim").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    classes = stored(classes.select(F.monotonically_increasing_id().alias("key"), "first", "copies", "unit", "dim"))
-    found = stored(links(classes, least, seed))
+    # A vector's digest stands for it wherever rows are brought together; the vector itself is shuffled once.
+    rows = stored(unit_vectors(bounded(vectors), id, vector).withColumn("digest", F.unhex(F.sha2("unit", 256))))
+    classes = rows.where("unit is not null").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("unit").alias("unit"), F.first("dim").alias("dim"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("key"), "first", "copies", "unit", "dim", "digest"))
+    found = stored(links(classes.drop("digest"), least, seed))
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     labels = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("id").alias("key"), F.col("component_id").alias("label"))
-    named = classes.join(counts, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-    named = stored(named.select("unit", "first", "label", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    named = classes.drop("unit").join(counts, "key", "left").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    named = stored(named.select("digest", "first", "label", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least_id = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    out = rows.join(named.join(least_id, "label").select("unit", "n_links", "component_id", F.lit(True).alias("linked")), "unit", "left")
+    out = rows.select("id", "digest").join(named.join(least_id, "label").select("digest", "n_links", "component_id", F.lit(True).alias("linked")), "digest", "left")
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
