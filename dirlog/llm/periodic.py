@@ -22,14 +22,6 @@ from dirlog.llm.base import bounded
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
-def covered(active: dict[int, int], i: int, lag: int, matches: int) -> bool:
-    """Whether a shorter period makes the stretch on ``lag`` a repetition of its own, so that its run is found there.
-
-    Two periods q < lag of one stretch of q + lag words at least have a common divisor as period of both.
-    """
-    return any(q < lag and i - first + 1 >= lag and matches >= q for q, first in active.items())
-
-
 def runs_of(words: list, exponent: int = 4, least: int = 6) -> list[tuple[int, int, int]]:
     """(start, length, period) of every run, by start, then period.
 
@@ -60,6 +52,9 @@ def runs_of(words: list, exponent: int = 4, least: int = 6) -> list[tuple[int, i
         before = places[word]
         if not i % step:
             reach = min(far, (i & -i) - 1)
+            # Two periods q < lag of one stretch of q + lag words at least have a common divisor as period of both: where
+            # q matches lag words back, lag only repeats it, and its run is found there. Few diagonals match q words.
+            whole = [(q, i - s + 1) for q, s in active.items() if i - s + 1 > q]
             for j in reversed(before):
                 lag = i - j
                 if lag > reach:
@@ -67,14 +62,16 @@ def runs_of(words: list, exponent: int = 4, least: int = 6) -> list[tuple[int, i
                 if lag in active:
                     continue
                 # Counting back stops where a shorter period is known to cover the stretch.
-                stop = min((q for q, s in active.items() if q < lag and i - s + 1 >= lag), default=n)
+                stop = min((q for q, m in whole if q < lag <= m), default=n)
                 first = i
                 while first > lag and i - first + 1 < stop and words[first - 1] == words[first - 1 - lag]:
                     first -= 1
                 if i - first + 1 < stop:
                     active[lag] = first
-            if len(active) > 1:
-                for lag in [q for q, s in active.items() if covered(active, i, q, i - s + 1)]:
+                    if i - first + 1 > lag:
+                        whole.append((lag, i - first + 1))
+            if whole and len(active) > 1:
+                for lag in [q for q, s in active.items() if any(p < q <= m and i - s + 1 >= p for p, m in whole)]:
                     del active[lag]
         before.append(i)
     for lag in list(active):
@@ -116,6 +113,20 @@ def find_runs(docs: DataFrame, exponent: int = 4, least: int = 6, id: str = "doc
     return out.withColumnRenamed("id", id)
 
 
+def looped(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Plants repetition: with h = crc32(id) and g = h div 10, the words of texts with h % 10 = 0 repeat from word a = g % n on.
+
+    Word i >= a becomes word a + (i - a) % p, where p = 1 + (n - a) div (3 + g % 8); words are then joined by one space.
+    Rows with a null id, without words, or with another h stay as they are.
+    """
+    h = F.crc32(F.col(id).cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""))
+    out = docs.select(F.col(id), F.col(text), words.alias("words"), F.floor(h / 10).cast("long").alias("g"))
+    out = out.withColumn("n", F.size("words")).withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)"))).withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    planted = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')")
+    return out.select(F.col(id), F.when(F.col("a").isNotNull(), planted).otherwise(F.col(text)).alias(text))
+
+
 def digest(found: DataFrame, id: str = "doc_id") -> DataFrame:
     """One row a text: number of runs, its longest run (ties: smallest start, then period), digests of runs and collapsed text."""
     first: Column = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dirlog.llm import audio, chat, embeddings, licences, mixing, packing, quality, secretscan, simhash, tokencount
+from dirlog.llm import audio, chat, embeddings, licences, mixing, packing, periodic, quality, secretscan, simhash, tokencount
 from dirlog.llm.base import table
 
 
@@ -56,8 +56,13 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.audio_features(audio.as_media(table(spark, sf_dir, "documents"))))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.looped(table(spark, sf_dir, "documents"))
+    return periodic.digest(periodic.find_runs(docs, exponent=4, least=6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_licences, op2_embedding_dedup, op3_token_counts, op4_quality, op5_secrets, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio)
+    operators = (op1_licences, op2_embedding_dedup, op3_token_counts, op4_quality, op5_secrets, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio, op12_periodic_runs)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
