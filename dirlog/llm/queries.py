@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from dirlog.llm import audio, chat, embeddings, licences, mixing, packing, periodic, quality, secretscan, simhash, tokencount
+from dirlog.llm import audio, chat, embeddings, licences, mixing, negatives, outliers, packing, periodic, quality, secretscan, simhash, tokencount
 from dirlog.llm.base import table
 
 
@@ -56,16 +56,25 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digest(audio.audio_features(audio.as_media(table(spark, sf_dir, "documents"))))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, relabel=label)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic.looped(table(spark, sf_dir, "documents"))
     return periodic.digest(periodic.find_runs(docs, exponent=4, least=6))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    operators = (op1_licences, op2_embedding_dedup, op3_token_counts, op4_quality, op5_secrets, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio, op12_periodic_runs)
+    operators = (op1_licences, op2_embedding_dedup, op3_token_counts, op4_quality, op5_secrets, op6_chat_format, op7_simhash, op8_mixing, op9_packing, op10_audio, op11_hard_negatives, op12_periodic_runs, op13_quality_rules)
     return {f.__name__: f for f in operators} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return {"op1_licences": licences.sql()} | pipeline
+    return {"op1_licences": licences.sql(), "op11_hard_negatives": negatives.sql()} | pipeline
