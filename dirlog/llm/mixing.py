@@ -61,9 +61,12 @@ def split(seed: int, quotas: np.ndarray, shards: int, source: np.ndarray, rank:
     return out
 
 
-def place(id: str, seed: int) -> Column:
-    """A row's place in its source's random order, from 0 to 2**32 - 1, the same in every run."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id)), 32)
+def place(id: str, text: str, seed: int) -> Column:
+    """A row's place in its source's random order, from 0 to 2**32 - 1, the same in every run.
+
+    The text counts as the id does: rows with equal or null ids and different texts lie apart.
+    """
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id), F.col(text)), 32)
 
 
 def dealt(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -138,9 +141,10 @@ def mix_plan(docs: DataFrame, seed: int = 0, id: str = "doc_id", text: str = "te
     size is the number of words (null text: 0), taken the words that the mix takes, a whole number of times the
     size, and copies the output shard of each time. Sources are strings; a null source is one more, last in
     order. A source of size 0 has target 0. Each source's taken words differ from its target by about half a
-    document at most. Rows with equal ids share their place; the same seed gives the same mix.
+    document at most. Rows with equal ids and texts share their place, so the
+    difference is about half of what they hold together; the same seed gives the same mix.
     """
-    rows = stored(docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), place(id, seed).alias("place")))
+    rows = stored(docs.select(F.col(id).alias("id"), F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), place(id, text, seed).alias("place")))
     out = with_copies(rows, *dealt(rows, seed))
     return out.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", (F.col("size") * F.size("copies")).alias("taken"), "copies")
 
@@ -151,8 +155,8 @@ def mixture(docs: DataFrame, seed: int = 0, id: str = "doc_id", text: str = "tex
     Rows of size 0 follow their block like others. Columns stay those of ``docs``.
     """
     names = docs.columns
-    held = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), place(id, seed).alias("place"))
-    rows = stored(docs.select(F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), place(id, seed).alias("place")))
+    held = docs.select(F.struct("*").alias("row"), F.col(source).cast("string").alias("source"), place(id, text, seed).alias("place"))
+    rows = stored(docs.select(F.col(source).cast("string").alias("source"), words(F.col(text)).alias("size"), place(id, text, seed).alias("place")))
     sources, blocks = dealt(rows, seed)
     out = with_copies(held, sources, blocks).select("row", "place", F.explode("copies").alias("copy"))
     out = out.repartition("copy.shard").sortWithinPartitions("copy.shard", F.xxhash64(F.lit(seed + 1), "place", "copy.pass"))

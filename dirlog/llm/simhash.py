@@ -152,13 +152,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 
     Rows link where their fingerprints differ in at most ``bits`` bits; component_id is the smallest id
     reachable and kept marks the row that bears it. Equal fingerprints (exact copies, rows without words)
-    make one class before any comparison. Ids are integers; rows with a null id link through their text
-    and are never kept. Repeated rows come back repeated.
+    make one class before any comparison. Ids are integers; rows with a null id link through their text,
+    connect others and are never kept; component_id is null where no row of a component has an id. Repeated rows come back repeated.
     """
     marked = stored(with_fingerprint(docs, id, text, words).select(F.col("id").cast("long").alias("id"), "fp"))
-    classes = stored(marked.groupBy("fp").agg(F.min("id").alias("first")))
-    pairs = close_pairs(classes.where("first is not null").select(F.col("first").alias("id"), "fp"), bits)
-    reached = classes.join(components(pairs), F.col("first") == F.col("id"), "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    # A class has a key of its own, so that one without any id links others too.
+    classes = stored(marked.groupBy("fp").agg(F.min("id").alias("first")).withColumn("key", F.monotonically_increasing_id()))
+    labels = components(close_pairs(classes.select(F.col("key").alias("id"), "fp"), bits)).select(F.col("id").alias("key"), F.col("component_id").alias("label"))
+    named = stored(classes.join(labels, "key", "left").select("fp", "first", F.coalesce("label", "key").alias("label")))
+    reached = named.join(named.groupBy("label").agg(F.min("first").alias("component_id")), "label").select("fp", "component_id")
     out = marked.join(reached, "fp")
     return out.select(F.col("id").alias(id), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 

@@ -316,6 +316,22 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(df.limit(0))).count() == 0
 
 
+def test_simhash_class_without_ids_links_others(spark, monkeypatch):
+    # Fingerprints 0, 0xf and 0xff: the middle one, borne by a row without id, is within four bits of both others.
+    marked = spark.createDataFrame([(1, "a", 0), (None, "b", 0xF), (3, "c", 0xFF), (None, "d", -1)], "id long, text string, fp long")
+    monkeypatch.setattr(simhash, "with_fingerprint", lambda docs, *_: docs)
+    got = {(r.doc_id, r.fp): (r.component_id, r.kept) for r in simhash.near_duplicates(marked).collect()}
+    assert got == {(1, 0): (1, True), (None, 0xF): (1, False), (3, 0xFF): (1, False), (None, -1): (None, False)}
+
+
+def test_mixing_of_equal_and_null_ids(spark):
+    rows = [(7 if i % 2 else None, f"w{i} " + "x " * (i % 30), "a" if i % 3 else "b") for i in range(900)]
+    plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed=0).collect()
+    for name in "ab":
+        own = [r for r in plan if r.source == name]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 31
+
+
 def test_mixing(spark, docs, odd, empty):
     rows = mixing.mix_plan(docs).collect()
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix_plan(docs.repartition(3)).collect()))
