@@ -349,13 +349,13 @@ def parse_files(lines: DataFrame, files: DataFrame, server: str | None = None) -
     return named(united(parts) if parts else as_events(lines.where("false"), {}), server)
 
 
-def read_events(spark: SparkSession, paths: str | list[str], server: str | None = None, single_kind: bool = False, recursive: bool = False, year: int | None = None, tz: str = "UTC") -> DataFrame:
+def read_events(spark: SparkSession, paths: str | list[str], server: str | None = None, single_kind: bool = False, recursive: bool = False, year: int | None = None, tz: str = "UTC", mtime_days: int | None = None, max_files: int | None = None) -> DataFrame:
     """Events of log files, whatever their compression and dialect: each dialect's parser reads its own files only.
 
-    What is left out, and why, is what ``sources.lines.inspect_files`` says of the same paths. ``year`` and ``tz``
-    belong to year-less OpenLDAP headers.
+    Which files of a folder count is what ``sources.lines.list_files`` says of ``mtime_days`` and ``max_files``; what is
+    left out of them, and why, is what ``inspect_files`` says. ``year`` and ``tz`` belong to year-less OpenLDAP headers.
     """
-    files = inspect_files(spark, list_files(spark, paths, recursive), single_kind).where("kept").select("file", "kind", "compression").collect()
+    files = inspect_files(spark, list_files(spark, paths, recursive, mtime_days, max_files), single_kind).where("kept").select("file", "kind", "compression").collect()
     parts = []
     for kind in sorted({f.kind for f in files}):
         own = [(f.file, f.compression) for f in files if f.kind == kind]

@@ -6,6 +6,8 @@ import bz2
 import gzip
 import io
 import lzma
+import re
+import time
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -193,8 +195,14 @@ def inspect_files(spark: SparkSession, paths: list[str], single_kind: bool = Fal
     return select_run_kind(kinds, single_kind).join(F.broadcast(spark.createDataFrame(seen, "file string, compression string, length long")), "file")
 
 
-def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> list[str]:
-    """The files that paths, folders and patterns stand for, as the file system names them; hidden ones only if named."""
+def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = False, mtime_days: int | None = None, max_files: int | None = None) -> list[str]:
+    """The files that paths, folders and patterns stand for, as the file system names them, sorted.
+
+    Files named outright, or by a pattern, are always among them. Of a folder's files, hidden ones and leftovers of
+    editors and rotation are left out, as are those not changed within ``mtime_days``, and all but the ``max_files`` newest.
+    """
+    since = 0 if mtime_days is None else (time.time() - 86_400 * mtime_days) * 1000
+    held: list[tuple[int, str]] = []
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     out: list[str] = []
     todo = [(p, True) for p in ([paths] if isinstance(paths, str) else paths)]
@@ -204,11 +212,14 @@ def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
         fs = path.getFileSystem(conf)
         for status in (fs.globStatus(path) or []) if named else fs.listStatus(path):
             child = status.getPath().toString()
-            if status.isFile() and (named or not status.getPath().getName().startswith((".", "_"))):
+            base = status.getPath().getName()
+            if status.isFile() and named:
                 out.append(child)
+            elif status.isFile() and not base.startswith((".", "_")) and not re.search(NO_LOG, base) and status.getModificationTime() >= since:
+                held.append((-status.getModificationTime(), child))
             elif status.isDirectory() and (named or recursive):
                 todo.append((child, False))
-    return sorted(set(out))
+    return sorted({*out, *(child for _, child in sorted(set(held))[:max_files])})
 
 
 def read_files(spark: SparkSession, files: list[tuple[str, str | None]], separator: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import bz2
 import gzip
 import lzma
+import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -187,6 +189,20 @@ def test_every_file_of_a_folder_is_read(spark, tmp_path):
     assert {r.server for r in E.read_events(spark, str(tmp_path / "ldap.xz"), server="dir3").collect()} == {"dir3"}
 
 
+def test_leftovers_of_a_folder_are_no_logs(spark, tmp_path):
+    body = "\n".join(stamped(OPENLDAP)) + "\n"
+    for i, name in enumerate(["slapd.log", "slapd.log.1", "slapd.log.bak", "slapd.log~", "slapd.log.swp", ".slapd.log"]):
+        (tmp_path / name).write_text(body)
+        os.utime(tmp_path / name, (time.time() - 86_400 * (3 * i + 1),) * 2)
+    names = lambda *args, **how: [f.rsplit("/", 1)[1] for f in L.list_files(spark, *args, **how)]
+    folder = str(tmp_path)
+    assert names(folder) == ["slapd.log", "slapd.log.1"]
+    assert names(folder, mtime_days=2) == names(folder, max_files=1) == ["slapd.log"]
+    assert names([folder, f"{folder}/slapd.log.bak"], max_files=1) == ["slapd.log", "slapd.log.bak"]
+    assert E.read_events(spark, folder, max_files=1).count() == len(OPENLDAP)
+    assert E.read_events(spark, f"{folder}/slapd.log~").count() == len(OPENLDAP)
+
+
 def test_errors_logs(spark):
     ds = ["[05/Feb/2025:01:00:00.000000000 +0000] - ERR - backend - index of cn is broken", "and it was cn - again", "[05/Feb/2025:01:00:01.000000000 +0000] - ERR - changelog - cannot trim", "[05/Feb/2025:01:00:02.000000000 +0000] - INFO - slapd started."]
     e = E.parse_ds389_errors(as_lines(spark, ds))
