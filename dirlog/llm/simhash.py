@@ -171,6 +171,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", wor
 #: at the least similarity that some block is to join, standard deviations of slack in distances, and one of how many
 #: rows counts the large buckets.
 WORDS, SHOWN, ROWS, RECALL, SLACK, COUNTED = 8, 2, 16, 0.995, 3.0, 32
+#: Shingles of a set up to which its links are found through shared shingles, exactly, and rows of a shingle's tile.
+SMALL, SMALL_ROWS = 32, 512
 #: Rows of a family that a task compares at most, and shingles of its sets.
 FAMILY_ROWS, FAMILY_SHINGLES = 1024, 1_000_000
 #: Rows up to which the table of large buckets, and that of texts to be read again, is broadcast.
@@ -203,18 +205,19 @@ def wide_fingerprint(shingle_set: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(shingle_set), bitorder="little").view(np.uint64)
 
 
-def with_sets(texts: DataFrame, words: int) -> DataFrame:
-    """(id, th, whole, n, wide) of (id, th, text): hash of the text's shingle set, the set's size and its wide fingerprint."""
+def with_sets(texts: DataFrame, words: int, keep: int) -> DataFrame:
+    """(id, th, whole, n, wide, small) of (id, th, text): hash of the text's shingle set, the set's size, its wide fingerprint and, up to ``keep`` shingles, the set."""
 
     def make(batches):
         for batch in batches:
             sets = [shingles(t or "", words) for t in batch.column(2).to_pylist()]
             whole = np.array([xxhash.xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             wide = pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole), pa.array([len(s) for s in sets], pa.int32()), wide], ["id", "th", "whole", "n", "wide"])
+            small = pa.array([s.view(np.int64) if len(s) <= keep else None for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole), pa.array([len(s) for s in sets], pa.int32()), wide, small], ["id", "th", "whole", "n", "wide", "small"])
 
     kind = texts.schema[0].dataType.simpleString()
-    return texts.mapInArrow(make, f"id {kind}, th long, whole long, n int, wide binary")
+    return texts.mapInArrow(make, f"id {kind}, th long, whole long, n int, wide binary, small array<long>")
 
 
 def differing(least: float) -> float:
@@ -258,7 +261,7 @@ def in_blocks(classes: DataFrame, chosen: np.ndarray) -> DataFrame:
             shown = [pa.array(wide.view(np.int64)[:, i].copy()) for i in range(SHOWN)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *shown, lists], ["id", "n", "fp0", "fp1", "keys"])
 
-    rows = classes.where("n > 0").select("whole", "n", "wide").mapInArrow(make, "id long, n int, fp0 long, fp1 long, keys array<long>")
+    rows = classes.select("whole", "n", "wide").mapInArrow(make, "id long, n int, fp0 long, fp1 long, keys array<long>")
     return rows.select("id", "n", "fp0", "fp1", F.posexplode("keys").alias("t", "key"))
 
 
@@ -388,6 +391,50 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return common + 1e-9 >= least * (len(both) - common)
 
 
+def small_links(classes: DataFrame, least: float) -> DataFrame:
+    """(u, v): links that connect all classes (whole, n, small) that hold SMALL shingles or fewer with all they are close to.
+
+    Exact. Of two sets of similarity ``least`` or more each holds a shingle of the other among its first
+    n - least * n + 1, when all sets are put in one order. The order is by the number of sets that hold a shingle, rarest
+    first, so few sets meet in a common one; where many do, they are dealt out as pairs of tiles.
+    """
+    items = classes.where("small is not null").select("whole", "n", F.explode("small").alias("s"))
+    held = items.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("held", F.lit(1)).alias("held"), "s")))
+    sets = items.join(held, "s", "left").groupBy("whole", "n").agg(order.alias("order"))
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-6).cast("int") + 1
+    fronts = stored(sets.select(F.col("whole").alias("id"), "n", F.col("order.s").alias("small"), F.explode(F.slice("order", F.lit(1), first)).alias("at")).where("at.held > 1").select("id", "n", "small", "at.s"))
+    met = fronts.groupBy("s").agg(F.count("*").alias("rows"), F.min("n").alias("least")).where(f"rows > 1 and least <= {SMALL}")
+    rows = fronts.join(met.select("s", F.ceil(F.col("rows") / SMALL_ROWS).alias("tiles")), "s")
+    return in_pairs(rows, ["s"], ["id", "n", "small"]).mapInArrow(lambda b: by_group(b, ("s", "a", "b"), lambda r, s: in_common(r, s, least)), "u long, v long")
+
+
+def in_common(rows: pa.Table, bounds: np.ndarray, least: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links of each group of small sets, whose common shingles are counted by matrix products."""
+    ids, n = np.asarray(rows.column("id")), np.asarray(rows.column("n")).astype(np.int64)
+    flat = rows.column("small").combine_chunks().flatten().to_numpy()
+    ends = np.concatenate(([0], np.cumsum(n)))
+    out = []
+    for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        at, size = np.repeat(np.arange(e - s), n[s:e]), n[s:e]
+        found, code, times = np.unique(flat[ends[s] : ends[e]], return_inverse=True, return_counts=True)
+        # Shingles of one row alone are in no pair; the others are numbered anew and go in parts.
+        number = np.cumsum(times > 1) - 1
+        two = times[code] > 1
+        at, code = at[two], number[code[two]]
+        common = np.zeros((e - s, e - s), np.float32)
+        for top in range(0, int((times > 1).sum()), 4096):
+            part = (code >= top) & (code < top + 4096)
+            held = np.zeros((e - s, min(4096, int((times > 1).sum()) - top)), np.float32)
+            held[at[part], code[part] - top] = 1
+            common += held @ held.T
+        linked = common + 1e-6 >= least * (size[:, None] + size[None, :] - common)
+        np.fill_diagonal(linked, False)
+        links = np.array(spanning(linked), np.int64).reshape(-1, 2) + s
+        out.append((ids[links[:, 0]], ids[links[:, 1]]))
+    return out
+
+
 def sets_of(asked: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """(id, shingles) of the asked classes (whole, first: a row's id and th): their texts are read again. texts: (id, th, text)."""
 
@@ -407,19 +454,21 @@ def near_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", words: i
 
     Rows link where the Jaccard similarity of their sets of word shingles is ``least`` or more. Wide SimHash
     fingerprints are cut into random blocks; rows that share a block and differ in few bits make families, and within a
-    family every link is confirmed by the sets themselves: no false link, and few missing ones (see ``blocks``). Equal
+    family every link is confirmed by the sets themselves: no false link, and few missing ones (see ``blocks``). In small
+    sets single shingles turn many bits, so pairs with one of SMALL or fewer are joined exactly (``small_links``). Equal
     sets (exact copies, rows without words, null texts) are one class before any comparison; repeated rows come back
     repeated. Large buckets and large families are dealt out as pairs of tiles.
     """
     texts = docs.select(F.col(id).alias("id"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("text"))
-    rows = stored(with_sets(bounded(texts), words))
-    classes = stored(rows.groupBy("whole").agg(F.min(F.struct("id", "th")).alias("first"), F.first("n").alias("n"), F.first("wide").alias("wide")))
-    met = in_tiles(classes, blocks(classes.count(), least)).mapInArrow(lambda b: by_group(b, ("t", "key", "a", "b"), lambda r, s: proposals(r, s, least)), "u long, v long")
+    rows = stored(with_sets(bounded(texts), words, int(SMALL / least + 1e-6)))
+    classes = stored(rows.groupBy("whole").agg(F.min(F.struct("id", "th")).alias("first"), *(F.first(c).alias(c) for c in ("n", "wide", "small"))))
+    large = classes.where(F.col("n") > SMALL)
+    met = in_tiles(large, blocks(large.count(), least)).mapInArrow(lambda b: by_group(b, ("t", "key", "a", "b"), lambda r, s: proposals(r, s, least)), "u long, v long")
     family = stored(components(met.distinct()).select(F.col("id").alias("whole"), F.col("component_id").alias("family")))
     members = stored(classes.join(family, "whole"))
     sizes = members.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / FAMILY_ROWS, F.sum("n") / FAMILY_SHINGLES)).alias("tiles"))
     compared = members.join(sizes, "family").withColumnRenamed("whole", "id").drop("first").join(sets_of(members, texts, words), "id")
     near = in_pairs(compared, ["family"], ["id", "n", "wide", "shingles"]).mapInArrow(lambda b: by_group(b, ("family", "a", "b"), lambda r, s: confirmed(r, s, least)), "u long, v long")
-    label = components(near).select(F.col("id").alias("whole"), "component_id")
+    label = components(near.union(small_links(classes, least))).select(F.col("id").alias("whole"), "component_id")
     out = rows.join(label, "whole", "left")
     return out.select(F.col("id").alias(id), "th", F.coalesce("component_id", "whole").alias("component_id"))

@@ -556,6 +556,28 @@ def test_near_copies_against_all_pairs(spark):
     assert far, "pairs that the narrow fingerprints miss"
 
 
+def test_near_copies_of_every_set_size(spark):
+    """From one shingle up to where fingerprints take over, at, above and below 0.8, against all pairs; hot shingles in tiles too."""
+    rng = random.Random(8)
+    texts = []
+    for n in (*range(1, 13), 15, 16, 20, 24, 28, 31, 32, 33, 36, 40, 48):
+        for _ in range(6):
+            origin = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+            more = [f"m{rng.randrange(10**6)}" for _ in range(n // 4 + 1)]
+            texts += [" ".join(origin), " ".join(origin + more[: n // 4]), " ".join(origin + more), " ".join(origin[:-1])]
+    hot = " ".join(f"common{i}" for i in range(14))
+    texts += [f"{hot} end{i % 300}" for i in range(400)] + [" ".join(hot.split()[: 5 + i]) for i in range(9)] + ["a b c", "A  b c", "a b"]
+    near = jaccard_at_least(texts, 0.8)
+    label = embeddings.merge_labels(np.arange(len(texts)), *np.nonzero(near))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old = simhash.SMALL_ROWS
+    for simhash.SMALL_ROWS in (old, 50):
+        got = {r.doc_id: r.component_id for r in simhash.near_texts(rows).collect()}
+        pairs = set(zip(label.tolist(), (got[i] for i in range(len(texts)))))
+        assert len(pairs) == len(set(label.tolist())) == len(set(got.values()))
+    simhash.SMALL_ROWS = old
+
+
 def test_licences_as_wholes(spark):
     """Headers, bodies and tags without a statement of the short list, with other text around them and other line breaks."""
     code = "\n".join(f"int value{i} = compute{i}(argument{i});" for i in range(60))
