@@ -128,15 +128,37 @@ def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy(folder.alias("folder"), "kind").agg(F.count("*").alias("n"))
 
 
+def answered(ops: DataFrame) -> DataFrame:
+    ops = ops.where("end_kind in ('RESULT', 'SEARCH_RESULT')")
+    return ops.select("conn", "op", "type", "who", "base", "scope", "filter", "dn", "err", "nentries", F.round("etime", 6).alias("etime"), F.coalesce("not_indexed", F.lit(False)).alias("not_indexed"), "text", "start_ts_ns", "end_ts_ns")
+
+
 def operations_of(lines: Callable[[DataFrame], DataFrame], parser: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ops = O.build_operations(E.PARSERS[parser](lines(table(spark, sf_dir))))
-        ops = ops.where("end_kind in ('RESULT', 'SEARCH_RESULT')")
-        return ops.select("conn", "op", "type", "who", "base", "scope", "filter", "dn", "err", "nentries", F.round("etime", 6).alias("etime"), F.coalesce("not_indexed", F.lit(False)).alias("not_indexed"), "text", "start_ts_ns", "end_ts_ns")
+        return answered(O.build_operations(E.PARSERS[parser](lines(table(spark, sf_dir)))))
 
     return query
 
 
+def layout_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operations of a folder of JSON logs, read back: objects of many lines in three layouts, next to leftovers of an editor."""
+    base = f"{shared_dir(spark)}/logs-{uuid.uuid4().hex}"
+    root = spark._jvm.org.apache.hadoop.fs.Path(base)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
+    lines = X.render_ds389(table(spark, sf_dir), json=True)
+    conn = F.coalesce(F.regexp_extract("raw", r'conn_id":(\d+)', 1).try_cast("long"), F.lit(-1))
+    fields = F.regexp_replace(F.expr("substring(raw, 2, length(raw) - 2)"), ',"', ',\n  "')
+    flush, indented, closing = (F.concat(F.lit(a), fields, F.lit(b)) for a, b in (("{\n  ", "\n}"), ("  {\n  ", "\n  }"), ("{\n  ", "}")))
+    raw = F.when(conn % 3 == 0, flush).when(conn % 3 == 1, indented).otherwise(closing)
+    rows = lines.withColumns({"conn": conn, "value": raw}).repartition("conn").sortWithinPartitions("conn", "ord").select("value")
+    rows.write.text(f"{base}/access", compression="gzip")
+    rows.write.text(f"{base}/plain.bak")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/plain.bak")):
+        fs.rename(status.getPath(), status.getPath().suffix(".bak"))
+    return answered(O.build_operations(E.read_events(spark, base, recursive=True)))
+
+
 def binds_of(lines: Callable[[DataFrame], DataFrame], parser: str) -> Query:
     return lambda spark, sf_dir: S.bind_usage(O.bind_usage_rows(E.PARSERS[parser](lines(table(spark, sf_dir)))))
 
@@ -322,6 +344,7 @@ REGISTERED: list[tuple[str, Query, str]] = [
     ("read_events", parsed_files, f"""{OTHERS} {counted(DS389_KINDS.format('u % 4 = 0', 'true'), 'plain', 'folder')} UNION ALL {counted(OPENDJ_KINDS.format('u % 4 = 1'), 'gzip', 'folder')} UNION ALL {counted(DS389_KINDS.format('u % 4 = 2', 'true'), 'hidden', 'folder')}
         UNION ALL {counted(DS389_KINDS.format('u % 4 = 3', 'false'), 'pretty', 'folder')}"""),
     ("ds389_operations", operations_of(X.render_ds389, "ds389-text"), DS389),
+    ("json_layout_operations", layout_operations, DS389),
     ("ds389_json_operations", operations_of(lambda e: X.render_ds389(e, json=True), "ds389-json"), DS389),
     ("opendj_operations", operations_of(X.render_opendj, "opendj"), OPENDJ),
     ("ds389_binds", binds_of(X.render_ds389, "ds389-text"), BINDS.format("'ldap'", "UNION ALL SELECT 'mechanism', 'GSSAPI' FROM y WHERE first AND u % 4 = 1")),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dirlog.functions import timestamps as T
 from dirlog.schema import EVENT_FIELDS
-from dirlog.sources.lines import LINES, RECORD_END, as_records, inspect_files, list_files, read_ds389_json, read_files
+from dirlog.sources.lines import LINES, as_records, inspect_files, list_files, read_ds389_json, read_files
 
 Parser = Callable[..., DataFrame]
 
@@ -359,7 +359,8 @@ def read_events(spark: SparkSession, paths: str | list[str], server: str | None
     parts = []
     for kind in sorted({f.kind for f in files}):
         own = [(f.file, f.compression) for f in files if f.kind == kind]
-        lines = as_records(read_files(spark, own, RECORD_END)) if kind.endswith("-pretty") else read_files(spark, own)
+        lines = read_files(spark, own)
+        lines = as_records(lines) if kind.endswith("-pretty") else lines
         parts.append(parse_openldap(lines, year=year, tz=tz) if kind == "openldap" else PARSERS[kind](lines))
     return named(united(parts) if parts else as_events(spark.createDataFrame([], LINES), {}), server)
 

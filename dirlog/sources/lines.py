@@ -11,7 +11,6 @@ import time
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,13 +36,12 @@ DS389_JSON = (
 )
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], separator: str | None = None) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, ord, raw) of plain, .gz and .bz2 files; carriage returns at line ends are dropped.
 
     ord sorts a file's lines in their order: the start of the split, then the row number within the plan.
     """
-    reader = spark.read.option("lineSep", separator) if separator else spark.read
-    df = reader.text(paths, wholetext=False)
+    df = spark.read.text(paths, wholetext=False)
     order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"))
     return df.select(F.col("_metadata.file_path").alias("file"), order.alias("ord"), F.regexp_replace("value", r"\r+$", "").alias("raw"))
 
@@ -57,7 +55,7 @@ def is_local(path: str) -> bool:
     return path.startswith(("/", "file:"))
 
 
-def read_compressed(spark: SparkSession, paths: list[str], separator: str = "\n") -> DataFrame:
+def read_compressed(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, ord, raw) of .xz files and of files whose name hides their compression, told by their first bytes.
 
     One task for each file, which streams its lines. Files that executors cannot open by themselves come through
@@ -67,7 +65,6 @@ def read_compressed(spark: SparkSession, paths: list[str], separator: str = "\n"
     listed = spark.createDataFrame([(p, None) for p in local], "path string, content binary").repartition(max(1, len(local)))
     if remote:
         listed = listed.union(spark.read.format("binaryFile").load(remote).select("path", "content"))
-    ending = separator.encode()
 
     def rows(batches):
         for batch in batches:
@@ -77,7 +74,7 @@ def read_compressed(spark: SparkSession, paths: list[str], separator: str = "\n"
                     f.seek(0)
                     opener = next((o for magic, (_, o, _) in MAGIC.items() if first.startswith(magic)), None)
                     held, n = [], 0
-                    for piece in pieces(opener(f, "rb") if opener else f, ending):
+                    for piece in opener(f, "rb") if opener else f:
                         held.append(piece.rstrip(b"\r\n").decode("utf-8", "replace"))
                         if len(held) == BATCH:
                             yield as_batch(path, n, held)
@@ -92,19 +89,6 @@ def local_path(path: str) -> str:
     return path.removeprefix("file://").removeprefix("file:")
 
 
-def pieces(f: BinaryIO, ending: bytes) -> Iterator[bytes]:
-    """Parts of a file between endings, read a block at a time."""
-    if ending == b"\n":
-        yield from f
-        return
-    held = b""
-    while block := f.read(1 << 20):
-        *whole, held = (held + block).split(ending)
-        yield from whole
-    if held:
-        yield held
-
-
 def as_batch(path: str, first: int, lines: list[str]) -> pa.RecordBatch:
     seq = pa.array(range(first, first + len(lines)), pa.int64())
     order = pa.StructArray.from_arrays([pa.array([0] * len(lines), pa.int64()), seq], ["block", "seq"])
@@ -222,13 +206,13 @@ def list_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     return sorted({*out, *(child for _, child in sorted(set(held))[:max_files])})
 
 
-def read_files(spark: SparkSession, files: list[tuple[str, str | None]], separator: str | None = None) -> DataFrame:
+def read_files(spark: SparkSession, files: list[tuple[str, str | None]]) -> DataFrame:
     """(file, ord, raw) of files with their compression: by Spark's reader where the name shows it, else by the helper."""
     shown = [p for p, c in files if c is None and not p.endswith((".gz", ".bz2", ".xz")) or c in ("gz", "bz2") and p.endswith(f".{c}")]
     hidden = sorted({p for p, _ in files} - set(shown))
-    out = read_lines(spark, shown, separator) if shown else None
+    out = read_lines(spark, shown) if shown else None
     if hidden:
-        more = read_compressed(spark, hidden, separator or "\n")
+        more = read_compressed(spark, hidden)
         out = out.unionByName(more) if out is not None else more
     return out
 
@@ -257,18 +241,53 @@ def select_run_kind(files: DataFrame, single_kind: bool = False) -> DataFrame:
     return out.select("file", "kind", F.col("reason").isNull().alias("kept"), "reason")
 
 
-#: What ends a record of many lines: a closing brace at a line's start.
-RECORD_END = "\n}"
+#: A JSON string, to the line's end where it is not closed, and a part of a line that ends at a closing brace or with
+#: the line. Nothing is tried twice, so a part costs its length.
+JSON_STRING = r'"(?:[^"\\]++|\\.)*+"?'
+JSON_PART = rf'(?:[^"}}]++|{JSON_STRING})*+\}}?'
+
+
+def cut_between(before: Column, after: Column) -> Column:
+    """Whether no JSON value goes on from one part (trimmed) to the next, so that a record starts with the latter.
+
+    A value goes on after an opening bracket, comma or colon, and before a closing bracket, comma or colon. An object
+    follows neither another's opening brace nor the comma after a plain value: there a record broke off.
+    """
+    last, first = F.right(before, F.lit(1)), F.left(after, F.lit(1))
+    goes_on = last.isin("{", "[", ",", ":") | first.isin("}", "]", ",", ":")
+    return ~goes_on | ((first == "{") & ((last == "{") | ((last == ",") & (before != ","))))
 
 
-def as_records(df: DataFrame) -> DataFrame:
-    """(file, ord, raw) cut at RECORD_END, as whole JSON objects; what is left at a file's end is no record."""
-    return df.select("file", "ord", F.concat(F.regexp_replace("raw", r"^\s+", ""), F.lit(RECORD_END)).alias("raw")).where(F.col("raw").rlike(r"^\{"))
+def as_records(lines: DataFrame) -> DataFrame:
+    """(file, ord, raw) of lines of JSON in any layout: one whole record a row, with the place of its first line.
+
+    Lines are cut behind closing braces outside strings. Where a record starts shows in two neighbouring parts, whatever
+    the depth, so a record that broke off ends at the next one's start and what is no JSON stays apart, a row a line. Only one that
+    broke off right behind a colon, an opening bracket or the comma after an object takes the next along as unknown.
+    Each split of a file is cut by itself; a table of splits tells what goes on from one to the next.
+    """
+    parts = lines.select("file", "ord", F.posexplode(F.regexp_extract_all("raw", F.lit(JSON_PART), F.lit(0))).alias("pos", "part"))
+    parts = parts.select("file", F.col("ord.block").alias("block"), "ord", "pos", "part", F.trim(F.regexp_replace("part", r"\s+", " ")).alias("bare")).where("bare <> ''")
+    inside = Window.partitionBy("file", "block").orderBy("ord", "pos")
+    parts = parts.withColumn("before", F.lag("bare").over(inside))
+    parts = parts.withColumn("k", F.sum(F.when(cut_between(F.col("before"), F.col("bare")), 1).otherwise(0)).over(inside))
+    place = F.struct("ord", "pos")
+    splits = parts.groupBy("file", "block").agg(F.max("k").alias("k"), F.min_by("bare", place).alias("first"), F.max_by("bare", place).alias("last"))
+    order = Window.partitionBy("file").orderBy("block")
+    splits = splits.withColumn("new", F.coalesce(cut_between(F.lag("last").over(order), F.col("first")), F.lit(True)))
+    open_record = F.last(F.when(F.col("new") | (F.col("k") > 0), F.struct("block", "k")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("file", "block", F.when(~F.col("new"), open_record).alias("goes_on"))
+    own = F.struct("block", "k")
+    record = F.when(F.col("k") == 0, F.coalesce("goes_on", own)).otherwise(own)
+    rows = parts.join(splits, ["file", "block"]).groupBy("file", record.alias("record"))
+    held = rows.agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", "pos", "part"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: F.concat(F.when(p["pos"] == 0, "\n").otherwise(""), p["part"])), "")
+    return held.select("file", "ord", F.regexp_replace(text, r"^\s+", "").alias("raw"))
 
 
 def read_json_pretty(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, ord, raw): one whole JSON object of many lines a row; a record ends at a closing brace at a line's start."""
-    return as_records(read_lines(spark, paths, separator=RECORD_END))
+    """(file, ord, raw): one whole JSON object a row, in whatever layout."""
+    return as_records(read_lines(spark, paths))
 
 
 def read_ds389_json(lines: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import json
 import lzma
 import os
 import time
@@ -166,6 +167,40 @@ PRETTY = """{
 """
 
 
+def test_json_records_in_any_layout(spark, tmp_path):
+    """Indented, inline, joined and one-line records; braces in strings; broken records and prose become unknown, alone; across splits too."""
+    record = lambda i, text="x": {"local_time": "2025-02-05T00:00:00.5 -0330", "operation": "RESULT", "conn_id": i, "op_id": i, "msg": text, "notes": [{"note": "P"}, {"note": "A"}]}
+    texts = ["a } in {", '"}', "\\", "}{", ",", 'end\\"']
+    parts, want = [], []
+    for i in range(120):
+        r = record(i, texts[i % len(texts)])
+        pretty = json.dumps(r, indent=2 + i % 3)
+        layout = i % 5
+        parts.append({0: pretty, 1: "\n".join("    " + x for x in pretty.split("\n")), 2: json.dumps(r), 3: pretty.replace("\n}", "}"), 4: pretty.replace("},\n", "}\n,\n")}[layout])
+        want.append((i, r["msg"]))
+        if i % 17 == 5:
+            parts.append(pretty[: pretty.index('"msg"')].rstrip())  # breaks off behind a comma
+        elif i % 17 == 9:
+            parts.append(pretty[: pretty.index('"op_id"') + 4])  # within a name
+        elif i % 17 == 13:
+            parts.append("no JSON at all\nand more of it")
+    parts.append("{")
+    unknown = sum(i % 17 in (5, 9) for i in range(120)) + 2 * sum(i % 17 == 13 for i in range(120)) + 1
+    for name, joint in (("lines", "\n"), ("blank", "\r\n \r\n")):
+        (tmp_path / f"{name}.log").write_text(joint.join(parts))
+    (tmp_path / "joined.log").write_text("".join(json.dumps(record(i)) for i in range(3)) + " " + json.dumps(record(3), indent=1))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (old, "700", "90"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        for name in ("lines", "blank"):
+            got = E.PARSERS["ds389-json-pretty"](L.read_json_pretty(spark, str(tmp_path / f"{name}.log"))).collect()
+            assert sorted((r.conn, r.text) for r in got if r.kind == "RESULT") == want
+            assert len(got) == len(want) + unknown and all(r.kind in ("RESULT", "UNKNOWN_LINE") for r in got)
+            assert [r.conn for r in sorted(got, key=lambda r: r.ord) if r.kind == "RESULT"] == list(range(120))
+        assert sorted(r.conn for r in E.PARSERS["ds389-json-pretty"](L.read_json_pretty(spark, str(tmp_path / "joined.log"))).collect()) == [0, 1, 2, 3]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_every_file_of_a_folder_is_read(spark, tmp_path):
     """Plain, gzip, bzip2 under another ending, xz and pretty JSON together equal their single reads; nothing is left out silently."""
     plain = "\n".join(stamped(OPENLDAP)) + "\n"
