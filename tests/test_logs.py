@@ -29,7 +29,7 @@ conn=1 op=1 SEARCH RESULT tag=101 err=0 qtime=0.00001 etime=0.002 nentries=1 tex
 conn=1 op=2 MOD dn="uid=b,dc=example,dc=com"
 conn=1 op=2 MOD attr=mail
 conn=1 op=2 RESULT tag=103 err=50 qtime=0 etime=1 text=no write access
-conn=1 op=3 [IP=192.0.2.49 NAME=vm3 USERNAME=uid=app] SRCH base="dc=x" scope=0 deref=0 filter="(?=undefined)(?foo)"
+conn=1 op=3 [IP=203.0.113.8 NAME=gate-2 USERNAME=cn=robot,o=lab] SRCH base="dc=x" scope=0 deref=0 filter="(?=undefined)(?foo)"
 conn=1 op=4 ABANDON msg=3
 conn=1 op=5 UNBIND
 conn=1 op=6 EXT oid=1.3.6.1.4.1.1466.20037
@@ -70,7 +70,7 @@ def test_openldap_kinds_and_fields(spark):
     assert (got[1].binddn, got[1].method, got[2].mech) == ("uid=a,dc=example,dc=com", 128, "EXTERNAL")
     assert (got[6].nentries, got[6].etime, got[6].err, got[6].tag) == (1, 0.002, 0, 101)
     assert (got[9].err, got[9].text) == (50, "no write access")
-    assert (got[10].session_ip, got[10].session_name, got[10].session_username, got[10].base) == ("192.0.2.49", "vm3", "uid=app", "dc=x")
+    assert (got[10].session_ip, got[10].session_name, got[10].session_username, got[10].base) == ("203.0.113.8", "gate-2", "cn=robot,o=lab", "dc=x")
     assert got[18].track == {"IP": "1.2.3.4", "NAME": "web", "USERNAME": "bob"} and got[18].session_username == "bob"
     assert (got[20].reason, got[21].oid, got[22].attrs) == ("connection lost", "1.2.840.113556.1.4.319", "mail")
 
