@@ -65,6 +65,17 @@ def plain_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
+def test_texts_longer_than_a_part(spark):
+    """Texts that token counts cut into parts and fingerprints hash in several turns come out as if whole."""
+    rng = random.Random(13)
+    text = " ".join(rng.choice(["Ärger", "plain", "x1", "\n\n", "日本語"]) + str(rng.randrange(10**4)) for _ in range(290_000))
+    assert len(text) > 2 * tokencount.CHUNK and text.count(" ") > simhash.HASHES
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    model = sentencepiece.SentencePieceProcessor(model_file=tokencount.model_path())
+    assert {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df).collect()} == {1: len(model.encode(text)), 2: len(model.encode("short"))}
+    assert {r.doc_id: r.fingerprint for r in simhash.near_duplicates(df).collect()} == {1: f"{plain_fingerprint(text):016x}", 2: f"{plain_fingerprint('short'):016x}"}
+
+
 def test_simhash(docs, odd, empty):
     for df in (docs, odd):
         rows = simhash.near_duplicates(df).collect()
