@@ -125,14 +125,26 @@ def small(df: DataFrame, rows: int = BROADCAST_FILES) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Places of a split that make a part of it, as a power of two, and rows of a table of parts up to which it is broadcast.
+PART_BITS, BROADCAST_PARTS = 17, 200_000
+
+
 def restart_epoch(events: DataFrame) -> DataFrame:
     """Adds restart: the number of "slapd starting" lines before the line in its file.
 
-    The rare start lines of a file become one array, which goes to where the lines are: no window over a whole file.
+    Lines are counted by parts of a file: one row a part says how many start lines came before it and where its own
+    are. A line is held against the start lines of its own part only, so its cost does not grow with the file, and
+    no window sees more than a file's parts.
     """
-    starts = events.where("kind = 'SLAPD_STARTING'").groupBy("file").agg(F.array_sort(F.collect_list("ord")).alias("starts"))
-    earlier = F.size(F.filter("starts", lambda s: s < F.col("ord")))
-    return events.join(small(starts), "file", "left").withColumn("restart", F.when(F.col("starts").isNull(), 0).otherwise(earlier)).drop("starts")
+    rows = events.withColumns({"_block": F.col("ord.block"), "_part": F.shiftright("ord.seq", PART_BITS)})
+    key, start = ["file", "_block", "_part"], F.col("kind") == "SLAPD_STARTING"
+    starts = rows.where(start).groupBy(*key).agg(F.collect_list("ord.seq").alias("_starts"))
+    earlier = F.sum("_n").over(Window.partitionBy("file").orderBy("_block", "_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = rows.groupBy(*key).agg(F.count(F.when(start, 1)).alias("_n")).withColumn("_before", F.coalesce(earlier, F.lit(0)))
+    parts = parts.where(F.col("_before") + F.col("_n") > 0).drop("_n").join(starts, key, "left")
+    own = F.coalesce(F.size(F.filter("_starts", lambda s: s < F.col("ord.seq"))), F.lit(0))
+    out = rows.join(small(parts, BROADCAST_PARTS), key, "left").withColumn("restart", F.coalesce(F.col("_before") + F.when(F.col("_starts").isNull(), 0).otherwise(own), F.lit(0)).cast("int"))
+    return out.select(*events.columns, "restart")
 
 
 def session_correlations(events: DataFrame) -> DataFrame:

@@ -118,6 +118,19 @@ def test_restarts_and_outages(spark):
     assert got == [("log", 0, 0), ("log", 1, 1), ("log", 2, 2), ("log.1", 0, 0), ("log.1", 1, 1), ("log.1", 2, 1)]
 
 
+def test_restarts_of_a_long_file(spark, monkeypatch):
+    """A line is held against the starts of its own part of the file, never against all of them."""
+    at = [(b, 50_000 * i + 3) for b in (0, 7, 9) for i in range(12)]
+    rows = [("f", (b, q), "SLAPD_STARTING") for b, q in at] + [("f", (b, q + d), "SRCH") for b, q in at for d in (-2, 2)] + [("g", (b, q), "SRCH") for b, q in at]
+    e = spark.createDataFrame(rows, "file string, ord struct<block:bigint,seq:bigint>, kind string")
+    held, small = [], O.small
+    monkeypatch.setattr(O, "small", lambda df, *more: (held.append(df), small(df, *more))[1])
+    got = {(r.file, tuple(r.ord)): r.restart for r in O.restart_epoch(e).collect()}
+    assert got == {(f, o): sum(f == "f" and a < o for a in at) for f, o, _ in rows}
+    arrays = [(df, c) for df in held for c, kind in df.dtypes if kind.startswith("array")]
+    assert arrays and all(df.agg(F.max(F.size(c))).first()[0] <= 3 for df, c in arrays)
+
+
 def test_load_of_a_server_without_results(spark):
     e = parse(spark, bind(1)).union(parse(spark, ["conn=1 fd=1 ACCEPT from IP=192.0.2.1:1 (IP=0:389)"], "g", "h9"))
     got = {r.server: (r.ops, r.share, r.connections, r.failures) for r in S.load_by_server(e, O.build_operations(e)).collect()}
