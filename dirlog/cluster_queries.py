@@ -149,10 +149,10 @@ def layout_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     conn = F.coalesce(F.regexp_extract("raw", r'conn_id":(\d+)', 1).try_cast("long"), F.lit(-1))
     fields = F.regexp_replace(F.expr("substring(raw, 2, length(raw) - 2)"), ',"', ',\n  "')
     flush, indented, closing = (F.concat(F.lit(a), fields, F.lit(b)) for a, b in (("{\n  ", "\n}"), ("  {\n  ", "\n  }"), ("{\n  ", "}")))
-    raw = F.when(conn % 3 == 0, flush).when(conn % 3 == 1, indented).otherwise(closing)
-    rows = lines.withColumns({"conn": conn, "value": raw}).repartition("conn").sortWithinPartitions("conn", "ord").select("value")
+    raw = F.when(F.col("conn") % 3 == 0, flush).when(F.col("conn") % 3 == 1, indented).otherwise(closing)
+    rows = lines.withColumn("conn", conn).repartition("conn").sortWithinPartitions("conn", "ord").select(raw.alias("value"))
     rows.write.text(f"{base}/access", compression="gzip")
-    rows.write.text(f"{base}/plain.bak")
+    spark.read.text(f"{base}/access").write.text(f"{base}/plain.bak")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     for status in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/plain.bak")):
         fs.rename(status.getPath(), status.getPath().suffix(".bak"))

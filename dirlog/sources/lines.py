@@ -12,7 +12,9 @@ import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -245,6 +247,7 @@ def select_run_kind(files: DataFrame, single_kind: bool = False) -> DataFrame:
 #: the line. Nothing is tried twice, so a part costs its length.
 JSON_STRING = r'"(?:[^"\\]++|\\.)*+"?'
 JSON_PART = rf'(?:[^"}}]++|{JSON_STRING})*+\}}?'
+PART = re.compile(JSON_PART.encode())
 
 
 def cut_between(before: Column, after: Column) -> Column:
@@ -258,31 +261,135 @@ def cut_between(before: Column, after: Column) -> Column:
     return ~goes_on | ((first == "{") & ((last == "{") | ((last == ",") & (before != ","))))
 
 
+#: What the helper returns: pieces of a file's runs of lines, with their neighbourhood; white space; bytes that a value goes on after and before.
+PIECES = LINES + ", first boolean, last boolean, head string, tail string, until struct<block:bigint,seq:bigint>"
+SPACE, OPEN_AFTER, OPEN_BEFORE = " \t\n\x0b\f\r", np.frombuffer(b"{[,:", np.uint8), np.frombuffer(b"}],:", np.uint8)
+
+
 def as_records(lines: DataFrame) -> DataFrame:
-    """(file, ord, raw) of lines of JSON in any layout: one whole record a row, with the place of its first line.
+    """(file, ord, raw) of lines of JSON in any layout, as files are read: one whole record a row, with the place of its first line.
 
     Lines are cut behind closing braces outside strings. Where a record starts shows in two neighbouring parts, whatever
     the depth, so a record that broke off ends at the next one's start and what is no JSON stays apart, a row a line. Only one that
     broke off right behind a colon, an opening bracket or the comma after an object takes the next along as unknown.
-    Each split of a file is cut by itself; a table of splits tells what goes on from one to the next.
+    Each task cuts the lines it reads, so lines are neither sorted nor shuffled; only the first and last record of
+    each split are held against those of the next.
+    """
+    pieces = lines.select("file", "ord", "raw").mapInArrow(cut_records, PIECES)
+    order = Window.partitionBy("file").orderBy("ord", "last")
+    ends = pieces.where("first or last").withColumn("before", F.lag(F.struct("tail", "until")).over(order))
+    mixed = F.raise_error(F.concat(F.lit("lines of a split are not together: "), "file")).cast("boolean")
+    new = F.when(F.col("before.until") > F.col("ord"), mixed).otherwise(~F.col("first") | F.coalesce(cut_between(F.col("before.tail"), F.col("head")), F.lit(True)))
+    ends = ends.withColumn("k", F.sum(F.when(new, 1).otherwise(0)).over(order)).groupBy("file", "k")
+    ends = ends.agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", "raw"))).alias("held"))
+    whole = ends.select("file", "ord", F.regexp_replace(F.array_join("held.raw", ""), r"^\s+", "").alias("raw"))
+    return pieces.where("not first and not last").select("file", "ord", "raw").union(whole)
+
+
+def cut_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records of one task's lines, in order; first and last say which ones may go on in other tasks.
+
+    A run of lines is of one split and in order. The record that is open at a batch's end is held for the next one.
+    """
+    held: dict | None = None  # the open record: row of its first part, texts so far, its first and last part
+    for batch in batches:
+        file, block, seq, text, bare = parts_of(batch)
+        n = len(text)
+        if not n:
+            continue
+        offsets, data = np.frombuffer(bare.buffers()[1], np.int32)[bare.offset : bare.offset + n + 1], np.frombuffer(bare.buffers()[2], np.uint8)
+        head, tail = data[offsets[:-1]], data[offsets[1:] - 1]
+        lone = (np.diff(offsets) == 1) & (head == ord(","))
+        turn, cut = np.ones(n, bool), np.ones(n, bool)
+        together = (seq[1:] >= seq[:-1]) & (block[1:] == block[:-1]) & pc.equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+        turn[1:] = ~together
+        cut[1:] = turn[1:] | cut_bytes(tail[:-1], lone[:-1], head[1:])
+        if held:
+            turn[0] = file[0].as_py() != held["file"] or block[0] != held["block"] or seq[0] <= held["until"]
+            cut[0] = turn[0] or cut_bytes(held["tail"], held["lone"], head[:1])[0]
+        starts = np.flatnonzero(cut)
+        more = int(starts[0]) if len(starts) else n
+        if more:  # the held record's further parts
+            held["texts"].append(joined(text[:more], [0, more])[0])
+            held |= {"tail": tail[more - 1 : more], "lone": lone[more - 1 : more], "until": seq[more - 1]}
+        if not len(starts):
+            continue
+        if held:
+            yield last_piece(held, bool(turn[starts[0]]))
+        begin, end = starts[:-1], starts[1:]
+        texts = joined(text, starts)
+        first, last = turn[begin], turn[end]
+        if len(begin):
+            inner = pc.ascii_ltrim(texts[:-1], SPACE)
+            raw = pc.if_else(pa.array(first | last), texts[:-1], inner) if (first | last).any() else inner
+            yield pa.RecordBatch.from_arrays([file.take(pa.array(begin)), place(block[begin], seq[begin]), raw, pa.array(first), pa.array(last), shown(head[begin]), shown(tail[end - 1], lone[end - 1]), place(block[end - 1], seq[end - 1])], PIECE_NAMES)
+        i = int(starts[-1])
+        held = {"file": file[i].as_py(), "block": block[i], "seq": seq[i], "texts": [texts[-1]], "first": bool(turn[i]), "head": head[i : i + 1], "tail": tail[-1:], "lone": lone[-1:], "until": seq[-1]}
+    if held:
+        yield last_piece(held, True)
+
+
+PIECE_NAMES = ["file", "ord", "raw", "first", "last", "head", "tail", "until"]
+
+
+def last_piece(held: dict, last: bool) -> pa.RecordBatch:
+    """The record that was held, as a row."""
+    one = lambda x: np.array([x], np.int64)
+    text = joined(pa.concat_arrays([pa.array([t.as_buffer().to_pybytes()], pa.binary()).view(pa.string()) for t in held["texts"]]), [0, len(held["texts"])])
+    text = text if held["first"] or last else pc.ascii_ltrim(text, SPACE)
+    return pa.RecordBatch.from_arrays([pa.array([held["file"]]), place(one(held["block"]), one(held["seq"])), text, pa.array([held["first"]]), pa.array([last]), shown(held["head"]), shown(held["tail"], held["lone"]), place(one(held["block"]), one(held["until"]))], PIECE_NAMES)
+
+
+def place(block: np.ndarray, seq: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(block, pa.int64()), pa.array(seq, pa.int64())], ["block", "seq"])
+
+
+def joined(texts: pa.Array, starts: list[int] | np.ndarray) -> pa.Array:
+    """The texts from each start to the next, or to the end, as one."""
+    stops = [*starts, len(texts)] if starts[-1] < len(texts) else starts
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), texts), "")
+
+
+def shown(byte: np.ndarray, lone: np.ndarray | None = None) -> pa.Array:
+    """A part's first or last byte as ``cut_between`` wants it: only a lone one stands alone."""
+    text = [chr(x) if x < 128 else "x" for x in byte]
+    return pa.array(text if lone is None else [t if x else f"x{t}" for t, x in zip(text, lone)])
+
+
+def cut_bytes(last: np.ndarray, lone: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``cut_between`` for the last byte of each part, whether that is a lone comma, and the next part's first byte."""
+    goes_on = np.isin(last, OPEN_AFTER) | np.isin(first, OPEN_BEFORE)
+    return ~goes_on | ((first == ord("{")) & ((last == ord("{")) | ((last == ord(",")) & ~lone)))
+
+
+def parts_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """File, block, seq, text and trimmed text of each part of the lines that is not blank; a line's first part begins with a line feed.
+
+    A line without a closing brace but at its end is one part; only others are looked at one by one.
     """
-    parts = lines.select("file", "ord", F.posexplode(F.regexp_extract_all("raw", F.lit(JSON_PART), F.lit(0))).alias("pos", "part"))
-    parts = parts.select("file", F.col("ord.block").alias("block"), "ord", "pos", "part", F.trim(F.regexp_replace("part", r"\s+", " ")).alias("bare")).where("bare <> ''")
-    inside = Window.partitionBy("file", "block").orderBy("ord", "pos")
-    parts = parts.withColumn("before", F.lag("bare").over(inside))
-    parts = parts.withColumn("k", F.sum(F.when(cut_between(F.col("before"), F.col("bare")), 1).otherwise(0)).over(inside))
-    place = F.struct("ord", "pos")
-    splits = parts.groupBy("file", "block").agg(F.max("k").alias("k"), F.min_by("bare", place).alias("first"), F.max_by("bare", place).alias("last"))
-    order = Window.partitionBy("file").orderBy("block")
-    splits = splits.withColumn("new", F.coalesce(cut_between(F.lag("last").over(order), F.col("first")), F.lit(True)))
-    open_record = F.last(F.when(F.col("new") | (F.col("k") > 0), F.struct("block", "k")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    splits = splits.select("file", "block", F.when(~F.col("new"), open_record).alias("goes_on"))
-    own = F.struct("block", "k")
-    record = F.when(F.col("k") == 0, F.coalesce("goes_on", own)).otherwise(own)
-    rows = parts.join(splits, ["file", "block"]).groupBy("file", record.alias("record"))
-    held = rows.agg(F.min("ord").alias("ord"), F.array_sort(F.collect_list(F.struct("ord", "pos", "part"))).alias("parts"))
-    text = F.array_join(F.transform("parts", lambda p: F.concat(F.when(p["pos"] == 0, "\n").otherwise(""), p["part"])), "")
-    return held.select("file", "ord", F.regexp_replace(text, r"^\s+", "").alias("raw"))
+    raw = pc.fill_null(batch.column("raw"), "")
+    odd = np.flatnonzero(pc.count_substring(raw, "}").to_numpy() > pc.ends_with(raw, "}").to_numpy(zero_copy_only=False))
+    at = np.arange(len(raw))
+    lead = np.ones(len(raw), bool)
+    if len(odd):
+        found = [[p for p in PART.findall(x) if p] for x in raw.take(pa.array(odd)).view(pa.binary()).to_pylist()]
+        counts = np.ones(len(raw), np.int64)
+        counts[odd] = [len(f) for f in found]
+        flat = pa.array([p for f in found for p in f], pa.binary()).view(pa.string())
+        at = np.repeat(at, counts)
+        firsts = np.cumsum(counts) - counts
+        lead = np.zeros(len(at), bool)
+        lead[firsts] = True
+        source = at.copy()
+        source[np.isin(at, odd)] = len(raw) + np.arange(len(flat))
+        raw = pa.concat_arrays([raw, flat]).take(pa.array(source))
+    bare = pc.ascii_trim(raw, SPACE)
+    keep = pc.greater(pc.binary_length(bare), 0)
+    text = pc.binary_join_element_wise(pc.if_else(pa.array(lead), "\n", ""), raw, "")
+    kept = np.flatnonzero(keep.to_numpy(zero_copy_only=False))
+    at, order = at[kept], batch.column("ord")
+    block, seq = (order.field(i).to_numpy(zero_copy_only=False)[at] for i in range(2))
+    return batch.column("file").take(pa.array(at)), block, seq, text.take(pa.array(kept)), bare.take(pa.array(kept))
 
 
 def read_json_pretty(spark: SparkSession, paths: str | list[str]) -> DataFrame:

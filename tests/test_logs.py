@@ -201,6 +201,28 @@ def test_json_records_in_any_layout(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_json_records_are_cut_where_they_are_read(spark, tmp_path):
+    """Only the ends of splits are shuffled, whatever the layout; records go on over batches and splits of any size."""
+    record = lambda i: json.dumps({"operation": "RESULT", "conn_id": i, "msg": "a } {é" * (i % 3), "notes": [{"note": "P"}, {"note": "A"}]}, indent=i % 4 or None, ensure_ascii=False)
+    want = [record(i) for i in range(60)]
+    (tmp_path / "p.log").write_text("\n".join(want[:30]) + "\n\n" + " ".join(want[30:33]) + "\n" + "\n".join(want[33:]))
+    path = str(tmp_path / "p.log")
+    plan = L.read_json_pretty(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 1 and "explode" not in plan
+    sizes = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for split, batch in ((sizes["spark.sql.files.maxPartitionBytes"], 3), ("300", 2), ("40", 10_000)):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = [json.loads(r.raw) for r in L.read_json_pretty(spark, path).orderBy("ord", F.regexp_extract("raw", r'conn_id": ?(\d+)', 1).cast("int")).collect()]
+        assert got == [json.loads(x) for x in want]
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    lines = L.read_lines(spark, path)
+    mixed = lines.repartition(3, F.xxhash64("ord"))
+    with pytest.raises(Exception, match="not together"):
+        L.as_records(mixed).collect()
+
+
 def test_every_file_of_a_folder_is_read(spark, tmp_path):
     """Plain, gzip, bzip2 under another ending, xz and pretty JSON together equal their single reads; nothing is left out silently."""
     plain = "\n".join(stamped(OPENLDAP)) + "\n"
