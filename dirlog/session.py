@@ -8,14 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that a task reads of a shuffle or of files, at most, and the partitions that a shuffle starts from, at least, to
+#: be joined up to that. From 201 on, Spark would hold what a task writes in memory.
+TASK_BYTES, PARTITIONS = 16 << 20, 200
+
+
 def tuned(spark: SparkSession) -> SparkSession:
-    """For the owner of a session: settings under which parsing is fast and times are shown in UTC.
+    """For the owner of a session: settings under which parsing is fast, tasks stay small and times are shown in UTC.
 
     Parsing makes long methods: beyond 8,000 bytes the JVM would never compile them, so Spark is to split them.
+    Events shrink to a tenth or less in a shuffle or in Parquet, and Spark deals tasks out by what is left: a task of its
+    usual size holds many times that. So tasks are to be smaller, and enough of them, unless the session has them smaller yet.
     No operator needs these settings for its results, and none changes them.
     """
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    conf = spark.conf
+    conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+    conf.set("spark.sql.session.timeZone", "UTC")
+    for size in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+        conf.set(size, min(TASK_BYTES, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(size))))
+    start = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    conf.set(start, max(PARTITIONS, int(conf.get(start, conf.get("spark.sql.shuffle.partitions")))))
     return spark
 
 

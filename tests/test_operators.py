@@ -15,6 +15,7 @@ from dirlog.operators import ranking as K
 from dirlog.operators import stats as S
 from dirlog.operators import timeline as L
 from dirlog.plans import events as E
+from dirlog.session import tuned
 from dirlog.sources import report, sinks
 from dirlog.sources import state as St
 from dirlog.sources.lines import LINES
@@ -131,6 +132,17 @@ def test_restarts_of_a_long_file(spark, monkeypatch):
     assert arrays and all(df.agg(F.max(F.size(c))).first()[0] <= 3 for df, c in arrays)
 
 
+def test_tasks_stay_small(spark):
+    """A session's owner gets small tasks and enough partitions for them; what is smaller already stays."""
+    start = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    for size in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes"):
+        old = spark.conf.get(size)
+        for given, want in (("128MB", 16 << 20), ("8m", 8 << 20)):
+            spark.conf.set(size, given)
+            assert int(tuned(spark).conf.get(size).rstrip("b")) == want and int(spark.conf.get(start)) >= 200
+        spark.conf.set(size, old)
+
+
 def test_load_of_a_server_without_results(spark):
     e = parse(spark, bind(1)).union(parse(spark, ["conn=1 fd=1 ACCEPT from IP=192.0.2.1:1 (IP=0:389)"], "g", "h9"))
     got = {r.server: (r.ops, r.share, r.connections, r.failures) for r in S.load_by_server(e, O.build_operations(e)).collect()}
